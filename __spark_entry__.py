@@ -19,6 +19,7 @@ from gantry.plans.mart import CALENDAR, Mart, mart_from_events  # noqa: E402
 from gantry.plans.nightly import late_days  # noqa: E402
 from gantry.session import pin_utc, scratch_dir  # noqa: E402
 from gantry.sources import testdata  # noqa: E402
+from gantry.sources.readers import read_raw  # noqa: E402
 from gantry.streaming import landing  # noqa: E402
 import oracle  # noqa: E402
 
@@ -54,7 +55,7 @@ def _mart(spark: SparkSession, sf_dir: str, days: int | None = None) -> Mart:
 
 def _whole_vehicles(mart: Mart, spark: SparkSession, sf_dir: str) -> Mart:
     """A date-limited mart with the vehicles of all events: a plate may have been seen earlier."""
-    return Mart(**{**vars(mart), "dim_vehicle": dims.vehicles(_valid(spark, sf_dir))})
+    return mart.with_tables(dim_vehicle=lambda: dims.vehicles(ev.valid_events(_raw(spark, sf_dir))))
 
 
 def _low_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,15 +119,21 @@ def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream of JSON messages, parsed and validated."""
+    landing.keep_state_on_disk(spark)
     messages = testdata.as_messages(testdata.event_stream(pin_utc(spark), sf_dir))
     return ev.validate_and_enrich(ev.parse_events(messages, keep=["offset"]))
 
 
 def _stream_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = scratch_dir(spark, "landing")
-    landed = _stream(spark, sf_dir).drop("offset")
-    landing.wait_all([landing.land_raw(landed, f"{work}/raw", f"{work}/checkpoint", interval=None)])
-    return spark.read.parquet(f"{work}/raw").select(*EVENT_COLUMNS, *HOUR_COLUMNS)
+    cores = spark.sparkContext.defaultParallelism
+    splits = spark.read.parquet(f"{sf_dir}/events.parquet").rdd.getNumPartitions()
+    query = landing.land_raw(
+        _stream(spark, sf_dir).drop("offset"), f"{work}/raw", f"{work}/checkpoint", interval=None,
+        writers=cores if splits < cores else None,
+    )
+    landing.wait_all([query])
+    return read_raw(spark, f"{work}/raw").select(*EVENT_COLUMNS, *HOUR_COLUMNS)
 
 
 def _stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,8 +146,9 @@ def _stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = scratch_dir(spark, "dedup")
     once = landing.first_seen(_stream(spark, sf_dir), position="offset").drop("offset")
-    landing.wait_all([landing.land_raw(once, f"{work}/raw", f"{work}/checkpoint", interval=None)])
-    return spark.read.parquet(f"{work}/raw").select(*EVENT_COLUMNS)
+    query = landing.land_raw(once, f"{work}/once", f"{work}/checkpoint", interval=None, partition_by=())
+    landing.wait_all([query])
+    return read_raw(spark, f"{work}/once").select(*EVENT_COLUMNS)
 
 
 def _event_days(valid: DataFrame) -> DataFrame:

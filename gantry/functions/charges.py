@@ -1,4 +1,7 @@
-"""Charge, balance and status rules of one passage, and identifier formats."""
+"""Charge, balance and status rules of one passage, and identifier formats.
+
+Columns are given by name, or as any SQL expression over the row.
+"""
 
 from __future__ import annotations
 
@@ -12,36 +15,34 @@ from gantry.schemas import BLACKLISTED_TAGS
 SUCCESS, LOW_BALANCE, FLAGGED = "SUCCESS", "LOW_BALANCE", "FLAGGED"
 
 
-def is_blacklisted(tag: str, blacklist: Sequence[str] = BLACKLISTED_TAGS) -> Column:
+def blacklist_test(tag: str, blacklist: Sequence[str] = BLACKLISTED_TAGS) -> Column:
     """Membership in a literal list; a null tag is not listed."""
     return F.coalesce(F.array_contains(F.lit(list(blacklist)), F.col(tag)), F.lit(False))
 
 
-def status_after(tag: Column | str, balance: Column | str, amount: Column | str) -> Column:
+def status_after(tag: str, balance: str, amount: str, blacklist: Sequence[str] = BLACKLISTED_TAGS) -> Column:
     """Blacklist first, then balance, else success."""
-    listed = is_blacklisted(tag) if isinstance(tag, str) else tag
-    short = F.col(balance) < F.col(amount)
-    return F.when(listed, FLAGGED).when(short, LOW_BALANCE).otherwise(SUCCESS)
+    short = F.expr(f"{balance} < {amount}")
+    return F.when(blacklist_test(tag, blacklist), FLAGGED).when(short, LOW_BALANCE).otherwise(SUCCESS)
 
 
 def charge(base_rate: str, trips: str) -> Column:
-    return (F.col(base_rate) * F.col(trips)).cast("decimal(10,2)")
+    return F.expr(f"CAST({base_rate} * {trips} AS DECIMAL(10,2))")
 
 
 def balance_after(balance: str, amount: str) -> Column:
     """Never below zero, and unknown when the balance before is unknown."""
-    left = F.col(balance) - F.col(amount)
-    return F.when(left < 0, F.lit(0)).otherwise(left).cast("decimal(10,2)")
+    return F.expr(f"CAST(CASE WHEN {balance} < {amount} THEN 0 ELSE {balance} - {amount} END AS DECIMAL(10,2))")
 
 
-def numbered(prefix: str, number: Column, width: int) -> Column:
-    """Zero-padded identifier; numbers wider than `width` keep all their digits."""
-    digits = number.cast("string")
-    return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0")))
+def numbered(prefix: str, number: str, width: int) -> str:
+    """SQL for a zero-padded identifier; numbers wider than `width` keep all their digits."""
+    digits = f"CAST({number} AS STRING)"
+    return f"'{prefix}' || lpad({digits}, greatest(length({digits}), {width}), '0')"
 
 
-def tag_number(number: Column) -> Column:
-    return numbered("TAG-", number, 5)
+def tag_number(number: str) -> Column:
+    return F.expr(numbered("TAG-", number, 5))
 
 
 def vehicle_key(tag: Column | str) -> Column:

@@ -1,4 +1,4 @@
-"""Day keys, calendar attributes and elapsed time."""
+"""Day keys, calendar attributes and elapsed time. Columns are given by name."""
 
 from __future__ import annotations
 
@@ -17,23 +17,27 @@ def day_key(day: date) -> int:
     return day.year * 10000 + day.month * 100 + day.day
 
 
+def key_day(key: int) -> date:
+    return date(key // 10000, key // 100 % 100, key % 100)
+
+
 def yesterday_utc() -> date:
     return datetime.now(timezone.utc).date() - timedelta(days=1)
 
 
-def date_id(ts: Column | str) -> Column:
+def date_id(ts: str) -> Column:
     """yyyymmdd as INT by arithmetic: no string formatting per row."""
-    return F.year(ts) * 10000 + F.month(ts) * 100 + F.dayofmonth(ts)
+    return F.expr(f"year({ts}) * 10000 + month({ts}) * 100 + dayofmonth({ts})")
 
 
-def is_weekend(day: Column | str) -> Column:
+def is_weekend(day: str) -> Column:
     # Spark counts Sunday as 1 and Saturday as 7.
-    return F.dayofweek(day).isin(1, 7).cast("smallint")
+    return F.expr(f"CAST(dayofweek({day}) IN (1, 7) AS SMALLINT)")
 
 
-def seconds_between(start: Column | str, end: Column | str) -> Column:
+def seconds_between(start: str, end: str) -> Column:
     """Second boundaries crossed, not elapsed seconds rounded down."""
-    return F.unix_seconds(end) - F.unix_seconds(start)
+    return F.expr(f"unix_seconds({end}) - unix_seconds({start})")
 
 
 def days_before(as_of: date, days: int) -> Column:
@@ -41,9 +45,5 @@ def days_before(as_of: date, days: int) -> Column:
 
 
 def event_hour_columns(ts: str) -> dict[str, Column]:
-    return {
-        "year": F.year(ts),
-        "month": F.month(ts),
-        "day": F.dayofmonth(ts),
-        "hour": F.hour(ts),
-    }
+    parts = {"year": "year", "month": "month", "day": "dayofmonth", "hour": "hour"}
+    return {name: F.expr(f"{function}({ts})") for name, function in parts.items()}

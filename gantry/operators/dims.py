@@ -41,18 +41,17 @@ def date_rows(days: DataFrame) -> DataFrame:
     return days.select(
         date_id("date").alias("date_id"),
         "date",
-        F.year("date").cast("smallint").alias("year"),
-        F.month("date").cast("smallint").alias("month"),
-        F.dayofmonth("date").cast("smallint").alias("day"),
-        F.date_format("date", "EEEE").alias("day_of_week"),
+        F.expr("CAST(year(date) AS SMALLINT) AS year"),
+        F.expr("CAST(month(date) AS SMALLINT) AS month"),
+        F.expr("CAST(dayofmonth(date) AS SMALLINT) AS day"),
+        F.expr("date_format(date, 'EEEE') AS day_of_week"),
         is_weekend("date").alias("is_weekend"),
     )
 
 
 def calendar(spark: SparkSession, first: date, last: date) -> DataFrame:
     """Every day from first to last; its size is the number of days asked for."""
-    days = F.explode(F.sequence(F.lit(first), F.lit(last)))
-    return date_rows(spark.range(1).select(days.alias("date")))
+    return date_rows(spark.sql("SELECT explode(sequence(:first, :last)) AS date", {"first": first, "last": last}))
 
 
 def vehicles(events: DataFrame) -> DataFrame:
@@ -71,20 +70,21 @@ def vehicles(events: DataFrame) -> DataFrame:
 def _latest_plate(plates: DataFrame) -> DataFrame:
     # Rows without a plate never win over rows with one; equal times fall back to
     # the plate itself, which makes the choice total.
-    preferred = F.struct(F.col("vehicle_no").isNotNull(), F.col("plate_seen_at"), F.col("vehicle_no"))
     latest = plates.groupBy("tag_id").agg(
-        F.max_by(F.struct("vehicle_no", "plate_seen_at"), preferred).alias("plate"),
+        F.expr(
+            "max_by(struct(vehicle_no, plate_seen_at), struct(vehicle_no IS NOT NULL, plate_seen_at, vehicle_no)) AS plate"
+        ),
         F.min("created_at").alias("created_at"),
     )
     return latest.select(
         vehicle_key("tag_id").alias("vehicle_id"),
         "tag_id",
-        F.coalesce("plate.vehicle_no", F.lit(UNKNOWN_PLATE)).alias("vehicle_no"),
-        F.lit(None).cast("string").alias("owner_name"),
-        F.substring("plate.vehicle_no", 1, 2).alias("registered_state"),
-        F.lit(1).cast("smallint").alias("active"),
+        F.expr(f"coalesce(plate.vehicle_no, '{UNKNOWN_PLATE}') AS vehicle_no"),
+        F.expr("CAST(NULL AS STRING) AS owner_name"),
+        F.expr("substring(plate.vehicle_no, 1, 2) AS registered_state"),
+        F.expr("CAST(1 AS SMALLINT) AS active"),
         "created_at",
-        F.col("plate.plate_seen_at").alias("plate_seen_at"),
+        F.expr("plate.plate_seen_at"),
     )
 
 
@@ -97,7 +97,7 @@ def merge_vehicles(known: DataFrame, seen: DataFrame) -> DataFrame:
     plates = [
         side.select(
             "tag_id",
-            F.nullif("vehicle_no", F.lit(UNKNOWN_PLATE)).alias("vehicle_no"),
+            F.expr(f"nullif(vehicle_no, '{UNKNOWN_PLATE}') AS vehicle_no"),
             "plate_seen_at",
             "created_at",
         )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gantry.functions.charges import FLAGGED, is_blacklisted, status_after
+from gantry.functions.charges import FLAGGED, blacklist_test, status_after
 from gantry.functions.dates import event_hour_columns
 from gantry.schemas import BLACKLISTED_TAGS, EVENT_DDL, MAX_AMOUNT, MIN_AMOUNT
 
@@ -44,31 +44,32 @@ def encode_events(events: DataFrame) -> DataFrame:
     return events.select(event_json(events).cast("binary").alias("value"))
 
 
-def _reasons() -> list[tuple[str, Column]]:
-    return [
-        ("missing transaction_id", F.col("transaction_id").isNull()),
-        ("missing tag_id", F.col("tag_id").isNull()),
-        ("missing amount", F.col("amount").isNull()),
-        ("amount out of range", ~F.col("amount").between(MIN_AMOUNT, MAX_AMOUNT)),
-        ("unreadable event time", F.col("event_ts").isNull()),
-    ]
+IN_RANGE = f"amount BETWEEN {MIN_AMOUNT} AND {MAX_AMOUNT}"
+
+# What makes a row unfit to land, in the order it is reported.
+REJECTIONS = {
+    "missing transaction_id": "transaction_id IS NULL",
+    "missing tag_id": "tag_id IS NULL",
+    "missing amount": "amount IS NULL",
+    "amount out of range": f"NOT ({IN_RANGE})",
+    "unreadable event time": "event_ts IS NULL",
+}
 
 
 def valid_events(events: DataFrame) -> DataFrame:
     """Rows that may be landed: key fields present, charge in range, time readable."""
-    return events.dropna(subset=["transaction_id", "tag_id", "amount", "event_ts"]).where(
-        F.col("amount").between(MIN_AMOUNT, MAX_AMOUNT)
-    )
+    keys = ("transaction_id", "tag_id", "event_ts")
+    return events.where(" AND ".join([f"{key} IS NOT NULL" for key in keys] + [IN_RANGE]))
 
 
 def quarantine(events: DataFrame) -> DataFrame:
     """The complement of `valid_events`, each row with its first reason."""
-    reason = F.coalesce(*[F.when(failed, F.lit(name)) for name, failed in _reasons()])
-    return events.withColumn("reason", reason).where(F.col("reason").isNotNull())
+    cases = " ".join(f"WHEN {failed} THEN '{reason}'" for reason, failed in REJECTIONS.items())
+    return events.withColumn("reason", F.expr(f"CASE {cases} END")).where("reason IS NOT NULL")
 
 
 def flag_blacklisted(events: DataFrame, blacklist: Sequence[str] = BLACKLISTED_TAGS) -> DataFrame:
-    status = F.when(is_blacklisted("tag_id", blacklist), FLAGGED).otherwise(F.col("status"))
+    status = F.when(blacklist_test("tag_id", blacklist), FLAGGED).otherwise(F.col("status"))
     return events.withColumn("status", status)
 
 

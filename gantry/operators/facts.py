@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gantry.functions.charges import FLAGGED, LOW_BALANCE, vehicle_key
@@ -25,8 +25,8 @@ def first_copy(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     `row_number() = 1` lets Spark place a group limit before the shuffle, so each
     input task sends at most one copy per key however many copies there are.
     """
-    order = [F.col(c).asc_nulls_last() for c in _SURVIVOR_ORDER if c in events.columns]
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order or [F.lit(0)]))
+    order = [f"{c} ASC NULLS LAST" for c in _SURVIVOR_ORDER if c in events.columns]
+    rank = F.expr(f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {', '.join(order)})")
     return events.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
@@ -43,14 +43,14 @@ def clean_events(valid: DataFrame) -> DataFrame:
 def fact_transactions(events: DataFrame) -> DataFrame:
     """Charged transactions: project, drop failed deductions, then drop copies.
 
-    A null status is dropped with the failed ones: `!=` is not true for it.
+    A null status is dropped with the failed ones: `<>` is not true for it.
     """
     rows = events.select(
         "transaction_id", "plaza_id", "tag_id", "class_id", "amount", "status", "event_ts", "ingested_at",
-        F.to_date("event_ts").alias("date"),
+        F.expr("to_date(event_ts) AS date"),
         date_id("event_ts").alias("date_id"),
     )
-    return first_copy(rows.where(F.col("status") != LOW_BALANCE), ["transaction_id"])
+    return first_copy(rows.where(f"status <> '{LOW_BALANCE}'"), ["transaction_id"])
 
 
 def conform(clean: DataFrame, dim_payment: DataFrame) -> DataFrame:
@@ -60,8 +60,8 @@ def conform(clean: DataFrame, dim_payment: DataFrame) -> DataFrame:
     rows and would multiply the facts. Three seed rows remain, so the join is a
     size-checked broadcast; an unknown status keeps its row with no payment.
     """
-    payment = dim_payment.where(F.col("method") == TAG_METHOD).select("status", "payment_id")
-    exit_time = F.col("exit_time") if "exit_time" in clean.columns else F.lit(None)
+    payment = dim_payment.where(f"method = '{TAG_METHOD}'").select("status", "payment_id")
+    exit_time = "exit_time" if "exit_time" in clean.columns else "CAST(NULL AS TIMESTAMP) AS exit_time"
     return clean.join(payment, "status", "left").select(
         "transaction_id",
         "plaza_id",
@@ -69,9 +69,9 @@ def conform(clean: DataFrame, dim_payment: DataFrame) -> DataFrame:
         "class_id",
         "payment_id",
         "amount",
-        F.col("event_ts").alias("entry_time"),
-        exit_time.cast("timestamp").alias("exit_time"),
-        F.col("lane").cast("smallint").alias("lane"),
+        F.expr("event_ts AS entry_time"),
+        F.expr(exit_time),
+        F.expr("CAST(lane AS SMALLINT) AS lane"),
         "ingested_at",
         "date_id",
     )
@@ -79,7 +79,7 @@ def conform(clean: DataFrame, dim_payment: DataFrame) -> DataFrame:
 
 def revenue_facts(facts: DataFrame) -> DataFrame:
     """Facts that earned money; low-balance rows stay only in the full table."""
-    return facts.where(F.col("payment_id") != LOW_BALANCE_PAYMENT)
+    return facts.where(f"payment_id <> {LOW_BALANCE_PAYMENT}")
 
 
 def hourly_revenue(

@@ -2,57 +2,88 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gantry.operators import dims
+from gantry.operators.events import valid_events, validate_and_enrich
 from gantry.operators.facts import clean_events, conform, hourly_revenue, revenue_facts
-from gantry.operators.events import validate_and_enrich
-from gantry.schemas import FLAGGED_PAYMENT
+from gantry.schemas import FLAGGED_PAYMENT, MART
 from gantry.sources.writers import read_table
 
 # Calendar used where no date table has been loaded: one small row per day.
 CALENDAR = (date(1990, 1, 1), date(2049, 12, 31))
 
 
-@dataclass(frozen=True)
 class Mart:
-    """`facts` holds every status; `revenue` is the same without failed deductions."""
+    """Tables by name, each built when a query first asks for it."""
 
-    facts: DataFrame
-    hourly: DataFrame
-    dim_date: DataFrame
-    dim_vehicle: DataFrame
-    dim_plaza: DataFrame
-    dim_class: DataFrame
-    dim_payment: DataFrame
+    def __init__(self, **tables: Callable[[], DataFrame]) -> None:
+        self._plans = tables
+        self._built: dict[str, DataFrame] = {}
+
+    def table(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._plans[name]()
+        return self._built[name]
+
+    def with_tables(self, **tables: Callable[[], DataFrame]) -> Mart:
+        return Mart(**{**self._plans, **tables})
+
+    @property
+    def facts(self) -> DataFrame:
+        """Transactions of every status."""
+        return self.table("fact_transaction")
 
     @property
     def revenue(self) -> DataFrame:
+        """Transactions without failed deductions."""
         return revenue_facts(self.facts)
 
+    @property
+    def hourly(self) -> DataFrame:
+        return self.table("agg_hourly_revenue")
+
+    @property
+    def dim_date(self) -> DataFrame:
+        return self.table("dim_date")
+
+    @property
+    def dim_vehicle(self) -> DataFrame:
+        return self.table("dim_vehicle")
+
+    @property
+    def dim_plaza(self) -> DataFrame:
+        return self.table("dim_plaza")
+
+    @property
+    def dim_class(self) -> DataFrame:
+        return self.table("dim_class")
+
+    @property
+    def dim_payment(self) -> DataFrame:
+        return self.table("dim_payment")
+
 
 def hourly_from_facts(facts: DataFrame) -> DataFrame:
-    return hourly_revenue(facts, "entry_time", "vehicle_id", F.col("payment_id") == FLAGGED_PAYMENT)
+    return hourly_revenue(facts, "entry_time", "vehicle_id", F.expr(f"payment_id = {FLAGGED_PAYMENT}"))
 
 
 def mart_from_events(spark: SparkSession, events: DataFrame) -> Mart:
-    """The mart as plans over charge events; nothing is computed until a query asks."""
-    valid = validate_and_enrich(events)
-    payment = dims.payment_seed(spark)
-    facts = conform(clean_events(valid), payment)
+    """The mart as plans over charge events; nothing is stored."""
+    facts = lambda: conform(clean_events(validate_and_enrich(events)), dims.payment_seed(spark))
     return Mart(
-        facts=facts,
-        hourly=hourly_from_facts(revenue_facts(facts)),
-        dim_date=dims.calendar(spark, *CALENDAR),
+        fact_transaction=facts,
+        agg_hourly_revenue=lambda: hourly_from_facts(revenue_facts(facts())),
+        dim_date=lambda: dims.calendar(spark, *CALENDAR),
         # Copies cannot change a latest plate, so vehicles need no de-duplication.
-        dim_vehicle=dims.vehicles(valid),
-        dim_plaza=dims.plaza_seed(spark),
-        dim_class=dims.class_seed(spark),
-        dim_payment=payment,
+        dim_vehicle=lambda: dims.vehicles(valid_events(events)),
+        dim_plaza=lambda: dims.plaza_seed(spark),
+        dim_class=lambda: dims.class_seed(spark),
+        dim_payment=lambda: dims.payment_seed(spark),
     )
 
 
@@ -63,12 +94,10 @@ def latest_snapshot(dim_vehicle: DataFrame) -> Column:
 
 def read_mart(spark: SparkSession, root: str) -> Mart:
     """The mart written by the nightly job."""
-    tables = {t: read_table(spark, root, t) for t in
-              ("dim_date", "dim_vehicle", "dim_plaza", "dim_class", "dim_payment")}
-    vehicle = tables.pop("dim_vehicle")
-    return Mart(
-        facts=read_table(spark, root, "fact_transaction"),
-        hourly=read_table(spark, root, "agg_hourly_revenue"),
-        dim_vehicle=vehicle.where(latest_snapshot(vehicle)).drop("snapshot"),
-        **tables,
-    )
+
+    def vehicles() -> DataFrame:
+        snapshots = read_table(spark, root, "dim_vehicle")
+        return snapshots.where(latest_snapshot(snapshots)).drop("snapshot")
+
+    tables = {name: (lambda name=name: read_table(spark, root, name)) for name in MART}
+    return Mart(**{**tables, "dim_vehicle": vehicles})

@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gantry.functions.dates import date_id, day_key, parse_day, yesterday_utc
+from gantry.functions.dates import date_id, day_key, key_day, parse_day, yesterday_utc
 from gantry.operators import dims, quality
 from gantry.operators.facts import clean_events, conform, revenue_facts
 from gantry.plans.mart import hourly_from_facts, latest_snapshot
@@ -112,7 +112,8 @@ def repair_late(spark: SparkSession, raw_root: str, mart_root: str) -> Loaded |
     """Load every late day again, all in one job; None when there is none."""
     pin_utc(spark)
     late = late_days(read_raw(spark, raw_root), read_table(spark, mart_root, "agg_hourly_revenue"))
-    days = [parse_day(f"{r[0] // 10000}-{r[0] // 100 % 100:02d}-{r[0] % 100:02d}") for r in late.select("date_id").collect()]
+    # One row per day, not per event, comes to the driver.
+    days = [key_day(row["date_id"]) for row in late.select("date_id").collect()]
     return load_days(spark, raw_root, mart_root, days) if days else None
 
 

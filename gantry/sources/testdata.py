@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gantry.functions.charges import balance_after, numbered, status_after, tag_number
+from gantry.functions.charges import balance_after, numbered, status_after
 from gantry.functions.dates import date_id
 from gantry.operators.events import WIRE_TIME, event_json
 from gantry.sources.readers import stream_parquet
@@ -19,64 +19,65 @@ from gantry.sources.readers import stream_parquet
 EVENTS_DDL = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 # Fixed values of the adapter.
-STATE_CODES = ["DL", "MH", "KA", "TN", "WB", "UP", "RJ", "GJ", "AP", "TS"]
-HIGHWAYS = ["NH-58", "NH-48", "NH-275", "NH-16", "NH-19"]
-PLAZA_NAMES = [
-    "Delhi-Meerut Expressway KM 12", "Mumbai-Pune Expressway KM 45", "Bengaluru-Mysuru Expressway KM 8",
-    "Chennai-Vijayawada KM 60", "Kolkata-Dhanbad KM 30",
-]
-CLASS_NAMES = ["2-Wheeler", "Car/Jeep/Van", "Light Commercial", "Bus/Truck", "Multi-Axle", "Oversized"]
-
-
-def _every(n: int) -> Column:
-    return F.col("event_id") % n == 1
-
-
-def _pick(values: list[str], index: Column) -> Column:
-    """values[index], null beyond the end."""
-    return F.get(F.lit(values), index.cast("int"))
+STATE_CODES = "array('DL', 'MH', 'KA', 'TN', 'WB', 'UP', 'RJ', 'GJ', 'AP', 'TS')"
+PLATE_LETTERS = "array('A', 'B', 'C', 'D', 'E', 'F', 'G', 'H')"
+HIGHWAYS = "array('NH-58', 'NH-48', 'NH-275', 'NH-16', 'NH-19')"
+PLAZA_NAMES = (
+    "array('Delhi-Meerut Expressway KM 12', 'Mumbai-Pune Expressway KM 45', 'Bengaluru-Mysuru Expressway KM 8',"
+    " 'Chennai-Vijayawada KM 60', 'Kolkata-Dhanbad KM 30')"
+)
+CLASS_NAMES = "array('2-Wheeler', 'Car/Jeep/Van', 'Light Commercial', 'Bus/Truck', 'Multi-Axle', 'Oversized')"
+
+# A row is an original (copy = 0) or the clean second copy (copy = 1) of one.
+_COPIES = "explode(CASE WHEN event_id % 50 = 0 THEN array(0, 1) ELSE array(0) END) AS copy"
+_PARTIAL = "event_id % 10 = 3"
+
+
+def _lost(every: int, value: str) -> str:
+    """`value`, but null in one original of `every`; copies keep it."""
+    return f"CASE WHEN copy = 1 OR event_id % {every} <> 1 THEN {value} END"
+
+
+def _optional(value: str) -> str:
+    return f"CASE WHEN NOT {_PARTIAL} THEN {value} END"
+
+
+_PLATE = (
+    f"get({STATE_CODES}, CAST(user_id % 10 AS INT)) || lpad(CAST(user_id % 99 + 1 AS STRING), 2, '0')"
+    f" || get({PLATE_LETTERS}, CAST((user_id + IF(dayofmonth(ts) > 15, 1, 0)) % 8 AS INT))"
+    " || CAST(user_id % 9000 + 1000 AS STRING)"
+)
+_PROCESSING = "make_dt_interval(0, 0, 0, CASE WHEN event_type <> 'error' THEN CAST(get_json_object(props, '$.k') AS INT) END)"
+
+EVENT_COLUMNS = {
+    "transaction_id": _lost(97, numbered("TX-", "event_id", 8)),
+    "event_ts": _lost(83, "CAST(ts AS TIMESTAMP)"),
+    "plaza_id": numbered("PL", "(user_id % 6 + 1)", 3),
+    "plaza_name": _optional(f"get({PLAZA_NAMES}, CAST(user_id % 6 AS INT))"),
+    "highway": _optional(f"get({HIGHWAYS}, CAST(user_id % 6 AS INT))"),
+    "tag_id": _lost(89, numbered("TAG-", "user_id", 5)),
+    "vehicle_no": _optional(_PLATE),
+    "class_id": "'C' || CAST(event_id % 6 + 1 AS STRING)",
+    "class_name": _optional(f"get({CLASS_NAMES}, CAST(event_id % 6 AS INT))"),
+    "amount": "CAST(CAST(value AS DECIMAL(10,2)) * 12 - 5 AS DECIMAL(10,2))",
+    "balance_before": "CAST(CAST(event_id * 3701 % 200000 AS DECIMAL(10,0)) / 100 AS DECIMAL(10,2))",
+    "lane": "CAST(event_id % 6 + 1 AS INT)",
+    "exit_time": _lost(83, f"CAST(ts AS TIMESTAMP) + {_PROCESSING}"),
+    "ingested_at": (
+        "CAST(ts AS TIMESTAMP) + IF(event_id % 61 = 1, INTERVAL 36 HOURS, INTERVAL 5 SECONDS)"
+        " + IF(copy = 1, INTERVAL 60 SECONDS, INTERVAL 0 SECONDS)"
+    ),
+}
 
 
 def shape_events(events: DataFrame) -> DataFrame:
     """Rows of `events` as charge events; batch and streaming frames alike."""
-    original = F.col("copy") == 0
-    partial = F.col("event_id") % 10 == 3
-    plaza = F.col("user_id") % 6
-    second_half = (F.dayofmonth("ts") > 15).cast("int")
-    plate = F.concat(
-        _pick(STATE_CODES, F.col("user_id") % 10),
-        F.lpad((F.col("user_id") % 99 + 1).cast("string"), 2, "0"),
-        _pick(list("ABCDEFGH"), (F.col("user_id") + second_half) % 8),
-        (F.col("user_id") % 9000 + 1000).cast("string"),
-    )
-    ts = F.col("ts").cast("timestamp")
-    shift = F.when(_every(61), F.expr("INTERVAL 36 HOURS")).otherwise(F.expr("INTERVAL 5 SECONDS"))
-    copied = F.when(original, F.expr("INTERVAL 0 SECONDS")).otherwise(F.expr("INTERVAL 60 SECONDS"))
-    processing = F.when(F.col("event_type") != "error", F.get_json_object("props", "$.k").cast("int"))
-
-    copies = F.when(F.col("event_id") % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     position = [c for c in ("event_id", "offset") if c in events.columns]
-    shaped = events.withColumn("copy", F.explode(copies)).select(
-        *position,
-        F.when(~(original & _every(97)), numbered("TX-", F.col("event_id"), 8)).alias("transaction_id"),
-        F.when(~(original & _every(83)), ts).alias("event_ts"),
-        numbered("PL", plaza + 1, 3).alias("plaza_id"),
-        F.when(~partial, _pick(PLAZA_NAMES, plaza)).alias("plaza_name"),
-        F.when(~partial, _pick(HIGHWAYS, plaza)).alias("highway"),
-        F.when(~(original & _every(89)), tag_number(F.col("user_id"))).alias("tag_id"),
-        F.when(~partial, plate).alias("vehicle_no"),
-        numbered("C", F.col("event_id") % 6 + 1, 1).alias("class_id"),
-        F.when(~partial, _pick(CLASS_NAMES, F.col("event_id") % 6)).alias("class_name"),
-        (F.col("value").cast("decimal(10,2)") * 12 - 5).cast("decimal(10,2)").alias("amount"),
-        ((F.col("event_id") * 3701 % 200000).cast("decimal(10,0)") / 100).cast("decimal(10,2)").alias("balance_before"),
-        (F.col("event_id") % 6 + 1).cast("int").alias("lane"),
-        F.when(~(original & _every(83)), ts + F.make_dt_interval(secs=processing)).alias("exit_time"),
-        (ts + shift + copied).alias("ingested_at"),
-    )
-    listed = F.col("tag_id").isin("TAG-00042", "TAG-00099", "TAG-00315")
+    columns = [f"{expression} AS {name}" for name, expression in EVENT_COLUMNS.items()]
+    shaped = events.selectExpr("*", _COPIES).selectExpr(*position, *columns)
     return shaped.withColumns({
         "balance_after": balance_after("balance_before", "amount"),
-        "status": status_after(F.coalesce(listed, F.lit(False)), "balance_before", "amount"),
+        "status": status_after("tag_id", "balance_before", "amount"),
     })
 
 
@@ -86,10 +87,11 @@ def raw_events(spark: SparkSession, sf_dir: str, since: date | None = None, befo
     `since`/`before` repeat a query's own date range on the stored time, so that
     it reaches the Parquet scan; rows without event time satisfy no date range.
     """
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    for bound, keeps in ((since, F.col("ts").__ge__), (before, F.col("ts").__lt__)):
+    events = spark.read.schema(EVENTS_DDL).parquet(f"{sf_dir}/events.parquet")
+    for bound, operator in ((since, ">="), (before, "<")):
         if bound is not None:
-            events = events.where(keeps(F.lit(datetime(bound.year, bound.month, bound.day)).cast("timestamp_ntz")))
+            midnight = datetime(bound.year, bound.month, bound.day).isoformat(" ")
+            events = events.where(f"ts {operator} TIMESTAMP_NTZ '{midnight}'")
     return shape_events(events)
 
 
@@ -99,7 +101,7 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 64)
     A row's position in its file serves as its message offset.
     """
     events = stream_parquet(spark, f"{sf_dir}/events.parquet", EVENTS_DDL, maxFilesPerTrigger=str(files_per_trigger))
-    return shape_events(events.withColumn("offset", F.col("_metadata.row_index")))
+    return shape_events(events.selectExpr("*", "_metadata.row_index AS offset"))
 
 
 def as_messages(events: DataFrame) -> DataFrame:
@@ -109,11 +111,10 @@ def as_messages(events: DataFrame) -> DataFrame:
     followed by a message cut off in the middle and by a null message.
     """
     time = F.coalesce(F.date_format("event_ts", WIRE_TIME), F.lit("not a time"))
-    text = event_json(events, time)
-    sent = F.when(_every(101), F.array(text, F.substring(text, 1, 20), F.lit(None).cast("string")))
-    offset = "offset" if "offset" in events.columns else "event_id"
-    messages = events.select(F.col(offset).alias("offset"), F.explode(F.coalesce(sent, F.array(text))).alias("text"))
-    return messages.select("offset", F.col("text").cast("binary").alias("value"))
+    offset = "offset" if "offset" in events.columns else "event_id AS offset"
+    sent = "CASE WHEN event_id % 101 = 1 THEN array(text, substring(text, 1, 20), NULL) ELSE array(text) END"
+    texts = events.withColumn("text", event_json(events, time)).selectExpr(offset, f"explode({sent}) AS text")
+    return texts.selectExpr("offset", "CAST(text AS BINARY) AS value")
 
 
 def lineitem_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,5 +122,5 @@ def lineitem_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return lineitem.select(
         date_id("l_shipdate").alias("date_id"),
-        F.col("l_extendedprice").cast("decimal(14,2)").alias("amount"),
+        F.expr("CAST(l_extendedprice AS DECIMAL(14,2)) AS amount"),
     )

@@ -6,13 +6,14 @@ Each query has its own checkpoint. A bounded source (`maxFilesPerTrigger`,
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from gantry.functions.charges import FLAGGED
+from gantry.functions.dates import event_hour_columns
 from gantry.functions.measures import count_where
 from gantry.schemas import RAW_PARTITIONS
 
@@ -20,20 +21,34 @@ SUMMARY_KEYS = ("plaza_id", "highway", *RAW_PARTITIONS)
 TRIGGER = "10 seconds"
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """State beyond executor memory: keep it in RocksDB, checkpointed as changes."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
 def _start(writer: DataStreamWriter, checkpoint: str, interval: str | None) -> StreamingQuery:
     """Every `interval`, or, without one, everything available and then stop."""
     timing = {"processingTime": interval} if interval else {"availableNow": True}
     return writer.option("checkpointLocation", checkpoint).trigger(**timing).start()
 
 
-def land_raw(events: DataFrame, path: str, checkpoint: str, interval: str | None = TRIGGER) -> StreamingQuery:
+def land_raw(events: DataFrame, path: str, checkpoint: str, interval: str | None = TRIGGER,
+             partition_by: Sequence[str] = RAW_PARTITIONS, writers: int | None = None) -> StreamingQuery:
     """Append validated events to the raw zone, one folder per event hour.
 
-    No shuffle: rows are written by the task that read them. Late rows go to the
-    hour they belong to.
+    No shuffle: rows are written by the task that read them, and a feed in time
+    order touches few folders per task. Late rows go to the hour they belong to.
+    `writers` spreads the hours of a replay over that many tasks; only for an
+    input with fewer splits than that, since an hour is then one task's work.
     """
+    if writers:
+        events = events.repartition(writers, *partition_by)
     writer = events.writeStream.format("parquet").option("path", path).option("compression", "zstd")
-    return _start(writer.partitionBy(*RAW_PARTITIONS).outputMode("append"), checkpoint, interval)
+    return _start(writer.partitionBy(*partition_by).outputMode("append"), checkpoint, interval)
 
 
 def land_rejected(rejected: DataFrame, path: str, checkpoint: str, interval: str | None = TRIGGER) -> StreamingQuery:
@@ -42,19 +57,31 @@ def land_rejected(rejected: DataFrame, path: str, checkpoint: str, interval: str
     return _start(writer.partitionBy("reason").outputMode("append"), checkpoint, interval)
 
 
-def vehicle_totals(events: DataFrame) -> DataFrame:
-    """Totals per summary group *and* vehicle.
+def _by_hour(events: DataFrame, delay: str | None) -> DataFrame:
+    """Events with their hour as a window, which a watermark can close."""
+    marked = events if delay is None else events.withWatermark("event_ts", delay)
+    return marked.withColumn("slot", F.window("event_ts", "1 hour"))
+
+
+def _with_hour_columns(totals: DataFrame) -> DataFrame:
+    return totals.withColumns(event_hour_columns("slot.start")).drop("slot")
+
+
+def vehicle_totals(events: DataFrame, delay: str | None = None) -> DataFrame:
+    """Totals per plaza, highway, event hour *and* vehicle.
 
     Spark has no distinct count over a stream, and a set of tags per group would
     grow in one state row. With the vehicle in the key the state is one small row
     per vehicle and hour, spread over all tasks, and the distinct count is a count
-    of rows in `roll_up`.
+    of rows in `roll_up`. With `delay` the state of an hour goes once the hour is
+    that old; rows later than that are left to the late-day repair of the mart.
     """
-    return events.groupBy(*SUMMARY_KEYS, "tag_id").agg(
+    totals = _by_hour(events, delay).groupBy("plaza_id", "highway", "slot", "tag_id").agg(
         F.count("transaction_id").alias("tx_count"),
         F.sum("amount").alias("total_revenue"),
         count_where(F.col("status") == FLAGGED).alias("flagged_count"),
     )
+    return _with_hour_columns(totals)
 
 
 def roll_up(totals: DataFrame) -> DataFrame:
@@ -72,17 +99,18 @@ def summary(events: DataFrame) -> DataFrame:
     return roll_up(vehicle_totals(events))
 
 
-def approx_summary(events: DataFrame, error: float = 0.01) -> DataFrame:
+def approx_summary(events: DataFrame, error: float = 0.01, delay: str | None = None) -> DataFrame:
     """Streaming summary whose vehicle count is a sketch: one state row per group.
 
-    For groups with too many vehicles to keep a row each; the count is approximate.
+    For hours with too many vehicles to keep a row each; the count is approximate.
     """
-    return events.groupBy(*SUMMARY_KEYS).agg(
+    totals = _by_hour(events, delay).groupBy("plaza_id", "highway", "slot").agg(
         F.count("transaction_id").alias("tx_count"),
         F.sum("amount").alias("total_revenue"),
         F.approx_count_distinct("tag_id", error).alias("unique_vehicles"),
         count_where(F.col("status") == FLAGGED).alias("flagged_count"),
     )
+    return _with_hour_columns(totals)
 
 
 def print_summary(events: DataFrame, checkpoint: str, interval: str | None = TRIGGER, rows: int = 20) -> StreamingQuery:
@@ -95,6 +123,7 @@ def print_summary(events: DataFrame, checkpoint: str, interval: str | None = TRI
 
 
 def publish_summary(events: DataFrame, path: str, checkpoint: str, interval: str | None = TRIGGER,
+                    delay: str | None = None,
                     also: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Keep the summary as a table that `read_summary` reads.
 
@@ -106,15 +135,16 @@ def publish_summary(events: DataFrame, path: str, checkpoint: str, interval: str
     def write(totals: DataFrame, batch: int) -> None:
         changed = totals.withColumn("batch", F.lit(batch).cast("bigint"))
         writer = changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("year", "month", "day", "batch").parquet(path)
+        writer.partitionBy("batch").parquet(path)
         if also is not None:
             also(totals, batch)
 
-    return _start(vehicle_totals(events).writeStream.foreachBatch(write).outputMode("update"), checkpoint, interval)
+    stream = vehicle_totals(events, delay).writeStream.foreachBatch(write)
+    return _start(stream.outputMode("update"), checkpoint, interval)
 
 
 def read_summary(spark: SparkSession, path: str, wanted: Column | None = None) -> DataFrame:
-    """The published summary; `wanted` may select days and prunes folders."""
+    """The published summary; `wanted` may select days or plazas."""
     changes = spark.read.parquet(path)
     changes = changes if wanted is None else changes.where(wanted)
     # Totals only grow, so the newest state of a row is its largest count.
