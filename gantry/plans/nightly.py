@@ -1,6 +1,6 @@
 """Load whole days into the mart, and load again the days that late rows changed.
 
-    spark-submit -m gantry.plans.nightly --raw <raw zone> --mart <mart root> [--date YYYY-MM-DD]
+    python -m gantry.plans.nightly --raw <raw zone> --mart <mart root> [--date YYYY-MM-DD | --repair]
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from gantry.operators.facts import clean_events, conform, revenue_facts
 from gantry.plans.mart import hourly_from_facts, latest_snapshot
 from gantry.schemas import MART
 from gantry.session import build_session, pin_utc
-from gantry.sources.readers import read_raw, require_days
+from gantry.sources.readers import on_days, read_raw, require_days
 from gantry.sources.writers import read_table, write_table
 
 
@@ -33,19 +33,21 @@ class Loaded:
     checks: tuple
 
 
-def load_days(spark: SparkSession, raw_root: str, mart_root: str, days: Iterable[date]) -> Loaded:
-    """Load days into the mart; loading a day again replaces it.
+def load_days(spark: SparkSession, raw: DataFrame, mart_root: str, days: Iterable[date]) -> Loaded:
+    """Load days of the raw zone into the mart; loading a day again replaces it.
 
-    Dimensions come before facts, so no fact is ever without its date. The fact
-    partitions are read back for the aggregate and the checks: they cut the
-    lineage at a table, and the raw day is read once for facts and once for plates.
+    `raw` is the whole zone, read by path or from the catalog; the days are
+    partition filters on it. Dimensions come before facts, so no fact is ever
+    without its date. The fact partitions are read back for the aggregate and the
+    checks: a written table cuts the lineage, and nothing is worked out twice.
+    Raises DataQualityError, with the data in place, when a check fails.
     """
     pin_utc(spark)
     days = tuple(sorted(set(days)))
     started = datetime.now(timezone.utc)
-    require_days(spark, raw_root, days)
+    require_days(raw, days)
 
-    events = read_raw(spark, raw_root, days)
+    events = raw.where(on_days(days))
     load_dimensions(spark, mart_root, days, events)
 
     payment = read_table(spark, mart_root, "dim_payment")
@@ -82,13 +84,14 @@ def load_dimensions(spark: SparkSession, root: str, days: Sequence[date], events
     }
     for table, rows in seeds.items():
         new = dims.absent_rows(rows, _existing(spark, root, table), MART[table].key)
-        write_table(new, root, table, mode="append")
+        if not new.isEmpty():
+            write_table(new, root, table, mode="append")
 
     vehicles = _existing(spark, root, "dim_vehicle")
     known = vehicles.where(latest_snapshot(vehicles))
     merged = dims.merge_vehicles(known, dims.vehicles(events))
     # A new snapshot each time: readers keep the one they opened.
-    write_table(merged.withColumn("snapshot", F.lit(time.time_ns())), root, "dim_vehicle")
+    write_table(merged.withColumn("snapshot", F.lit(time.time_ns())), root, "dim_vehicle", mode="append")
 
 
 def late_days(raw: DataFrame, builds: DataFrame) -> DataFrame:
@@ -97,7 +100,6 @@ def late_days(raw: DataFrame, builds: DataFrame) -> DataFrame:
     `builds` has `date_id` and `loaded_at`; the newest build of a day counts.
     """
     built = builds.groupBy("date_id").agg(F.max("loaded_at").alias("built_at"))
-    # Combined per day and ingest time before the join: one row per day joins.
     arrived = raw.where(F.col("event_ts").isNotNull()).select(date_id("event_ts").alias("date_id"), "ingested_at")
     late = F.col("built_at").isNull() | (F.col("ingested_at") > F.col("built_at"))
     return (
@@ -108,13 +110,13 @@ def late_days(raw: DataFrame, builds: DataFrame) -> DataFrame:
     )
 
 
-def repair_late(spark: SparkSession, raw_root: str, mart_root: str) -> Loaded | None:
+def repair_late(spark: SparkSession, raw: DataFrame, mart_root: str) -> Loaded | None:
     """Load every late day again, all in one job; None when there is none."""
     pin_utc(spark)
-    late = late_days(read_raw(spark, raw_root), read_table(spark, mart_root, "agg_hourly_revenue"))
+    late = late_days(raw, read_table(spark, mart_root, "agg_hourly_revenue"))
     # One row per day, not per event, comes to the driver.
     days = [key_day(row["date_id"]) for row in late.select("date_id").collect()]
-    return load_days(spark, raw_root, mart_root, days) if days else None
+    return load_days(spark, raw, mart_root, days) if days else None
 
 
 def main(argv: Sequence[str] | None = None) -> None:
@@ -122,9 +124,14 @@ def main(argv: Sequence[str] | None = None) -> None:
     arguments.add_argument("--raw", required=True)
     arguments.add_argument("--mart", required=True)
     arguments.add_argument("--date", type=parse_day, default=None, help="YYYY-MM-DD; yesterday (UTC) if not given")
+    arguments.add_argument("--repair", action="store_true", help="load the days that late rows changed instead")
     given = arguments.parse_args(argv)
     spark = build_session("gantry-nightly")
-    load_days(spark, given.raw, given.mart, [given.date or yesterday_utc()])
+    raw = read_raw(spark, given.raw)
+    if given.repair:
+        repair_late(spark, raw, given.mart)
+    else:
+        load_days(spark, raw, given.mart, [given.date or yesterday_utc()])
 
 
 if __name__ == "__main__":

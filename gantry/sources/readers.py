@@ -44,14 +44,13 @@ def on_days(days: Iterable[date]) -> Column:
     return reduce(or_, wanted, F.lit(False))
 
 
-def read_raw(spark: SparkSession, root: str, days: Iterable[date] | None = None) -> DataFrame:
-    """Landed events, limited to whole days by partition pruning."""
-    raw = spark.read.schema(RAW_DDL).parquet(root)
-    return raw if days is None else raw.where(on_days(days))
+def read_raw(spark: SparkSession, root: str) -> DataFrame:
+    """Landed events by path. Where the zone is registered, `spark.table` spares the file listing."""
+    return spark.read.schema(RAW_DDL).parquet(root)
 
 
-def require_days(spark: SparkSession, root: str, days: Iterable[date]) -> None:
+def require_days(raw: DataFrame, days: Iterable[date]) -> None:
     """Raise unless every day has landed rows. Stops at the first row of each day."""
-    missing = [d.isoformat() for d in sorted(set(days)) if read_raw(spark, root, [d]).isEmpty()]
+    missing = [d.isoformat() for d in sorted(set(days)) if raw.where(on_days([d])).isEmpty()]
     if missing:
-        raise FileNotFoundError(f"no raw data below {root} for {', '.join(missing)}")
+        raise FileNotFoundError(f"no raw data for {', '.join(missing)}")

@@ -1,0 +1,77 @@
+"""Message bytes to events and back."""
+
+import json
+from datetime import datetime
+from decimal import Decimal
+
+from pyspark.sql import functions as F
+
+from gantry.operators import events as ev
+from gantry.sources.testdata import as_messages, raw_events
+
+FULL = {
+    "transaction_id": "0b0e4a4e-7a55-4c8a-9d68-7b8f4f9a2d11", "timestamp": "2025-07-15T14:30:00.123456Z",
+    "plaza_id": "PL001", "plaza_name": "North", "highway": "NH-58", "tag_id": "TAG-00007", "vehicle_no": "DL01A1000",
+    "class_id": "C2", "class_name": "Car/Jeep/Van", "amount": 75, "balance_before": 100.5, "balance_after": 25.5,
+    "status": "SUCCESS", "lane": 3,
+}
+PARTIAL = {k: FULL[k] for k in ("transaction_id", "timestamp", "plaza_id", "tag_id", "class_id", "amount", "status", "lane")}
+
+
+def messages(spark, *texts):
+    rows = [(None if t is None else bytearray(t if isinstance(t, bytes) else json.dumps(t).encode()),) for t in texts]
+    return spark.createDataFrame(rows, "value BINARY")
+
+
+def test_full_and_partial_events(spark):
+    full, partial = ev.parse_events(messages(spark, FULL, PARTIAL)).collect()
+    assert full["event_ts"] == datetime(2025, 7, 15, 14, 30, 0, 123456)
+    assert full["amount"] == Decimal("75.00") and full["balance_after"] == Decimal("25.50") and full["lane"] == 3
+    assert "timestamp" not in full.asDict()
+    assert partial["highway"] is None and partial["balance_before"] is None and partial["tag_id"] == "TAG-00007"
+
+
+def test_unreadable_messages_become_null_rows(spark):
+    parsed = ev.parse_events(messages(spark, b"{\"transaction_id\": \"T", None, b"not json", b"[1, 2]"))
+    assert parsed.count() == 4
+    assert parsed.dropna("all").isEmpty()
+    assert ev.valid_events(parsed).isEmpty()
+
+
+def test_bad_time_does_not_stop_the_rest(spark):
+    parsed = ev.parse_events(messages(spark, {**FULL, "timestamp": "yesterday"}, FULL))
+    assert [r["event_ts"] is None for r in parsed.collect()] == [True, False]
+    assert [r["reason"] for r in ev.quarantine(parsed).collect()] == ["unreadable event time"]
+
+
+def test_one_bad_field_does_not_lose_the_others(spark):
+    row = ev.parse_events(messages(spark, {**FULL, "lane": "left"})).first()
+    assert row["lane"] is None and row["transaction_id"] == FULL["transaction_id"]
+
+
+def test_message_columns_can_be_kept(spark):
+    df = messages(spark, FULL).withColumn("offset", F.lit(7))
+    assert ev.parse_events(df, keep=["offset"]).first()["offset"] == 7
+
+
+def test_round_trip(spark, sf):
+    events = raw_events(spark, sf).drop("event_id", "exit_time", "ingested_at")
+    back = ev.parse_events(ev.encode_events(events)).select(*events.columns)
+    assert back.exceptAll(events).isEmpty() and events.exceptAll(back).isEmpty()
+
+
+def test_noise_adds_rows_and_changes_none(spark, sf):
+    events = raw_events(spark, sf)
+    noisy = ev.parse_events(as_messages(events))
+    assert noisy.count() > events.count()
+    assert ev.valid_events(noisy).count() == ev.valid_events(events).count()
+
+
+def test_event_rules_hold(spark, sf):
+    rows = raw_events(spark, sf)
+    broken = rows.where(
+        "status NOT IN ('SUCCESS', 'LOW_BALANCE', 'FLAGGED') OR balance_after < 0 OR lane < 1 OR lane > 6"
+        " OR NOT plaza_id RLIKE '^PL00[1-6]$' OR NOT class_id RLIKE '^C[1-6]$'"
+        " OR (tag_id IN ('TAG-00042', 'TAG-00099', 'TAG-00315') AND status <> 'FLAGGED')"
+    )
+    assert broken.isEmpty()

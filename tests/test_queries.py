@@ -1,0 +1,47 @@
+"""Every registered query against its SQL, and the counts stated for the adapter."""
+
+import pytest
+from compare import duck_rows, spark_rows
+
+from __spark_entry__ import entry, oracle_sql, queries
+
+EXPECTED = {
+    # raw rows, clean rows, clean amount sum, flagged, low balance, success, orphan plazas
+    "sf0.001": (1020, 965, 576943.04, 0, 275, 690, 126),
+    "sf0.01": (10200, 9603, 5725978.56, 118, 2755, 6730, 1653),
+    "sf0.1": (102000, 95945, 57303344.00, 192, 27608, 68145, 15671),
+}
+
+
+def test_every_query_has_its_sql():
+    assert set(queries()) == set(oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(queries()))
+def test_query_matches_sql(spark, sf, name):
+    result = queries()[name](spark, sf)
+    columns, expected = duck_rows(oracle_sql()[name], sf)
+    assert sorted(result.columns) == columns
+    assert spark_rows(result) == expected
+
+
+def test_entry_runs(spark):
+    assert entry(spark).count() == 5
+
+
+@pytest.mark.parametrize("scale", sorted(EXPECTED))
+def test_adapter_counts(spark, scale):
+    from pyspark.sql import functions as F
+
+    from gantry.operators.dims import plaza_seed
+    from gantry.operators.events import validate_and_enrich
+    from gantry.operators.facts import clean_events
+    from gantry.sources.testdata import raw_events
+
+    raw = raw_events(spark, f"/root/testdata/{scale}")
+    clean = clean_events(validate_and_enrich(raw))
+    n, amount, flagged, low, success = clean.agg(
+        F.count("*"), F.sum("amount"), *[F.count_if(F.col("status") == s) for s in ("FLAGGED", "LOW_BALANCE", "SUCCESS")]
+    ).first()
+    orphans = clean.join(plaza_seed(spark), "plaza_id", "left_anti").count()
+    assert (raw.count(), n, float(amount), flagged, low, success, orphans) == EXPECTED[scale]

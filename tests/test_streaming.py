@@ -1,0 +1,140 @@
+"""Streams against the same input in one batch."""
+
+import pytest
+from compare import spark_rows
+from pyspark.sql import functions as F
+
+from gantry.operators import events as ev
+from gantry.session import scratch_dir
+from gantry.sources.readers import read_messages, read_raw
+from gantry.sources.testdata import EVENTS_DDL, as_messages, event_stream, raw_events
+from gantry.streaming import landing
+
+LANDED = ["transaction_id", "tag_id", "plaza_id", "amount", "status", "event_ts", "year", "month", "day"]
+
+
+@pytest.fixture(scope="module")
+def split(spark, sf):
+    """The events in six files, in no order of time, with the repeats in other files than the originals."""
+    root = scratch_dir(spark, "split")
+    events = spark.read.schema(EVENTS_DDL).parquet(f"{sf}/events.parquet")
+    events.repartition(6, "event_id").write.parquet(f"{root}/events.parquet")
+    return root
+
+
+def coarse(events):
+    """Hour folders cut to two a day: the tests need not write hundreds of files."""
+    return events.withColumn("hour", F.expr("hour DIV 12"))
+
+
+def stream(spark, root, files=2):
+    messages = as_messages(event_stream(spark, root, files))
+    return ev.parse_events(messages, keep=["offset"])
+
+
+def batch(spark, sf):
+    return ev.validate_and_enrich(raw_events(spark, sf))
+
+
+def test_landing_equals_batch_over_several_triggers(spark, sf, split):
+    work = scratch_dir(spark, "landing")
+    valid = coarse(ev.validate_and_enrich(stream(spark, split)).drop("offset"))
+    query = landing.land_raw(valid, f"{work}/raw", f"{work}/check", interval=None, writers=8)
+    landing.wait_all([query])
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) == 3
+    assert spark_rows(read_raw(spark, f"{work}/raw").select(*LANDED)) == spark_rows(batch(spark, sf).select(*LANDED))
+    # Started again on the same checkpoint there is nothing left to do.
+    again = landing.land_raw(valid, f"{work}/raw", f"{work}/check", interval=None, writers=8)
+    landing.wait_all([again])
+    assert read_raw(spark, f"{work}/raw").count() == batch(spark, sf).count()
+
+
+def test_summary_equals_batch_over_several_triggers(spark, sf, split):
+    work = scratch_dir(spark, "summary")
+    valid = ev.validate_and_enrich(stream(spark, split))
+    seen = []
+    landing.wait_all([landing.publish_summary(
+        valid, f"{work}/summary", f"{work}/check", interval=None, also=lambda df, i: seen.append(i))])
+    want = spark_rows(landing.summary(batch(spark, sf)))
+    assert seen == [0, 1, 2]
+    assert spark_rows(landing.read_summary(spark, f"{work}/summary")) == want
+
+
+def test_summary_trigger_run_again_counts_once(spark, sf, split):
+    work = scratch_dir(spark, "again")
+    totals = landing.vehicle_totals(batch(spark, sf)).withColumn("batch", F.lit(0).cast("bigint"))
+    for _ in range(2):
+        totals.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(work)
+    assert spark_rows(landing.read_summary(spark, work)) == spark_rows(landing.summary(batch(spark, sf)))
+
+
+def test_summary_with_watermark_keeps_rows_in_time(spark, sf):
+    work = scratch_dir(spark, "delay")
+    valid = ev.validate_and_enrich(stream(spark, sf))
+    landing.wait_all([landing.publish_summary(valid, f"{work}/s", f"{work}/c", interval=None, delay="2 days")])
+    assert spark_rows(landing.read_summary(spark, f"{work}/s")) == spark_rows(landing.summary(batch(spark, sf)))
+
+
+def test_approximate_summary_is_exact_on_small_groups(spark, sf):
+    exact, approx = landing.summary(batch(spark, sf)), landing.approx_summary(batch(spark, sf))
+    assert spark_rows(approx.select(*exact.columns)) == spark_rows(exact)
+
+
+def test_console_summary(spark, sf, split, capsys):
+    work = scratch_dir(spark, "console")
+    landing.wait_all([landing.print_summary(ev.validate_and_enrich(stream(spark, split, 6)), work, interval=None, rows=3)])
+    assert "unique_vehicles" in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("position", [None, "offset"])
+def test_copies_across_triggers_land_once(spark, sf, split, position):
+    work = scratch_dir(spark, "dedup")
+    valid = ev.validate_and_enrich(stream(spark, split))
+    once = landing.first_seen(valid, "40 days", position).drop("offset")
+    landing.wait_all([landing.land_raw(once, f"{work}/raw", f"{work}/check", interval=None, partition_by=())])
+    landed = read_raw(spark, f"{work}/raw")
+    assert landed.count() == landed.select("transaction_id").distinct().count() == 965
+
+
+def test_rejected_rows_keep_their_reason(spark, sf, split):
+    work = scratch_dir(spark, "ingest")
+    parsed = stream(spark, split, 6)
+    queries = landing.start_ingest(
+        coarse(ev.validate_and_enrich(parsed).drop("offset")), ev.quarantine(parsed), work, f"{work}/check", interval=None)
+    landing.wait_all(queries)
+    rejected = spark.read.parquet(f"{work}/rejected")
+    landed = read_raw(spark, f"{work}/raw")
+    total = as_messages(raw_events(spark, sf)).count()
+    assert landed.count() + rejected.count() == total
+    assert rejected.where("reason = 'unreadable event time'").count() > 0
+    assert spark_rows(landing.read_summary(spark, f"{work}/summary")) == spark_rows(landing.summary(batch(spark, sf)))
+
+
+def test_blacklist_table_joins_a_stream(spark, sf, split):
+    work = scratch_dir(spark, "listed")
+    blacklist = spark.createDataFrame([("TAG-00001",), ("TAG-00007",)], "tag_id STRING")
+    flagged = ev.flag_from_table(ev.valid_events(stream(spark, split, 6)), blacklist).select("tag_id", "status")
+    query = landing.land_raw(flagged, f"{work}/out", f"{work}/check", interval=None, partition_by=())
+    landing.wait_all([query])
+    want = ev.flag_from_table(ev.valid_events(raw_events(spark, sf)), blacklist).select("tag_id", "status")
+    assert spark_rows(spark.read.parquet(f"{work}/out")) == spark_rows(want)
+
+
+def test_any_source_with_messages(spark):
+    rate = read_messages(spark, {"rowsPerSecond": "5"}, source="rate").selectExpr("CAST(CAST(value AS STRING) AS BINARY) AS value")
+    assert rate.isStreaming and ev.parse_events(rate).isStreaming
+
+
+def test_a_failed_query_stops_the_others(spark, sf, split):
+    work = scratch_dir(spark, "fail")
+    parsed = stream(spark, split)
+
+    def fail(df, batch):
+        raise RuntimeError("warehouse is away")
+
+    bad = landing.publish_summary(ev.validate_and_enrich(parsed), f"{work}/s", f"{work}/c1", interval=None, also=fail)
+    idle = landing.land_raw(ev.validate_and_enrich(parsed).drop("offset").limit(0), f"{work}/r", f"{work}/c2",
+                            interval="1 hour", partition_by=())
+    with pytest.raises(Exception, match="warehouse is away"):
+        landing.wait_all([bad, idle])
+    assert not idle.isActive
