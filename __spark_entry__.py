@@ -17,7 +17,7 @@ from gantry.operators import dims, events as ev, facts as fa, quality  # noqa: E
 from gantry.plans import kpis, lookups  # noqa: E402
 from gantry.plans.mart import CALENDAR, Mart, mart_from_events  # noqa: E402
 from gantry.plans.nightly import late_days  # noqa: E402
-from gantry.session import pin_utc, scratch_dir  # noqa: E402
+from gantry.session import prepare, scratch_dir  # noqa: E402
 from gantry.sources import testdata  # noqa: E402
 from gantry.sources.readers import read_raw  # noqa: E402
 from gantry.streaming import landing  # noqa: E402
@@ -41,7 +41,7 @@ def _portable(df: DataFrame) -> DataFrame:
 
 
 def _raw(spark: SparkSession, sf_dir: str, since: date | None = None, before: date | None = None) -> DataFrame:
-    return testdata.raw_events(pin_utc(spark), sf_dir, since, before)
+    return testdata.raw_events(prepare(spark), sf_dir, since, before)
 
 
 def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +120,7 @@ def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream of JSON messages, parsed and validated."""
     landing.keep_state_on_disk(spark)
-    messages = testdata.as_messages(testdata.event_stream(pin_utc(spark), sf_dir))
+    messages = testdata.as_messages(testdata.event_stream(prepare(spark), sf_dir))
     return ev.validate_and_enrich(ev.parse_events(messages, keep=["offset"]))
 
 
@@ -144,8 +144,9 @@ def _stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replay reads files in any order of time, so no row of the whole history may count as late."""
     work = scratch_dir(spark, "dedup")
-    once = landing.first_seen(_stream(spark, sf_dir), position="offset").drop("offset")
+    once = landing.first_seen(_stream(spark, sf_dir), delay="36500 days", position="offset").drop("offset")
     query = landing.land_raw(once, f"{work}/once", f"{work}/checkpoint", interval=None, partition_by=())
     landing.wait_all([query])
     return read_raw(spark, f"{work}/once").select(*EVENT_COLUMNS)
@@ -208,7 +209,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kpi_weekend_weekday": lambda s, d: kpis.weekend_weekday(_mart(s, d, days=30), AS_OF),
         "kpi_monthly_trend": lambda s, d: kpis.monthly_trend(_mart(s, d).revenue, dims.calendar(s, *CALENDAR)),
         "kpi_monthly_trend_lineitem": lambda s, d: kpis.monthly_trend(
-            testdata.lineitem_facts(pin_utc(s), d), dims.calendar(s, *CALENDAR)),
+            testdata.lineitem_facts(prepare(s), d), dims.calendar(s, *CALENDAR)),
         "kpi_low_balance_24h": _low_balance,
         "kpi_highway_sla": _sla,
         "api_active_plazas": _plazas,

@@ -37,8 +37,9 @@ def balance_after(balance: str, amount: str) -> Column:
 
 def numbered(prefix: str, number: str, width: int) -> str:
     """SQL for a zero-padded identifier; numbers wider than `width` keep all their digits."""
-    digits = f"CAST({number} AS STRING)"
-    return f"'{prefix}' || lpad({digits}, greatest(length({digits}), {width}), '0')"
+    limit = 10**width
+    padded = f"substring(CAST({number} + {limit} AS STRING), 2)"
+    return f"'{prefix}' || IF({number} < {limit}, {padded}, CAST({number} AS STRING))"
 
 
 def tag_number(number: str) -> Column:

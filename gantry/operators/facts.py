@@ -12,21 +12,22 @@ from gantry.functions.dates import date_id
 from gantry.functions.measures import count_where, mean_money, total
 from gantry.schemas import LOW_BALANCE_PAYMENT, TAG_METHOD
 
-# Order in which copies of one transaction are preferred. It goes on until copies
-# that still tie agree in every column a fact has, so reruns keep the same row.
-_SURVIVOR_ORDER = (
-    "event_ts", "ingested_at", "amount", "status", "plaza_id", "tag_id", "class_id", "lane", "exit_time",
-)
+# Columns a fact takes over from its event beside the times.
+_FACT_COLUMNS = ("amount", "status", "plaza_id", "tag_id", "class_id", "lane", "exit_time")
 
 
 def first_copy(events: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per key, the earliest.
+    """One row per key: the earliest by event time, then by ingest time.
 
-    `row_number() = 1` lets Spark place a group limit before the shuffle, so each
-    input task sends at most one copy per key however many copies there are.
+    Copies equal in both are told apart by a fingerprint of what a fact keeps, so
+    reruns choose the same row while the shuffle carries eight bytes, not every
+    column. `row_number() = 1` lets Spark place a group limit before the shuffle:
+    each input task sends at most one copy per key however many copies there are.
     """
-    order = [f"{c} ASC NULLS LAST" for c in _SURVIVOR_ORDER if c in events.columns]
-    rank = F.expr(f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {', '.join(order)})")
+    times = [f"{c} ASC NULLS LAST" for c in ("event_ts", "ingested_at") if c in events.columns]
+    kept = [c for c in _FACT_COLUMNS if c in events.columns]
+    order = ", ".join([*times, f"xxhash64({', '.join(kept)})"])
+    rank = F.expr(f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {order})")
     return events.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 

@@ -20,7 +20,7 @@ from gantry.operators import dims, quality
 from gantry.operators.facts import clean_events, conform, revenue_facts
 from gantry.plans.mart import hourly_from_facts, latest_snapshot
 from gantry.schemas import MART
-from gantry.session import build_session, pin_utc
+from gantry.session import build_session, prepare
 from gantry.sources.readers import on_days, read_raw, require_days
 from gantry.sources.writers import read_table, write_table
 
@@ -42,7 +42,7 @@ def load_days(spark: SparkSession, raw: DataFrame, mart_root: str, days: Iterabl
     checks: a written table cuts the lineage, and nothing is worked out twice.
     Raises DataQualityError, with the data in place, when a check fails.
     """
-    pin_utc(spark)
+    prepare(spark)
     days = tuple(sorted(set(days)))
     started = datetime.now(timezone.utc)
     require_days(raw, days)
@@ -112,7 +112,7 @@ def late_days(raw: DataFrame, builds: DataFrame) -> DataFrame:
 
 def repair_late(spark: SparkSession, raw: DataFrame, mart_root: str) -> Loaded | None:
     """Load every late day again, all in one job; None when there is none."""
-    pin_utc(spark)
+    prepare(spark)
     late = late_days(raw, read_table(spark, mart_root, "agg_hourly_revenue"))
     # One row per day, not per event, comes to the driver.
     days = [key_day(row["date_id"]) for row in late.select("date_id").collect()]

@@ -47,7 +47,8 @@ _PLATE = (
     f" || get({PLATE_LETTERS}, CAST((user_id + IF(dayofmonth(ts) > 15, 1, 0)) % 8 AS INT))"
     " || CAST(user_id % 9000 + 1000 AS STRING)"
 )
-_PROCESSING = "make_dt_interval(0, 0, 0, CASE WHEN event_type <> 'error' THEN CAST(get_json_object(props, '$.k') AS INT) END)"
+# `props` is {"k": n}: cutting the number out costs a tenth of parsing the text.
+_SECONDS = "IF(event_type <> 'error', try_cast(rtrim('}', substring_index(props, ':', -1)) AS INT), NULL)"
 
 EVENT_COLUMNS = {
     "transaction_id": _lost(97, numbered("TX-", "event_id", 8)),
@@ -60,9 +61,9 @@ EVENT_COLUMNS = {
     "class_id": "'C' || CAST(event_id % 6 + 1 AS STRING)",
     "class_name": _optional(f"get({CLASS_NAMES}, CAST(event_id % 6 AS INT))"),
     "amount": "CAST(CAST(value AS DECIMAL(10,2)) * 12 - 5 AS DECIMAL(10,2))",
-    "balance_before": "CAST(CAST(event_id * 3701 % 200000 AS DECIMAL(10,0)) / 100 AS DECIMAL(10,2))",
+    "balance_before": "CAST(CAST(event_id * 3701 % 200000 AS DECIMAL(10,0)) * 0.01BD AS DECIMAL(10,2))",
     "lane": "CAST(event_id % 6 + 1 AS INT)",
-    "exit_time": _lost(83, f"CAST(ts AS TIMESTAMP) + {_PROCESSING}"),
+    "exit_time": _lost(83, f"dateadd(SECOND, {_SECONDS}, CAST(ts AS TIMESTAMP))"),
     "ingested_at": (
         "CAST(ts AS TIMESTAMP) + IF(event_id % 61 = 1, INTERVAL 36 HOURS, INTERVAL 5 SECONDS)"
         " + IF(copy = 1, INTERVAL 60 SECONDS, INTERVAL 0 SECONDS)"
@@ -95,12 +96,13 @@ def raw_events(spark: SparkSession, sf_dir: str, since: date | None = None, befo
     return shape_events(events)
 
 
-def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 64) -> DataFrame:
-    """The same charge events as a stream, a bounded number of files at a time.
+def event_stream(spark: SparkSession, sf_dir: str, **limits: str) -> DataFrame:
+    """The same charge events as a stream; `limits` bound one trigger, a terabyte if not given.
 
     A row's position in its file serves as its message offset.
     """
-    events = stream_parquet(spark, f"{sf_dir}/events.parquet", EVENTS_DDL, maxFilesPerTrigger=str(files_per_trigger))
+    limits = limits or {"maxBytesPerTrigger": "1t"}
+    events = stream_parquet(spark, f"{sf_dir}/events.parquet", EVENTS_DDL, **limits)
     return shape_events(events.selectExpr("*", "_metadata.row_index AS offset"))
 
 

@@ -28,7 +28,7 @@ def coarse(events):
 
 
 def stream(spark, root, files=2):
-    messages = as_messages(event_stream(spark, root, files))
+    messages = as_messages(event_stream(spark, root, maxFilesPerTrigger=str(files)))
     return ev.parse_events(messages, keep=["offset"])
 
 
