@@ -101,7 +101,7 @@ def event_stream(spark: SparkSession, sf_dir: str, **limits: str) -> DataFrame:
 
     A row's position in its file serves as its message offset.
     """
-    limits = limits or {"maxBytesPerTrigger": "1t"}
+    limits = limits or {"maxBytesPerTrigger": str(10**12)}
     events = stream_parquet(spark, f"{sf_dir}/events.parquet", EVENTS_DDL, **limits)
     return shape_events(events.selectExpr("*", "_metadata.row_index AS offset"))
 
