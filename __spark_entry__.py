@@ -1,4 +1,4 @@
-"""Registered queries: every operator over the given tables, with its SQL twin in `oracle.py`."""
+"""Registered queries: every operator over the given tables, with its SQL twin in `duckdb_sql.py`."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ from gantry.session import prepare, scratch_dir  # noqa: E402
 from gantry.sources import testdata  # noqa: E402
 from gantry.sources.readers import read_raw  # noqa: E402
 from gantry.streaming import landing  # noqa: E402
-import oracle  # noqa: E402
+import duckdb_sql  # noqa: E402
 
 AS_OF = date(2024, 1, 30)
 NOW = datetime(2024, 1, 31)
@@ -251,4 +251,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.all_sql()
+    return duckdb_sql.all_sql()

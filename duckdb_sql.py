@@ -109,7 +109,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         QUALIFY row_number() OVER (PARTITION BY tag_id
             ORDER BY vehicle_no IS NOT NULL DESC, seen DESC, vehicle_no DESC) = 1"""),
     "messages": (("raw",), """
-        SELECT event_id, unnest(CASE WHEN event_id % 101 = 1 THEN [text, substr(text, 1, 20), NULL] ELSE [text] END) AS text
+        SELECT event_id, unnest(CASE WHEN event_id % 101 = 1 THEN [text, '{' || text, NULL] ELSE [text] END) AS text
         FROM (SELECT event_id, '{' || concat_ws(',',
             '"transaction_id":"' || transaction_id || '"',
             '"timestamp":"' || coalesce(strftime(event_ts, '%Y-%m-%dT%H:%M:%S.%fZ'), 'not a time') || '"',
@@ -277,7 +277,7 @@ def all_sql() -> dict[str, str]:
         "parse_events": _query("messages raw", f"""
             SELECT {_EVENT} FROM raw
             UNION ALL
-            SELECT {', '.join(['NULL'] * 14)} FROM messages WHERE text IS NULL OR text NOT LIKE '%}}'"""),
+            SELECT {', '.join(['NULL'] * 14)} FROM messages WHERE text IS NULL OR text LIKE '{{{{%'"""),
         "validate_enrich": _query("valid", f"SELECT {_EVENT}, {_RAW_HOUR} FROM valid"),
         "quarantine": _query("raw", """
             SELECT event_id, transaction_id, tag_id, CAST(amount AS DOUBLE) AS amount, event_ts,

@@ -9,6 +9,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gantry.schemas import RAW_DDL
 
@@ -26,7 +27,7 @@ def read_messages(spark: SparkSession, options: Mapping[str, str], source: str =
     return spark.readStream.format(source).options(**{**defaults, **options}).load()
 
 
-def stream_parquet(spark: SparkSession, path: str, schema: str, **options: str) -> DataFrame:
+def stream_parquet(spark: SparkSession, path: str, schema: T.StructType, **options: str) -> DataFrame:
     """Stream the files of a Parquet table, or one file.
 
     The last letter is put in brackets: a streaming source takes a plain file name

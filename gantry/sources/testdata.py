@@ -16,8 +16,6 @@ from gantry.functions.dates import date_id
 from gantry.operators.events import WIRE_TIME, event_json
 from gantry.sources.readers import stream_parquet
 
-EVENTS_DDL = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
-
 # Fixed values of the adapter.
 STATE_CODES = "array('DL', 'MH', 'KA', 'TN', 'WB', 'UP', 'RJ', 'GJ', 'AP', 'TS')"
 PLATE_LETTERS = "array('A', 'B', 'C', 'D', 'E', 'F', 'G', 'H')"
@@ -88,7 +86,7 @@ def raw_events(spark: SparkSession, sf_dir: str, since: date | None = None, befo
     `since`/`before` repeat a query's own date range on the stored time, so that
     it reaches the Parquet scan; rows without event time satisfy no date range.
     """
-    events = spark.read.schema(EVENTS_DDL).parquet(f"{sf_dir}/events.parquet")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
     for bound, operator in ((since, ">="), (before, "<")):
         if bound is not None:
             midnight = datetime(bound.year, bound.month, bound.day).isoformat(" ")
@@ -102,7 +100,8 @@ def event_stream(spark: SparkSession, sf_dir: str, **limits: str) -> DataFrame:
     A row's position in its file serves as its message offset.
     """
     limits = limits or {"maxBytesPerTrigger": str(10**12)}
-    events = stream_parquet(spark, f"{sf_dir}/events.parquet", EVENTS_DDL, **limits)
+    path = f"{sf_dir}/events.parquet"
+    events = stream_parquet(spark, path, spark.read.parquet(path).schema, **limits)
     return shape_events(events.selectExpr("*", "_metadata.row_index AS offset"))
 
 
@@ -110,11 +109,11 @@ def as_messages(events: DataFrame) -> DataFrame:
     """Encoded events, with some messages that cannot be read added between them.
 
     A row without event time sends a text that is no time. Every 101st event is
-    followed by a message cut off in the middle and by a null message.
+    followed by a message that is not well-formed and by a null message.
     """
     time = F.coalesce(F.date_format("event_ts", WIRE_TIME), F.lit("not a time"))
     offset = "offset" if "offset" in events.columns else "event_id AS offset"
-    sent = "CASE WHEN event_id % 101 = 1 THEN array(text, substring(text, 1, 20), NULL) ELSE array(text) END"
+    sent = "CASE WHEN event_id % 101 = 1 THEN array(text, '{' || text, NULL) ELSE array(text) END"
     texts = events.withColumn("text", event_json(events, time)).selectExpr(offset, f"explode({sent}) AS text")
     return texts.selectExpr("offset", "CAST(text AS BINARY) AS value")
 

@@ -8,15 +8,17 @@ import pytest
 from compare import duck_rows, spark_rows
 from conftest import plan_text
 
-import oracle
+import duckdb_sql
 from __spark_entry__ import _mart, queries
 from gantry.operators.facts import first_copy
 from gantry.operators.percentiles import mean_and_percentile
 from gantry.session import scratch_dir
 from gantry.sources import catalog
-from gantry.sources.testdata import EVENTS_DDL, raw_events
+from gantry.sources.testdata import raw_events
 from gantry.sources.writers import jdbc_writer
 
+EVENTS_DDL = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+
 BATCH = sorted(name for name in queries() if not name.startswith("stream_") and not name.endswith("_lineitem"))
 
 
@@ -39,7 +41,7 @@ def skewed(spark):
 
 @pytest.mark.parametrize("name", BATCH)
 def test_skewed_data_gives_the_same(spark, skewed, name):
-    columns, want = duck_rows(oracle.all_sql()[name], "/root/testdata/sf0.001", events=f"{skewed}/events.parquet/*.parquet")
+    columns, want = duck_rows(duckdb_sql.all_sql()[name], "/root/testdata/sf0.001", events=f"{skewed}/events.parquet/*.parquet")
     result = queries()[name](spark, skewed)
     assert sorted(result.columns) == columns
     assert spark_rows(result) == want

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gantry.operators import events as ev
 from gantry.session import scratch_dir
 from gantry.sources.readers import read_messages, read_raw
-from gantry.sources.testdata import EVENTS_DDL, as_messages, event_stream, raw_events
+from gantry.sources.testdata import as_messages, event_stream, raw_events
 from gantry.streaming import landing
 
 LANDED = ["transaction_id", "tag_id", "plaza_id", "amount", "status", "event_ts", "year", "month", "day"]
@@ -17,7 +17,7 @@ LANDED = ["transaction_id", "tag_id", "plaza_id", "amount", "status", "event_ts"
 def split(spark, sf):
     """The events in six files, in no order of time, with the repeats in other files than the originals."""
     root = scratch_dir(spark, "split")
-    events = spark.read.schema(EVENTS_DDL).parquet(f"{sf}/events.parquet")
+    events = spark.read.parquet(f"{sf}/events.parquet")
     events.repartition(6, "event_id").write.parquet(f"{root}/events.parquet")
     return root
 
