@@ -273,6 +273,7 @@ def all_sql() -> dict[str, str]:
             QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY event_ts, ingested_at, amount, status,
                 plaza_id, tag_id, class_id) = 1"""),
         "hourly_revenue": _query("revenue", _hourly("revenue", "entry_time", "vehicle", "payment_id = 3")),
+        "nightly_load": _query("revenue", _hourly("revenue", "entry_time", "vehicle", "payment_id = 3")),
         "hourly_revenue_raw": _query("valid", _hourly("valid", "event_ts", "tag_id", "status = 'FLAGGED'")),
         "parse_events": _query("messages raw", f"""
             SELECT {_EVENT} FROM raw

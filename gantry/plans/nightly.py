@@ -61,8 +61,7 @@ def load_days(spark: SparkSession, raw: DataFrame, mart_root: str, days: Iterabl
     hours = write_table(hourly, mart_root, "agg_hourly_revenue")
 
     plaza = read_table(spark, mart_root, "dim_plaza")
-    checks = tuple(row for d in days for row in quality.gate(loaded, plaza, d))
-    return Loaded(days, facts, hours, checks)
+    return Loaded(days, facts, hours, tuple(quality.gate(loaded, plaza, days)))
 
 
 def _existing(spark: SparkSession, root: str, table: str) -> DataFrame:

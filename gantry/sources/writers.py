@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gantry.schemas import MART
+from gantry.schemas import MART, RAW_DDL, RAW_PARTITIONS
 
 
 def table_path(root: str, table: str) -> str:
@@ -58,6 +58,17 @@ def write_table(df: DataFrame, root: str, table: str, mode: str = "overwrite") -
     return counted.get["n"]
 
 
+def backfill_raw(events: DataFrame, root: str, writers: int | None = None) -> None:
+    """Write stamped events into the raw zone in one batch, replacing the hours they cover.
+
+    As for the stream, `writers` is for inputs with fewer splits than cores.
+    """
+    shaped = events.select(*[f.name for f in T.StructType.fromDDL(RAW_DDL).fields])
+    shaped = shaped.repartition(writers, *RAW_PARTITIONS) if writers else shaped
+    writer = shaped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+    writer.partitionBy(*RAW_PARTITIONS).parquet(root)
+
+
 def jdbc_writer(df: DataFrame, url: str, table: str, options: Mapping[str, str] | None = None,
                 mode: str = "append", connections: int = 16) -> DataFrameWriter:
     """Writer for a warehouse table; `options` brings driver, user, password, staging folder.

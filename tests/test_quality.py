@@ -57,20 +57,32 @@ def test_empty_day_fails_only_the_row_count(spark, faulty, plaza):
     assert set(report.values()) == {(0, True)}
 
 
+def test_every_day_is_reported_even_without_facts(spark, faulty, plaza):
+    days = [DAY, date(2025, 7, 14), date(2030, 1, 1)]
+    rows = {(r["date_id"], r["check"]): (r["observed"], r["passed"])
+            for r in quality.report_days(faulty, plaza, days).collect()}
+    assert len(rows) == 15
+    assert {check: rows[20250715, check] for check in EXPECTED} == EXPECTED
+    assert rows[20250714, "row_count_gt"] == (1, True) and rows[20250714, "valid_plaza_ids"] == (0, True)
+    assert rows[20300101, "row_count_gt"] == (0, False)
+    with pytest.raises(quality.DataQualityError, match="20300101 row_count_gt"):
+        quality.gate(faulty, plaza, days)
+
+
 def test_gate_passes_clean_days(spark, plaza):
-    rows = quality.gate(day_facts(spark, ("T1", "PL001", "75", 20250715)), plaza, DAY)
+    rows = quality.gate(day_facts(spark, ("T1", "PL001", "75", 20250715)), plaza, [DAY])
     assert len(rows) == 5
 
 
 def test_gate_names_what_failed(spark, faulty, plaza):
     with pytest.raises(quality.DataQualityError) as raised:
-        quality.gate(faulty, plaza, DAY)
+        quality.gate(faulty, plaza, [DAY])
     assert "no_duplicate_transactions" in str(raised.value) and "row_count_gt" not in str(raised.value)
 
 
 def test_a_check_that_raises_is_a_failure_of_its_own(spark, faulty, plaza):
     with pytest.raises(quality.DataQualityError) as raised:
-        quality.gate(faulty.drop("amount"), plaza, DAY)
+        quality.gate(faulty.drop("amount"), plaza, [DAY])
     rows = {r["check"]: r for r in raised.value.rows}
     assert rows["amount_in_range"]["error"] and not rows["amount_in_range"]["passed"]
     assert rows["row_count_gt"]["passed"] and rows["no_duplicate_transactions"]["observed"] == 2
