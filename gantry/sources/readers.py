@@ -51,7 +51,17 @@ def read_raw(spark: SparkSession, root: str) -> DataFrame:
 
 
 def require_days(raw: DataFrame, days: Iterable[date]) -> None:
-    """Raise unless every day has landed rows. Stops at the first row of each day."""
-    missing = [d.isoformat() for d in sorted(set(days)) if raw.where(on_days([d])).isEmpty()]
+    """Raise unless every day has landed rows.
+
+    One day is probed up to its first row; several are found in one pass over the
+    partition columns.
+    """
+    wanted = sorted(set(days))
+    rows = raw.where(on_days(wanted))
+    if len(wanted) == 1:
+        found = set() if rows.isEmpty() else set(wanted)
+    else:
+        found = {date(*row) for row in rows.select("year", "month", "day").distinct().collect()}
+    missing = [d.isoformat() for d in wanted if d not in found]
     if missing:
         raise FileNotFoundError(f"no raw data for {', '.join(missing)}")
