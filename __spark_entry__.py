@@ -24,6 +24,13 @@ from gantry.sources.writers import backfill_raw, write_table  # noqa: E402
 from gantry.streaming import landing  # noqa: E402
 import duckdb_sql  # noqa: E402
 
+try:
+    from gantry.llm import queries as llm_queries
+except ModuleNotFoundError as missing:  # the subpackage may be left out; anything else that is missing is a fault
+    if not (missing.name or "").startswith("gantry.llm"):
+        raise
+    llm_queries = None
+
 AS_OF = date(2024, 1, 30)
 NOW = datetime(2024, 1, 31)
 TAG = "TAG-00042"
@@ -221,7 +228,8 @@ def entry(spark: SparkSession) -> DataFrame:
     return queries()["kpi_plaza_revenue_7d"](spark, "/root/testdata/sf0.001")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries that need no other subpackage."""
     plans: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "kpi_revenue_today": lambda s, d: kpis.revenue_today(_mart(s, d, days=0), AS_OF),
         "kpi_plaza_revenue_7d": lambda s, d: kpis.plaza_revenue(_mart(s, d, days=7), AS_OF),
@@ -274,5 +282,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda s, d, plan=plan: _portable(plan(s, d))) for name, plan in plans.items()}
 
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return own_queries() | (llm_queries.queries() if llm_queries else {})
+
+
 def oracle_sql() -> dict[str, str]:
-    return duckdb_sql.all_sql()
+    return duckdb_sql.all_sql() | (llm_queries.oracle_sql() if llm_queries else {})
