@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,19 @@ from gantry.session import scratch_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def reachable(spark: SparkSession) -> SparkSession:
+    """Adds this package's folder to the workers' path, for sessions started elsewhere.
+
+    It serves where workers see the driver's disk; on other clusters the package is sent along
+    with the job (`--py-files`) and the entry does nothing.
+    """
+    folder, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if folder not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, folder]))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

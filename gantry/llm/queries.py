@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gantry.llm import mixing, pii, quality_rules, simhash
-from gantry.llm.common import settled, table
+from gantry.llm import embedding_dedup, mixing, packing, pii, quality_rules, simhash, token_files, url_filter
+from gantry.llm.common import reachable, settled, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,28 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("fingerprint", simhash.hex_digits(F.col("fingerprint")))
 
 
+#: The rules that the query applies, as (host and path, verdict).
+URL_RULES = (
+    ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"),
+)
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans(table(spark, sf_dir, "documents"))
     return found.select(
@@ -36,12 +58,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    plans = {
         "op1_mixing": op1_mixing,
         "op2_quality_rules": op2_quality_rules,
         "op3_simhash": op3_simhash,
+        "op4_url_filter": op4_url_filter,
+        "op5_embedding_dedup": op5_embedding_dedup,
+        "op7_packing": op7_packing,
+        "op9_token_files": op9_token_files,
         "op10_pii": op10_pii,
     }
+    return {name: (lambda s, d, plan=plan: plan(reachable(s), d)) for name, plan in plans.items()}
 
 
 OP1_SQL = """
@@ -82,5 +109,49 @@ SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copi
 """
 
 
+OP4_SQL = """
+WITH rules(host, path, verdict) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+),
+parts AS (
+  SELECT page_id, row_number() OVER () AS n,
+    translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+),
+fits AS (
+  SELECT n, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(verdict, length(r.host || r.path)) AS verdict
+  FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+  GROUP BY n
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (n)
+"""
+
+OP5_SQL = """
+WITH RECURSIVE good AS (
+  SELECT row_number() OVER () AS n, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+),
+usable AS (
+  SELECT n, vec_id, label, v FROM good
+  WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = len(v)
+    AND list_dot_product(v, v) > 0
+),
+linked AS (
+  SELECT a.n AS a, b.n AS b, b.vec_id AS b_id FROM usable a JOIN usable b ON a.label = b.label AND len(a.v) = len(b.v) AND a.n <> b.n
+  WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) >= 0.93
+),
+reach AS (
+  SELECT a AS n, b AS other FROM linked
+  UNION
+  SELECT r.n, l.b FROM reach r JOIN linked l ON l.a = r.other
+),
+least AS (SELECT r.n, min(g.vec_id) AS least FROM reach r JOIN good g ON g.n = r.other GROUP BY r.n),
+counted AS (SELECT a AS n, count(*) AS n_links FROM linked GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(least(least, vec_id), vec_id, least) AS component_id,
+  vec_id IS NOT DISTINCT FROM coalesce(least(least, vec_id), vec_id, least) AS kept
+FROM good LEFT JOIN least USING (n) LEFT JOIN counted USING (n)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL}
+    return {"op1_mixing": OP1_SQL, "op4_url_filter": OP4_SQL, "op5_embedding_dedup": OP5_SQL}
