@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gantry.llm import embedding_dedup, mixing, packing, pii, quality_rules, simhash, token_files, url_filter
+from gantry.llm import embedding_dedup, mixing, packing, pii, quality_rules, simhash, substring_dedup, token_files, url_filter
 from gantry.llm.common import reachable, settled, table
 
 
@@ -46,6 +46,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_url_filter": op4_url_filter,
         "op5_embedding_dedup": op5_embedding_dedup,
         "op7_packing": op7_packing,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_token_files": op9_token_files,
         "op10_pii": op10_pii,
     }
@@ -153,5 +158,28 @@ FROM good LEFT JOIN least USING (n) LEFT JOIN counted USING (n)
 """
 
 
+OP8_SQL = """
+WITH split AS (
+  SELECT doc_id, row_number() OVER () AS n, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents
+),
+windows AS (
+  SELECT n, doc_id, i, w[i:i + 12] AS win FROM (SELECT n, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM split)
+),
+least AS (SELECT win, min(doc_id) AS first FROM windows GROUP BY win),
+gone AS (
+  SELECT n, list_distinct(flatten(list(range(i, i + 13)))) AS places
+  FROM windows JOIN least USING (win) WHERE first < coalesce(doc_id, 9223372036854775807) GROUP BY n
+),
+kept AS (
+  SELECT s.n, len(places) AS n_removed,
+    list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(places, x[2])), lambda x: x[1]) AS k
+  FROM split s JOIN gone g USING (n)
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN n_removed IS NULL THEN w ELSE k END, ' ')) AS kept_sha256
+FROM split LEFT JOIN kept USING (n)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op4_url_filter": OP4_SQL, "op5_embedding_dedup": OP5_SQL}
+    return {"op1_mixing": OP1_SQL, "op4_url_filter": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op8_substring_dedup": OP8_SQL}
