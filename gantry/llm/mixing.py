@@ -85,3 +85,9 @@ def plan(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) ->
     """Targets of the sources of `docs`, written down: a row for each source."""
     sizes = docs.select("source", n_words().alias("size"))
     return settled(source_targets(sizes, weights, most), "mix")
+
+
+def remix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed: int = 0) -> DataFrame:
+    """The rows of `docs`, each as many times as it is taken."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "doc_id", "source")
+    return emit(mix(whole, plan(docs, weights, most), seed=seed)).select("_doc.*")

@@ -76,18 +76,19 @@ def measure(text: bytes) -> tuple[int, ...]:
     )
 
 
-def with_measures(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """(doc_id, stratum, the numbers of MEASURES) of every row."""
+def with_measures(docs: DataFrame, stratum: str = "lang", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of `carry`, the stratum and the numbers of MEASURES of every row."""
+    n = len(carry) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2):
-            rows = [measure(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(2)]
+        for batch in slices(batches, n):
+            rows = [measure(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(n)]
             numbers = [pa.array(c, pa.int64()) for c in zip(*rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers], ["doc_id", "stratum", *MEASURES])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *numbers], [*carry, "stratum", *MEASURES])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.col(stratum).cast("string").alias("stratum"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, stratum string, " + ", ".join(f"{m} bigint" for m in MEASURES))
+    rows = docs.select(*carry, F.col(stratum).cast("string").alias("stratum"), F.col("text").cast("binary").alias("text"))
+    result = rows.drop("text").select("*", *[F.lit(0).cast("bigint").alias(m) for m in MEASURES])
+    return rows.mapInArrow(run, result.schema)
 
 
 def base_failed() -> Column:
@@ -185,3 +186,10 @@ def quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFr
     """(doc_id, stratum, measures, base_failed, kept) of every row of `docs`."""
     measured = settled(with_measures(docs, stratum), "quality")
     return judge(measured, certify(measured, labels))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
+    """The rows of `docs` that are kept. Cutoffs come from a narrow table; the texts are measured again in passing."""
+    cutoffs = certify(settled(with_measures(docs, stratum), "quality"), labels)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(stratum), "text")
+    return judge(with_measures(whole, stratum, ("_doc",)), cutoffs).where("kept").select("_doc.*")

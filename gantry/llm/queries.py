@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gantry.llm import embedding_dedup, mixing, packing, pii, quality_rules, simhash, substring_dedup, token_files, url_filter
+from gantry.llm import embedding_dedup, html_extract, mixing, packing, pii, quality_rules, simhash, substring_dedup, token_files, url_filter
 from gantry.llm.common import reachable, settled, table
 
 
@@ -42,6 +42,10 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": op3_simhash,
         "op4_url_filter": op4_url_filter,
         "op5_embedding_dedup": op5_embedding_dedup,
+        "op6_html_extract": op6_html_extract,
         "op7_packing": op7_packing,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_token_files": op9_token_files,

@@ -53,19 +53,19 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fingerprint as a signed long) of every row."""
+def with_fingerprints(docs: DataFrame, shingle: int = 4, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of `carry` and the fingerprint, as a signed long, of every row."""
+    n = len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            texts = batch.column(1)
+        for batch in slices(batches, n):
+            texts = batch.column(n)
             prints = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in texts]
             signed = pa.array(np.array(prints, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], signed], [*carry, "fingerprint"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, fingerprint bigint")
+    rows = docs.select(*carry, F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, rows.drop("text").withColumn("fingerprint", F.lit(0).cast("bigint")).schema)
 
 
 def _segments(m: int) -> list[tuple[int, int]]:
@@ -143,5 +143,22 @@ def near_duplicates(docs: DataFrame, t: int = 4, shingle: int = 4) -> DataFrame:
     return prints.join(settled(groups(prints, t), "simhash"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def keep_one(docs: DataFrame, t: int = 4, shingle: int = 4) -> DataFrame:
+    """`docs` with one row of each group: the least doc_id's, and of rows that repeat it the first by a hash of the text.
+
+    Rows are told apart by hashes of id and text, so equal rows are one. The choice is a narrow
+    table; the texts are read again and meet it in a join.
+    """
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "doc_id", "text")
+    keyed = keyed.withColumn("_a", F.xxhash64("doc_id", "text")).withColumn("_b", F.hash("text", "doc_id"))
+    prints = settled(with_fingerprints(keyed, shingle, ("doc_id", "_a", "_b")), "simhash")
+    grouped = prints.join(settled(groups(prints, t), "simhash"), "fingerprint")
+    # Null ids come last; of no id at all one component has one row as well.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_a", "_b")
+    first = grouped.groupBy(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("_f")).agg(F.min(order).alias("_m"))
+    kept = settled(first.select("_m._a", "_m._b").distinct(), "simhash")
+    return keyed.select("_doc", "_a", "_b").join(kept, ["_a", "_b"]).dropDuplicates(["_a", "_b"]).select("_doc.*")
+
+
 def hex_digits(fingerprint: Column) -> Column:
     return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")
