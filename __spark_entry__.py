@@ -25,9 +25,10 @@ from gantry.streaming import landing  # noqa: E402
 import duckdb_sql  # noqa: E402
 
 try:
+    import corpus_pipeline
     from gantry.llm import queries as llm_queries
-except ModuleNotFoundError as missing:  # the subpackage may be left out; anything else that is missing is a fault
-    if not (missing.name or "").startswith("gantry.llm"):
+except ModuleNotFoundError as missing:  # both may be left out together; anything else that is missing is a fault
+    if missing.name != "corpus_pipeline" and not (missing.name or "").startswith("gantry.llm"):
         raise
     llm_queries = None
 
@@ -283,7 +284,7 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return own_queries() | (llm_queries.queries() if llm_queries else {})
+    return own_queries() | (llm_queries.queries() | {"pipeline": corpus_pipeline.run} if llm_queries else {})
 
 
 def oracle_sql() -> dict[str, str]:
