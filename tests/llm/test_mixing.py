@@ -1,0 +1,80 @@
+"""Targets against a step-by-step resharing, copies against their definition."""
+
+import random
+from collections import Counter
+
+import pytest
+from gantry.llm import mixing
+
+
+def reshared(sizes, most=3):
+    """Targets by sharing the excess again and again until no source is above its limit."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    total, stopped = sum(sizes.values()), set()
+    while True:
+        left = total - sum(most * sizes[s] for s in stopped)
+        open_weight = sum(weight[s] for s in names if s not in stopped)
+        target = {s: most * sizes[s] if s in stopped else left * weight[s] / open_weight for s in names}
+        over = {s for s in names if s not in stopped and target[s] > most * sizes[s]}
+        if not over:
+            return target
+        stopped |= over
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_targets_are_reshared_until_none_is_above(spark, seed):
+    rng = random.Random(seed)
+    names = rng.sample(["a", "B", "é", "z", "src10", "src9", "𐍈", "~", None], rng.randint(1, 9))
+    rows = [(s, rng.choice([0, 1, 5, 40, 900])) for s in names for _ in range(rng.randint(1, 3))]
+    sizes = Counter()
+    for s, n in rows:
+        sizes[s] += n
+    if not sum(sizes.values()):
+        return
+    found = {r["source"]: r for r in mixing.source_targets(spark.createDataFrame(rows, "source string, size bigint")).collect()}
+    expected = reshared(dict(sizes))
+    assert set(found) == set(expected)
+    for s, target in expected.items():
+        assert found[s]["target"] == pytest.approx(target, abs=1e-6)
+        assert found[s]["source_size"] == sizes[s]
+        assert found[s]["rate"] <= 3
+
+
+def test_copies_follow_the_rate_and_agree(spark, docs):
+    rng = random.Random(1)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 30)), "en", rng.choice(["a", "a", "a", "b", None])) for i in range(6000)]
+    frame = docs(rows)
+    sized = frame.select("doc_id", "source", mixing.n_words().alias("size"))
+    once = mixing.mix(sized, mixing.source_targets(sized)).collect()
+    again = mixing.mix(sized.repartition(5), mixing.source_targets(sized)).collect()
+    assert {r["doc_id"]: r["copies"] for r in once} == {r["doc_id"]: r["copies"] for r in again}
+    taken, target = Counter(), {}
+    for r in once:
+        assert int(r["rate"]) <= r["copies"] <= int(r["rate"]) + 1 and r["copies"] <= 3
+        taken[r["source"]] += r["size"] * r["copies"]
+        target[r["source"]] = r["target"]
+    for s in target:
+        assert taken[s] == pytest.approx(target[s], rel=0.1)
+
+
+def test_words_are_runs_between_ascii_white_space(spark, docs):
+    texts = ["a b", " a\t\n\x0b\x0c\rb ", "", None, "   ", "a\u00a0b", "é—ü"]
+    found = docs([(i, t) for i, t in enumerate(texts)]).select("doc_id", mixing.n_words().alias("n")).collect()
+    assert [r["n"] for r in sorted(found)] == [2, 2, 0, 0, 0, 1, 1]
+
+
+def test_repeated_rows_null_ids_and_extra_columns(spark, docs):
+    rows = [(1, "a b", "en", "x"), (1, "a b", "en", "x"), (None, "c", None, None), (2, None, "en", "x"), (3, "d e f", "en", "y")]
+    frame = docs(rows, ["'t' AS target", "7 AS copies", "0 AS rate"])
+    out = mixing.remix(frame)
+    assert out.columns == frame.columns
+    kept = Counter(map(tuple, out.collect()))
+    assert set(kept) <= set(map(tuple, frame.collect())) and kept[(1, "a b", "en", "x", "t", 7, 0)] % 2 == 0
+    with pytest.raises(ValueError, match="target"):
+        mixing.mix(frame, mixing.plan(frame))
+
+
+def test_empty_table_and_corpus_without_words(spark, docs):
+    assert mixing.remix(docs([])).count() == 0
+    assert mixing.remix(docs([(1, "", "en", "x"), (2, None, "en", "y")])).count() == 0
