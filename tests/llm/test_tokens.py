@@ -104,7 +104,7 @@ def test_every_capacity_holds(rule, capacity):
         order = own[np.argsort(offsets[own])]
         assert offsets[order].tolist() == (np.cumsum(lengths[order]) - lengths[order]).tolist()
     least = max(lengths.sum() / capacity[0], len(lengths) / capacity[1], (lengths**2).sum() / capacity[2])
-    assert len(np.unique(bins)) <= 1.06 * least + 1
+    assert len(np.unique(bins)) <= 1.1 * least + 1  # a heuristic: near the bound that no packing can beat
 
 
 def test_packing_refuses_what_cannot_fit():
