@@ -13,14 +13,15 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
+from gantry.functions.charges import charge  # noqa: E402
 from gantry.operators import dims, events as ev, facts as fa, quality  # noqa: E402
 from gantry.plans import kpis, lookups  # noqa: E402
-from gantry.plans.mart import CALENDAR, Mart, mart_from_events, read_mart  # noqa: E402
-from gantry.plans.nightly import late_days, load_days  # noqa: E402
+from gantry.plans.mart import Mart, mart_from_events, read_mart  # noqa: E402
+from gantry.plans.nightly import builds, late_days, load_days  # noqa: E402
 from gantry.session import prepare, scratch_dir  # noqa: E402
 from gantry.sources import testdata  # noqa: E402
 from gantry.sources.readers import read_raw  # noqa: E402
-from gantry.sources.writers import backfill_raw, write_table  # noqa: E402
+from gantry.sources.writers import write_raw, write_table  # noqa: E402
 from gantry.streaming import landing  # noqa: E402
 import duckdb_sql  # noqa: E402
 
@@ -42,6 +43,9 @@ EVENT_COLUMNS = [
 ]
 HOUR_COLUMNS = ["year", "month", "day", "hour"]
 
+#: Days that a query over facts in memory goes back from AS_OF; the scan is narrowed by the same number.
+DAYS = {"revenue_today": 0, "heatmap": 1, "class_share": AS_OF.day - 1, "weekend": 30}
+
 
 def _portable(df: DataFrame) -> DataFrame:
     """Money as DOUBLE in the result only, so that any client compares it alike."""
@@ -72,19 +76,21 @@ def _low_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sla(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = kpis.highway_sla(_mart(spark, sf_dir, days=7), AS_OF)
+    report = kpis.highway_sla(_stored_mart(spark, sf_dir), AS_OF)
     return report.withColumns({c: F.round(c, 6) for c in ("avg_processing_sec", "p95_processing_sec")})
 
 
-def _plazas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Active plazas with the transactions each one has."""
-    mart = _mart(spark, sf_dir)
-    per_plaza = mart.facts.groupBy("plaza_id").agg(F.count("*").alias("transactions"))
-    plazas = lookups.active_plazas(mart).join(per_plaza, "plaza_id", "left")
-    return plazas.select(
-        "plaza_id", "name", "highway", "state", "operator", "active",
-        F.coalesce("transactions", F.lit(0)).cast("bigint").alias("transactions"),
-    )
+def _all_plazas(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """The seeds and, inactive, the plazas that only the events know."""
+    found = events.groupBy("plaza_id").agg(F.max("highway").alias("highway")).select(
+        "plaza_id", F.concat(F.lit("Plaza "), "plaza_id").alias("name"), "highway", F.lit(0).cast("smallint").alias("active"))
+    seeds = dims.plaza_seed(spark)
+    return seeds.unionByName(dims.absent_rows(found, seeds, ["plaza_id"]), allowMissingColumns=True)
+
+
+def _active_plazas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid = _valid(spark, sf_dir)
+    return lookups.active_plazas(Mart(dim_plaza=lambda: _all_plazas(spark, valid)))
 
 
 def _day_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,10 +100,8 @@ def _day_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _conformed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts with the surrogate key resolved back to its tag."""
-    mart = _mart(spark, sf_dir)
-    tags = mart.dim_vehicle.select("vehicle_id", "tag_id")
-    return mart.facts.join(tags, "vehicle_id").select(
+    """Facts beside the tag that their surrogate key was made of."""
+    return fa.conform(fa.clean_events(_valid(spark, sf_dir)), dims.payment_seed(spark), carry=["tag_id"]).select(
         "transaction_id", "plaza_id", "tag_id", "date_id", "class_id", "payment_id", "amount", "entry_time",
         "exit_time", "lane",
     )
@@ -106,12 +110,16 @@ def _conformed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _all_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     mart = _mart(spark, sf_dir)
     return (
-        mart.facts.join(mart.dim_payment.select("payment_id", "status"), "payment_id")
+        mart.facts.join(mart.dim_payment.select("payment_id", "status"), "payment_id", "left")
         .groupBy("status", "date_id")
         .agg(F.count("*").alias("tx_count"), F.sum("amount").alias("amount"))
     )
 
 
+def _trend(facts: DataFrame) -> DataFrame:
+    return kpis.monthly_trend(facts, dims.days_of(facts))
+
+
 def _flag_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The blacklist is a table worked out from the data: tags that ever sent a negative charge."""
     raw = _raw(spark, sf_dir)
@@ -126,61 +134,67 @@ def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _messages(spark, sf_dir).select(F.col("value").cast("string").alias("value"))
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stream of JSON messages, parsed and validated."""
-    landing.keep_state_on_disk(spark)
-    messages = testdata.as_messages(testdata.event_stream(prepare(spark), sf_dir))
-    return ev.validate_and_enrich(ev.parse_events(messages, keep=["offset"]))
+def _rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = ev.parse_events(_messages(spark, sf_dir), keep=[ev.PAYLOAD])
+    return ev.quarantine(parsed).select("payload", "transaction_id", "tag_id", "amount", "status", "event_ts", "reason")
 
 
-def _writers(spark: SparkSession, sf_dir: str) -> int | None:
-    """All cores for an input with fewer splits than cores; else rows stay where they were read."""
-    cores = spark.sparkContext.defaultParallelism
-    splits = spark.read.parquet(f"{sf_dir}/events.parquet").rdd.getNumPartitions()
-    return cores if splits < cores else None
+def _stream(spark: SparkSession, sf_dir: str, work: str) -> DataFrame:
+    """Events as a stream of JSON messages in order of time and in several triggers, parsed and validated."""
+    landing.keep_state_on_disk(spark)
+    feed = testdata.in_order_of_time(prepare(spark), sf_dir, f"{work}/feed")
+    messages = testdata.as_messages(testdata.event_stream(spark, feed))
+    return ev.validate_and_enrich(ev.parse_events(messages, keep=["offset"]))
 
 
-def _nightly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly totals as the nightly job leaves them: raw zone, load of every day, gate, table read back."""
+def _load_all(spark: SparkSession, sf_dir: str) -> str:
+    """The nightly job over every day: raw zone, load, gate; the mart's root."""
     work = scratch_dir(spark, "nightly")
     valid = _valid(spark, sf_dir)
-    backfill_raw(valid, f"{work}/raw", _writers(spark, sf_dir))
+    write_raw(valid, f"{work}/raw", "backfill")
     raw = read_raw(spark, f"{work}/raw")
     # The gate opens only when every plaza is known, so the unseeded ones are added first.
-    seeds = dims.plaza_seed(spark)
-    found = raw.groupBy("plaza_id").agg(F.max("highway").alias("highway")).select(
-        "plaza_id", F.concat(F.lit("Plaza "), "plaza_id").alias("name"), "highway", F.lit(0).alias("active"))
-    extra = dims.absent_rows(found, seeds, ["plaza_id"])
-    write_table(seeds.unionByName(extra, allowMissingColumns=True), f"{work}/mart", "dim_plaza")
-    days = [row["date"] for row in _event_days(raw).collect()]
-    load_days(spark, raw, f"{work}/mart", days)
-    return read_mart(spark, f"{work}/mart").hourly.drop("loaded_at")
+    write_table(_all_plazas(spark, raw), f"{work}/mart", "dim_plaza")
+    load_days(spark, raw, f"{work}/mart", [row["date"] for row in _event_days(raw).collect()])
+    return f"{work}/mart"
+
+
+def _nightly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly totals as the nightly job leaves them."""
+    return read_mart(spark, _load_all(spark, sf_dir)).hourly.drop("loaded_at")
+
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def _stored_mart(spark: SparkSession, sf_dir: str) -> Mart:
+    """A mart on disk, loaded once for a session and a folder of tables: what applications read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        _STORED[key] = _load_all(spark, sf_dir)
+    return read_mart(prepare(spark), _STORED[key])
 
 
 def _stream_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = scratch_dir(spark, "landing")
-    query = landing.land_raw(
-        _stream(spark, sf_dir).drop("offset"), f"{work}/raw", f"{work}/checkpoint", interval=None,
-        writers=_writers(spark, sf_dir),
-    )
+    query = landing.land_raw(_stream(spark, sf_dir, work).drop("offset"), f"{work}/raw", f"{work}/checkpoint", interval=None)
     landing.wait_all([query])
     return read_raw(spark, f"{work}/raw").select(*EVENT_COLUMNS, *HOUR_COLUMNS)
 
 
 def _stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = scratch_dir(spark, "summary")
-    query = landing.publish_summary(_stream(spark, sf_dir), f"{work}/summary", f"{work}/checkpoint", interval=None)
+    query = landing.publish_summary(_stream(spark, sf_dir, work), f"{work}/summary", f"{work}/checkpoint", interval=None)
     landing.wait_all([query])
     return landing.read_summary(spark, f"{work}/summary")
 
 
 def _stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A replay reads files in any order of time, so no row of the whole history may count as late."""
     work = scratch_dir(spark, "dedup")
-    once = landing.first_seen(_stream(spark, sf_dir), delay="36500 days", position="offset").drop("offset")
-    query = landing.land_raw(once, f"{work}/once", f"{work}/checkpoint", interval=None, partition_by=())
+    once = landing.first_seen(_stream(spark, sf_dir, work), position="offset").drop("offset")
+    query = landing.land_rows(once, f"{work}/once", f"{work}/checkpoint", interval=None)
     landing.wait_all([query])
-    return read_raw(spark, f"{work}/once").select(*EVENT_COLUMNS)
+    return spark.read.parquet(f"{work}/once").select(*EVENT_COLUMNS)
 
 
 def _event_days(valid: DataFrame) -> DataFrame:
@@ -217,37 +231,48 @@ def _upserted_plazas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days to load again, given that each was built at one o'clock the night after."""
+    """Days to load again: rows that came in after one o'clock the night after are landed when all days but the last are built."""
+    work = scratch_dir(spark, "late")
     valid = _valid(spark, sf_dir)
-    days = dims.calendar(spark, *CALENDAR)
-    builds = days.select("date_id", (F.col("date").cast("timestamp") + F.expr("INTERVAL 25 HOURS")).alias("loaded_at"))
-    return late_days(valid, builds)
+    on_time = F.col("ingested_at") <= F.date_trunc("DAY", "event_ts") + F.expr("INTERVAL 25 HOURS")
+    write_raw(valid.where(on_time), f"{work}/raw", "first")
+    write_table(_all_plazas(spark, valid), f"{work}/mart", "dim_plaza")
+    first = read_raw(spark, f"{work}/raw")
+    days = sorted(row["date"] for row in _event_days(first).collect())
+    load_days(spark, first, f"{work}/mart", days[:-1])
+    write_raw(valid.where(~on_time), f"{work}/raw", "second")
+    return late_days(read_raw(spark, f"{work}/raw"), builds(spark, f"{work}/mart"))
 
 
-def entry(spark: SparkSession) -> DataFrame:
-    """Revenue per plaza over the last seven days."""
-    return queries()["kpi_plaza_revenue_7d"](spark, "/root/testdata/sf0.001")
+def _charges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List price of as many trips as the lane has, by class."""
+    priced = _valid(spark, sf_dir).join(dims.class_seed(spark).select("class_id", "base_rate"), "class_id")
+    return priced.select("event_id", "transaction_id", "class_id", "lane", charge("base_rate", "lane").alias("charge"))
 
 
-def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """The queries that need no other subpackage."""
-    plans: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-        "kpi_revenue_today": lambda s, d: kpis.revenue_today(_mart(s, d, days=0), AS_OF),
-        "kpi_plaza_revenue_7d": lambda s, d: kpis.plaza_revenue(_mart(s, d, days=7), AS_OF),
-        "kpi_hourly_heatmap": lambda s, d: kpis.hourly_heatmap(_mart(s, d, days=1), AS_OF),
-        "kpi_class_share": lambda s, d: kpis.class_share(_mart(s, d, days=AS_OF.day - 1), AS_OF),
-        "kpi_top_vehicles": lambda s, d: kpis.top_vehicles(_mart(s, d)),
-        "kpi_flagged_report": lambda s, d: kpis.flagged_report(_mart(s, d)),
-        "kpi_weekend_weekday": lambda s, d: kpis.weekend_weekday(_mart(s, d, days=30), AS_OF),
-        "kpi_monthly_trend": lambda s, d: kpis.monthly_trend(_mart(s, d).revenue, dims.calendar(s, *CALENDAR)),
-        "kpi_monthly_trend_lineitem": lambda s, d: kpis.monthly_trend(
-            testdata.lineitem_facts(prepare(s), d), dims.calendar(s, *CALENDAR)),
+def entry(spark: SparkSession) -> DataFrame:
+    """Revenue per plaza over the last seven days, straight from the events."""
+    return _portable(kpis.plaza_revenue(_mart(spark, "/root/testdata/sf0.001", days=7), AS_OF))
+
+
+def plans() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries that need no other subpackage, with the types they have in the library."""
+    return {
+        "kpi_revenue_today": lambda s, d: kpis.revenue_today(_mart(s, d, DAYS["revenue_today"]), AS_OF),
+        "kpi_plaza_revenue_7d": lambda s, d: kpis.plaza_revenue(_stored_mart(s, d), AS_OF),
+        "kpi_hourly_heatmap": lambda s, d: kpis.hourly_heatmap(_mart(s, d, DAYS["heatmap"]), AS_OF, DAYS["heatmap"]),
+        "kpi_class_share": lambda s, d: kpis.class_share(_mart(s, d, DAYS["class_share"]), AS_OF),
+        "kpi_top_vehicles": lambda s, d: kpis.top_vehicles(_stored_mart(s, d)),
+        "kpi_flagged_report": lambda s, d: kpis.flagged_report(_stored_mart(s, d)),
+        "kpi_weekend_weekday": lambda s, d: kpis.weekend_weekday(_mart(s, d, DAYS["weekend"]), AS_OF, DAYS["weekend"]),
+        "kpi_monthly_trend": lambda s, d: _trend(_mart(s, d).revenue),
+        "kpi_monthly_trend_lineitem": lambda s, d: _trend(testdata.lineitem_facts(prepare(s), d)),
         "kpi_low_balance_24h": _low_balance,
         "kpi_highway_sla": _sla,
-        "api_active_plazas": _plazas,
+        "api_active_plazas": _active_plazas,
         "api_day_summary": lambda s, d: lookups.day_summary(
             mart_from_events(s, _raw(s, d, AS_OF, AS_OF + timedelta(days=1))), AS_OF),
-        "api_vehicle_history": lambda s, d: lookups.vehicle_history(_mart(s, d), TAG),
+        "api_vehicle_history": lambda s, d: lookups.vehicle_history(_stored_mart(s, d), TAG),
         "fact_transactions": lambda s, d: fa.fact_transactions(_valid(s, d)).drop("ingested_at"),
         "hourly_revenue": lambda s, d: _mart(s, d).hourly,
         "hourly_revenue_raw": lambda s, d: fa.hourly_revenue(_valid(s, d)),
@@ -255,6 +280,7 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "validate_enrich": lambda s, d: _valid(s, d).select(*EVENT_COLUMNS, *HOUR_COLUMNS),
         "quarantine": lambda s, d: ev.quarantine(_raw(s, d)).select(
             "event_id", "transaction_id", "tag_id", "amount", "event_ts", "reason"),
+        "quarantine_messages": _rejected,
         "flag_from_table": _flag_from_table,
         "encode_events": _encoded,
         "stream_raw_landing": _stream_landing,
@@ -274,13 +300,17 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fact_conformed": _conformed,
         "enrich_class_rate": lambda s, d: ev.with_class_rate(_valid(s, d), dims.class_seed(s)).select(
             "event_id", "transaction_id", "class_id", "amount", "expected_amount", "trips"),
+        "charge_rule": _charges,
         "classify_status": lambda s, d: ev.classify_status(_raw(s, d)).select(
             "event_id", "transaction_id", "tag_id", "balance_before", "amount", "status"),
         "fact_all_statuses": _all_statuses,
         "late_repair": _late,
         "nightly_load": _nightly,
     }
-    return {name: (lambda s, d, plan=plan: _portable(plan(s, d))) for name, plan in plans.items()}
+
+
+def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: (lambda s, d, plan=plan: _portable(plan(s, d))) for name, plan in plans().items()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

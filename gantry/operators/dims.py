@@ -49,6 +49,12 @@ def date_rows(days: DataFrame) -> DataFrame:
     )
 
 
+def days_of(rows: DataFrame, key: str = "date_id") -> DataFrame:
+    """Calendar attributes of the days that `rows` have, whichever they are."""
+    day = F.make_date(F.floor(F.col(key) / 10000), F.floor(F.col(key) / 100) % 100, F.col(key) % 100)
+    return date_rows(rows.select(key).distinct().select(day.alias("date")))
+
+
 def calendar(spark: SparkSession, first: date, last: date) -> DataFrame:
     """Every day from first to last; its size is the number of days asked for."""
     return date_rows(spark.sql("SELECT explode(sequence(:first, :last)) AS date", {"first": first, "last": last}))

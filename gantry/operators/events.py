@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from gantry.functions.charges import FLAGGED, blacklist_test, status_after
 from gantry.functions.dates import event_hour_columns
-from gantry.schemas import BLACKLISTED_TAGS, EVENT_DDL, MAX_AMOUNT, MIN_AMOUNT
+from gantry.schemas import BLACKLISTED_TAGS, EVENT_DDL, MAX_AMOUNT, MIN_AMOUNT, WIRE_FIELDS
 
+PAYLOAD = "payload"
 WIRE_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
 
@@ -21,10 +22,12 @@ def parse_events(messages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     Malformed text and null messages become all-null rows, which `valid_events`
     drops and `quarantine` reports. Text that is no time becomes a null
     `event_ts` instead of an error, so one bad row cannot stop a stream. `keep`
-    names message columns (offset, partition, ...) to carry along.
+    names message columns (offset, partition, ...) to carry along; PAYLOAD among
+    them is the message's own text, for rows that may be rejected.
     """
-    event = F.from_json(F.col("value").cast("string"), EVENT_DDL)
-    fields = messages.select(*keep, event.alias("event")).select(*keep, "event.*")
+    text = F.col("value").cast("string")
+    carried = [text.alias(PAYLOAD) if name == PAYLOAD else F.col(name) for name in keep]
+    fields = messages.select(*carried, F.from_json(text, EVENT_DDL).alias("event")).select(*keep, "event.*")
     return fields.withColumn("event_ts", F.try_to_timestamp("timestamp")).drop("timestamp")
 
 
@@ -46,25 +49,35 @@ def encode_events(events: DataFrame) -> DataFrame:
 
 IN_RANGE = f"amount BETWEEN {MIN_AMOUNT} AND {MAX_AMOUNT}"
 
-# What makes a row unfit to land, in the order it is reported.
+# What makes a row unfit to land, in the order it is reported. The first two need the payload.
+UNREADABLE = {
+    "unreadable message": " AND ".join(f"{name} IS NULL" for name in (*WIRE_FIELDS, "event_ts") if name != "timestamp"),
+    "unreadable amount": f"amount IS NULL AND get_json_object({PAYLOAD}, '$.amount') IS NOT NULL",
+}
 REJECTIONS = {
     "missing transaction_id": "transaction_id IS NULL",
     "missing tag_id": "tag_id IS NULL",
     "missing amount": "amount IS NULL",
     "amount out of range": f"NOT ({IN_RANGE})",
     "unreadable event time": "event_ts IS NULL",
+    "missing status": "status IS NULL",
 }
 
 
 def valid_events(events: DataFrame) -> DataFrame:
-    """Rows that may be landed: key fields present, charge in range, time readable."""
-    keys = ("transaction_id", "tag_id", "event_ts")
-    return events.where(" AND ".join([f"{key} IS NOT NULL" for key in keys] + [IN_RANGE]))
+    """Rows that may be landed: key fields and status present, charge in range, time readable."""
+    keys = ("transaction_id", "tag_id", "event_ts", "status")
+    return events.drop(PAYLOAD).where(" AND ".join([f"{key} IS NOT NULL" for key in keys] + [IN_RANGE]))
 
 
 def quarantine(events: DataFrame) -> DataFrame:
-    """The complement of `valid_events`, each row with its first reason."""
-    cases = " ".join(f"WHEN {failed} THEN '{reason}'" for reason, failed in REJECTIONS.items())
+    """The complement of `valid_events`, each row with its first reason.
+
+    Parsed messages that carry their payload keep it, and tell a message that could
+    not be read from one without an id.
+    """
+    reasons = {**UNREADABLE, **REJECTIONS} if PAYLOAD in events.columns else REJECTIONS
+    cases = " ".join(f"WHEN {failed} THEN '{reason}'" for reason, failed in reasons.items())
     return events.withColumn("reason", F.expr(f"CASE {cases} END")).where("reason IS NOT NULL")
 
 
@@ -99,7 +112,9 @@ def validate_and_enrich(events: DataFrame) -> DataFrame:
 def with_class_rate(events: DataFrame, dim_class: DataFrame) -> DataFrame:
     """List price of the vehicle class and the number of trips the charge covers."""
     rates = dim_class.select("class_id", F.col("base_rate").alias("expected_amount"))
-    trips = F.round(F.col("amount").cast("double") / F.col("expected_amount").cast("double"), 4)
+    # A class without a price has no number of trips.
+    price = F.nullif(F.col("expected_amount").cast("double"), F.lit(0.0))
+    trips = F.round(F.col("amount").cast("double") / price, 4)
     return events.join(rates, "class_id", "left").withColumn("trips", trips)
 
 

@@ -54,8 +54,8 @@ def fact_transactions(events: DataFrame) -> DataFrame:
     return first_copy(rows.where(f"status <> '{LOW_BALANCE}'"), ["transaction_id"])
 
 
-def conform(clean: DataFrame, dim_payment: DataFrame) -> DataFrame:
-    """Clean events in the shape of the fact table, all statuses kept.
+def conform(clean: DataFrame, dim_payment: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Clean events in the shape of the fact table, all statuses kept, and the event's columns in `carry`.
 
     The payment row is chosen by status *and* method: status alone matches several
     rows and would multiply the facts. Three seed rows remain, so the join is a
@@ -75,12 +75,17 @@ def conform(clean: DataFrame, dim_payment: DataFrame) -> DataFrame:
         F.expr("CAST(lane AS SMALLINT) AS lane"),
         "ingested_at",
         "date_id",
+        *carry,
     )
 
 
 def revenue_facts(facts: DataFrame) -> DataFrame:
-    """Facts that earned money; low-balance rows stay only in the full table."""
-    return facts.where(f"payment_id <> {LOW_BALANCE_PAYMENT}")
+    """Facts without failed deductions, which stay only in the full table.
+
+    A status that no payment row has leaves a null key; such a fact is revenue like
+    any other that is not low balance.
+    """
+    return facts.where(f"NOT (payment_id <=> {LOW_BALANCE_PAYMENT})")
 
 
 def hourly_revenue(

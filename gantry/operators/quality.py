@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gantry.functions.dates import day_key
 from gantry.functions.measures import count_where
+from gantry.operators.dims import repeated_vehicle_ids
 from gantry.schemas import MAX_AMOUNT, MIN_AMOUNT
 
 REPORT_DDL = "check STRING, expected STRING, observed BIGINT, passed BOOLEAN, error STRING"
@@ -43,6 +44,7 @@ class Check:
         return observed == 0 if self.minimum is None else observed >= self.minimum
 
 
+# The names of the checks and their expectations.
 def default_checks(min_rows: int = 1, low: float = MIN_AMOUNT, high: float = MAX_AMOUNT) -> list[Check]:
     return [
         Check("row_count_gt", f">= {min_rows}", lambda: F.sum("n"), minimum=min_rows),
@@ -162,7 +164,8 @@ def isolated_report(spark, checks: dict[str, Callable[[], DataFrame]]) -> DataFr
         try:
             rows += [(r["check"], r["expected"], r["observed"], r["passed"], None) for r in build().collect()]
         except Exception as failure:  # noqa: BLE001 - any failure of a check is a failed check
-            rows.append((name, None, None, False, str(failure).splitlines()[0]))
+            message = str(failure).strip() or type(failure).__name__
+            rows.append((name, None, None, False, message.splitlines()[0]))
     return spark.createDataFrame(rows, REPORT_DDL)
 
 
@@ -176,8 +179,14 @@ def day_checks(facts: DataFrame, dim_plaza: DataFrame, day: date) -> dict[str, C
     }
 
 
-def gate(facts: DataFrame, dim_plaza: DataFrame, days: Sequence[date]) -> list:
-    """Raise unless every check passes on every day.
+def vehicle_keys(dim_vehicle: DataFrame) -> DataFrame:
+    """No two tags may share a surrogate key, or their trips would be counted twice."""
+    check = Check("unique_vehicle_keys", "0", lambda: F.count("*"))
+    return _single(repeated_vehicle_ids(dim_vehicle).agg(F.count("*").alias("observed")), check)
+
+
+def gate(facts: DataFrame, dim_plaza: DataFrame, days: Sequence[date], dim_vehicle: DataFrame | None = None) -> list:
+    """Raise unless every check passes on every day, and the vehicles' keys are unique.
 
     The report comes to the driver: five rows a day. If it cannot be made, each
     check runs alone, which tells the one that raises from the others.
@@ -187,6 +196,8 @@ def gate(facts: DataFrame, dim_plaza: DataFrame, days: Sequence[date]) -> list:
     except Exception:  # noqa: BLE001 - find out which check it was
         spark = facts.sparkSession
         rows = [row for day in days for row in isolated_report(spark, day_checks(facts, dim_plaza, day)).collect()]
+    if dim_vehicle is not None:
+        rows = [*rows, *vehicle_keys(dim_vehicle).collect()]
     if not all(r["passed"] for r in rows):
         raise DataQualityError(rows)
     return rows

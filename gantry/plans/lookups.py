@@ -40,14 +40,14 @@ def vehicle_history(mart: Mart, tag_id: str, limit: int = 20) -> DataFrame:
     """Latest trips of a tag; empty when the tag is unknown.
 
     The tag's surrogate key is a literal, so the fact scan gets an equality filter
-    that Parquet statistics and Bloom filters answer. `vehicle_id` is the vehicle
-    table's key, so the other side of the join is one row, and broadcast: a tag
-    with a third of all trips is cut to its latest ones where they are read.
+    that Parquet statistics and Bloom filters answer. The tag is known by one row of
+    the vehicle table, cut to one and broadcast: a tag with a third of all trips is
+    cut to its latest ones where they are read.
     """
     if not 1 <= limit <= MAX_HISTORY:
         raise ValueError(f"limit must be between 1 and {MAX_HISTORY}")
     key = vehicle_key(F.lit(tag_id))
-    vehicle = mart.dim_vehicle.where((F.col("tag_id") == tag_id) & (F.col("vehicle_id") == key)).select("vehicle_id")
+    vehicle = mart.dim_vehicle.where((F.col("tag_id") == tag_id) & (F.col("vehicle_id") == key)).select("vehicle_id").limit(1)
     plaza = mart.dim_plaza.select("plaza_id", F.col("name").alias("plaza"), "highway")
     classes = mart.dim_class.select("class_id", F.col("name").alias("vehicle_class"))
     return (

@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gantry.functions.dates import date_id
 from gantry.operators import dims
 from gantry.operators.events import valid_events, validate_and_enrich
 from gantry.operators.facts import clean_events, conform, hourly_revenue, revenue_facts
 from gantry.schemas import FLAGGED_PAYMENT, MART
-from gantry.sources.writers import read_table
-
-# Calendar used where no date table has been loaded: one small row per day.
-CALENDAR = (date(1990, 1, 1), date(2049, 12, 31))
+from gantry.sources import files
+from gantry.sources.writers import read_table, table_path
 
 
 class Mart:
@@ -78,7 +76,7 @@ def mart_from_events(spark: SparkSession, events: DataFrame) -> Mart:
     return Mart(
         fact_transaction=facts,
         agg_hourly_revenue=lambda: hourly_from_facts(revenue_facts(facts())),
-        dim_date=lambda: dims.calendar(spark, *CALENDAR),
+        dim_date=lambda: dims.days_of(valid_events(events).select(date_id("event_ts").alias("date_id"))),
         # Copies cannot change a latest plate, so vehicles need no de-duplication.
         dim_vehicle=lambda: dims.vehicles(valid_events(events)),
         dim_plaza=lambda: dims.plaza_seed(spark),
@@ -87,17 +85,35 @@ def mart_from_events(spark: SparkSession, events: DataFrame) -> Mart:
     )
 
 
-def latest_snapshot(dim_vehicle: DataFrame) -> Column:
-    newest = dim_vehicle.agg(F.max("snapshot")).first()[0]
-    return F.col("snapshot") == F.lit(newest)
+def _pointer(root: str) -> str:
+    return f"{table_path(root, 'dim_vehicle')}/_current"
+
+
+def current_vehicles(spark: SparkSession, root: str) -> DataFrame | None:
+    """The snapshot of the vehicle table that the pointer names; None before the first load."""
+    current = files.read_text(spark, _pointer(root))
+    if current is None:
+        return None
+    return read_table(spark, root, "dim_vehicle").where(F.col("snapshot") == int(current))
+
+
+def publish_vehicles(spark: SparkSession, root: str, snapshot: int) -> None:
+    """Point to a snapshot. The one before stays for readers that have it open; older ones go."""
+    before = files.read_text(spark, _pointer(root))
+    files.write_text(spark, _pointer(root), str(snapshot))
+    kept = {f"snapshot={snapshot}", f"snapshot={before}"}
+    folder = table_path(root, "dim_vehicle")
+    for name in files.children(spark, folder):
+        # A later number is a load at work.
+        if name.startswith("snapshot=") and name not in kept and int(name.removeprefix("snapshot=")) < snapshot:
+            files.remove(spark, f"{folder}/{name}")
 
 
 def read_mart(spark: SparkSession, root: str) -> Mart:
     """The mart written by the nightly job."""
 
     def vehicles() -> DataFrame:
-        snapshots = read_table(spark, root, "dim_vehicle")
-        return snapshots.where(latest_snapshot(snapshots)).drop("snapshot")
+        return current_vehicles(spark, root).drop("snapshot")
 
     tables = {name: (lambda name=name: read_table(spark, root, name)) for name in MART}
     return Mart(**{**tables, "dim_vehicle": vehicles})

@@ -1,6 +1,8 @@
 """Load whole days into the mart, and load again the days that late rows changed.
 
-    python -m gantry.plans.nightly --raw <raw zone> --mart <mart root> [--date YYYY-MM-DD | --repair]
+    python -m gantry.plans.nightly --raw <raw zone> --mart <mart root> [--date YYYY-MM-DD | --repair | --compact]
+
+With `--jdbc-url` the loaded days are also appended to a warehouse.
 """
 
 from __future__ import annotations
@@ -11,18 +13,23 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from datetime import date, datetime, timezone
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gantry.functions.dates import date_id, day_key, key_day, parse_day, yesterday_utc
+from gantry.functions.dates import day_key, key_day, parse_day, yesterday_utc
 from gantry.operators import dims, quality
 from gantry.operators.facts import clean_events, conform, revenue_facts
-from gantry.plans.mart import hourly_from_facts, latest_snapshot
-from gantry.schemas import MART
+from gantry.plans.mart import current_vehicles, hourly_from_facts, publish_vehicles
+from gantry.schemas import HOUR_COLUMNS, MART
 from gantry.session import build_session, prepare
+from gantry.sources import files
 from gantry.sources.readers import on_days, read_raw, require_days
-from gantry.sources.writers import read_table, write_table
+from gantry.sources.writers import read_table, table_path, write_days, write_jdbc, write_raw, write_table
+
+
+def folder_day() -> Column:
+    """yyyymmdd of a raw-zone folder."""
+    return F.expr("year * 10000 + month * 100 + day")
 
 
 @dataclass(frozen=True)
@@ -40,41 +47,61 @@ def load_days(spark: SparkSession, raw: DataFrame, mart_root: str, days: Iterabl
     partition filters on it. Dimensions come before facts, so no fact is ever
     without its date. The fact partitions are read back for the aggregate and the
     checks: a written table cuts the lineage, and nothing is worked out twice.
-    Raises DataQualityError, with the data in place, when a check fails.
+    Raises DataQualityError, with the data in place, when a check fails; the days
+    then count as not built, and readers keep the vehicles they had.
     """
     prepare(spark)
     days = tuple(sorted(set(days)))
-    started = datetime.now(timezone.utc)
+    started, build = datetime.now(timezone.utc), time.time_ns()
     require_days(raw, days)
 
     events = raw.where(on_days(days))
-    load_dimensions(spark, mart_root, days, events)
+    vehicles = load_dimensions(spark, mart_root, days, events, build)
 
     payment = read_table(spark, mart_root, "dim_payment")
-    facts = write_table(conform(clean_events(events), payment), mart_root, "fact_transaction")
+    facts = write_days(conform(clean_events(events), payment), spark, mart_root, "fact_transaction", days)
 
     loaded = read_table(spark, mart_root, "fact_transaction").where(
         F.col("date_id").isin([day_key(d) for d in days])
     )
-    # The start time, not the end: a row landed in between must count as late.
     hourly = hourly_from_facts(revenue_facts(loaded)).withColumn("loaded_at", F.lit(started).cast("timestamp"))
-    hours = write_table(hourly, mart_root, "agg_hourly_revenue")
+    hours = write_days(hourly, spark, mart_root, "agg_hourly_revenue", days)
 
     plaza = read_table(spark, mart_root, "dim_plaza")
-    return Loaded(days, facts, hours, tuple(quality.gate(loaded, plaza, days)))
+    checks = quality.gate(loaded, plaza, days, vehicles)
+    publish_vehicles(spark, mart_root, build)
+    log_build(spark, events, mart_root, facts, started, build)
+    return Loaded(days, sum(facts.values()), sum(hours.values()), tuple(checks))
+
+
+def log_build(spark: SparkSession, events: DataFrame, root: str, facts: dict[date, int], started: datetime, build: int) -> None:
+    """Which loads of each day the build has read.
+
+    `events` lists the zone's files as they were when it was opened, which is what the
+    facts were made of; only partition columns are read. A row per load, not per event.
+    """
+    counts = spark.createDataFrame([(day_key(d), n) for d, n in facts.items()], "date_id INT, facts BIGINT")
+    loads = events.select(folder_day().alias("date_id"), "load").distinct()
+    rows = counts.join(loads, "date_id").withColumns({"loaded_at": F.lit(started).cast("timestamp"), "build": F.lit(build)})
+    write_table(rows, root, "build_log")
 
 
-def _existing(spark: SparkSession, root: str, table: str) -> DataFrame:
+def builds(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of the newest build of each day."""
+    log = existing(spark, root, "build_log")
+    newest = log.groupBy("date_id").agg(F.max("build").alias("build"))
+    return log.join(newest, ["date_id", "build"])
+
+
+def existing(spark: SparkSession, root: str, table: str) -> DataFrame:
     """The table, or an empty frame of its shape before the first load."""
-    try:
+    if files.exists(spark, table_path(root, table)):
         return read_table(spark, root, table)
-    except AnalysisException as failure:
-        if failure.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], MART[table].columns)
+    return spark.createDataFrame([], MART[table].columns)
 
 
-def load_dimensions(spark: SparkSession, root: str, days: Sequence[date], events: DataFrame) -> None:
+def load_dimensions(spark: SparkSession, root: str, days: Sequence[date], events: DataFrame, build: int) -> DataFrame:
+    """Adds what the days need to the dimensions; the new vehicles, which no reader sees until they are published."""
     seeds = {
         "dim_payment": dims.payment_seed(spark),
         "dim_class": dims.class_seed(spark),
@@ -82,29 +109,29 @@ def load_dimensions(spark: SparkSession, root: str, days: Sequence[date], events
         "dim_date": dims.date_rows(spark.createDataFrame([(d,) for d in days], "date DATE")),
     }
     for table, rows in seeds.items():
-        new = dims.absent_rows(rows, _existing(spark, root, table), MART[table].key)
+        new = dims.absent_rows(rows, existing(spark, root, table), MART[table].key)
         if not new.isEmpty():
             write_table(new, root, table, mode="append")
 
-    vehicles = _existing(spark, root, "dim_vehicle")
-    known = vehicles.where(latest_snapshot(vehicles))
-    merged = dims.merge_vehicles(known, dims.vehicles(events))
-    # A new snapshot each time: readers keep the one they opened.
-    write_table(merged.withColumn("snapshot", F.lit(time.time_ns())), root, "dim_vehicle", mode="append")
+    known = current_vehicles(spark, root)
+    seen = dims.vehicles(events)
+    merged = seen if known is None else dims.merge_vehicles(known, seen)
+    write_table(merged.withColumn("snapshot", F.lit(build)), root, "dim_vehicle")
+    return read_table(spark, root, "dim_vehicle").where(F.col("snapshot") == build)
 
 
-def late_days(raw: DataFrame, builds: DataFrame) -> DataFrame:
-    """Event days with rows that came in after the day was last built, or never built.
+def late_days(raw: DataFrame, built: DataFrame) -> DataFrame:
+    """Event days with loads that their newest build has not read, or that were never built.
 
-    `builds` has `date_id` and `loaded_at`; the newest build of a day counts.
+    `built` has (date_id, load). Loads are folders, so what was read is known without
+    clocks, and days that are whole cost their file listing only.
     """
-    built = builds.groupBy("date_id").agg(F.max("loaded_at").alias("built_at"))
-    arrived = raw.where(F.col("event_ts").isNotNull()).select(date_id("event_ts").alias("date_id"), "ingested_at")
-    late = F.col("built_at").isNull() | (F.col("ingested_at") > F.col("built_at"))
+    place = ["year", "month", "day", "load"]
+    there = raw.select(*place).distinct()
+    unread = there.join(built.select("date_id", "load"), (folder_day() == F.col("date_id")) & (there["load"] == built["load"]), "left_anti")
     return (
-        arrived.join(built, "date_id", "left")
-        .where(late)
-        .groupBy("date_id")
+        raw.join(unread, place)
+        .groupBy(folder_day().alias("date_id"))
         .agg(F.count("*").alias("late_rows"), F.max("ingested_at").alias("last_arrival"))
     )
 
@@ -112,25 +139,65 @@ def late_days(raw: DataFrame, builds: DataFrame) -> DataFrame:
 def repair_late(spark: SparkSession, raw: DataFrame, mart_root: str) -> Loaded | None:
     """Load every late day again, all in one job; None when there is none."""
     prepare(spark)
-    late = late_days(raw, read_table(spark, mart_root, "agg_hourly_revenue"))
+    late = late_days(raw, builds(spark, mart_root))
     # One row per day, not per event, comes to the driver.
     days = [key_day(row["date_id"]) for row in late.select("date_id").collect()]
     return load_days(spark, raw, mart_root, days) if days else None
 
 
+def compact_raw(spark: SparkSession, raw_root: str, mart_root: str, day: date) -> int:
+    """Merge the loads of a day that its newest build has read into one; the number of folders that went.
+
+    The merged rows are written and logged as read before the old folders go. A job that
+    stops in between leaves rows twice, which the load of a day drops like any copies.
+    """
+    key, build = day_key(day), time.time_ns()
+    newest = builds(spark, mart_root).where(F.col("date_id") == key)
+    read = {row["load"] for row in newest.select("load").collect()}  # a name for each load of one day
+    if len(read) < 2:
+        return 0
+    load = f"compact-{build}"
+    rows = read_raw(spark, raw_root).where(on_days([day]) & F.col("load").isin(sorted(read)))
+    write_raw(rows, raw_root, load)
+    merged = newest.select("date_id", F.lit(load).alias("load"), "facts", "loaded_at", F.lit(build).alias("build")).distinct()
+    write_table(newest.withColumn("build", F.lit(build)).select(*merged.columns).unionByName(merged), mart_root, "build_log")
+    removed = 0
+    above = "/".join(f"{c}={v}" for c, v in zip(HOUR_COLUMNS, (day.year, day.month, day.day)))
+    for hour in files.children(spark, f"{raw_root}/{above}"):
+        for name in files.children(spark, f"{raw_root}/{above}/{hour}"):
+            if name.removeprefix("load=") in read:
+                files.remove(spark, f"{raw_root}/{above}/{hour}/{name}")
+                removed += 1
+    return removed
+
+
+def send_to_warehouse(spark: SparkSession, mart_root: str, days: Sequence[date], url: str, options: dict[str, str]) -> None:
+    """Append the facts and hourly totals of the days to the warehouse's tables of the same names."""
+    for table in ("fact_transaction", "agg_hourly_revenue"):
+        rows = read_table(spark, mart_root, table).where(F.col("date_id").isin([day_key(d) for d in days]))
+        write_jdbc(rows, url, table, options)
+
+
 def main(argv: Sequence[str] | None = None) -> None:
     arguments = argparse.ArgumentParser()
     arguments.add_argument("--raw", required=True)
     arguments.add_argument("--mart", required=True)
     arguments.add_argument("--date", type=parse_day, default=None, help="YYYY-MM-DD; yesterday (UTC) if not given")
     arguments.add_argument("--repair", action="store_true", help="load the days that late rows changed instead")
+    arguments.add_argument("--compact", action="store_true", help="merge the raw folders of the day instead")
+    arguments.add_argument("--jdbc-url", default=None, help="warehouse to append the loaded days to")
+    arguments.add_argument("--jdbc-option", action="append", default=[], metavar="KEY=VALUE")
     given = arguments.parse_args(argv)
     spark = build_session("gantry-nightly")
+    day = given.date or yesterday_utc()
+    if given.compact:
+        compact_raw(spark, given.raw, given.mart, day)
+        return
     raw = read_raw(spark, given.raw)
-    if given.repair:
-        repair_late(spark, raw, given.mart)
-    else:
-        load_days(spark, raw, given.mart, [given.date or yesterday_utc()])
+    loaded = repair_late(spark, raw, given.mart) if given.repair else load_days(spark, raw, given.mart, [day])
+    if loaded and given.jdbc_url:
+        options = dict(option.split("=", 1) for option in given.jdbc_option)
+        send_to_warehouse(spark, given.mart, loaded.days, given.jdbc_url, options)
 
 
 if __name__ == "__main__":

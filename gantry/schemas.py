@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ast
+import re
 from dataclasses import dataclass
 
 # The wire format of one event. Money is DECIMAL so that sums are
@@ -13,16 +15,22 @@ EVENT_DDL = """
     balance_after DECIMAL(10,2), status STRING, lane INT
 """
 
-RAW_PARTITIONS = ("year", "month", "day", "hour")
+WIRE_FIELDS = tuple(re.findall(r"(\w+) [A-Z]+", EVENT_DDL))
+
+# The hour of an event, and the raw zone's folders: below the hour, one for each load
+# (a trigger of a stream, a backfill, a compaction), so that a load can be written
+# again and a build can say which loads it has read.
+HOUR_COLUMNS = ("year", "month", "day", "hour")
+RAW_PARTITIONS = (*HOUR_COLUMNS, "load")
 
 # The landed event: wire fields with `timestamp` replaced by `event_ts`, plus the
-# optional exit time, the partition columns and the ingest time.
+# optional exit time, the ingest time and the partition columns.
 RAW_DDL = """
     transaction_id STRING, plaza_id STRING, plaza_name STRING, highway STRING,
     tag_id STRING, vehicle_no STRING, class_id STRING, class_name STRING,
     amount DECIMAL(10,2), balance_before DECIMAL(10,2), balance_after DECIMAL(10,2),
-    status STRING, lane INT, event_ts TIMESTAMP, ingested_at TIMESTAMP,
-    year INT, month INT, day INT, hour INT
+    status STRING, lane INT, event_ts TIMESTAMP, exit_time TIMESTAMP, ingested_at TIMESTAMP,
+    year INT, month INT, day INT, hour INT, load STRING
 """
 
 
@@ -30,9 +38,9 @@ RAW_DDL = """
 class TableSpec:
     """Columns plus physical layout of one mart table.
 
-    `replicated` tables are small by nature (a calendar, a price list); they are
-    left to Spark's size-checked broadcast. `sort_by` orders rows inside each file
-    so that Parquet min/max statistics prune.
+    `sort_by` orders rows inside each file so that Parquet min/max statistics
+    prune. Tables that are small by nature (a calendar, a price list) need no
+    layout and are left to Spark's size-checked broadcast.
     """
 
     columns: str
@@ -40,7 +48,6 @@ class TableSpec:
     partition_by: tuple[str, ...] = ()
     sort_by: tuple[str, ...] = ()
     bloom: tuple[str, ...] = ()
-    replicated: bool = False
 
 
 # The mart's tables.
@@ -48,7 +55,7 @@ MART: dict[str, TableSpec] = {
     "dim_date": TableSpec(
         "date_id INT, date DATE, year SMALLINT, month SMALLINT, day SMALLINT, "
         "day_of_week STRING, is_weekend SMALLINT",
-        key=("date_id",), sort_by=("date_id",), replicated=True,
+        key=("date_id",), sort_by=("date_id",),
     ),
     "dim_vehicle": TableSpec(
         "vehicle_id BIGINT, tag_id STRING, vehicle_no STRING, owner_name STRING, "
@@ -59,15 +66,15 @@ MART: dict[str, TableSpec] = {
     "dim_plaza": TableSpec(
         "plaza_id STRING, name STRING, highway STRING, state STRING, latitude DECIMAL(9,6), "
         "longitude DECIMAL(9,6), operator STRING, active SMALLINT",
-        key=("plaza_id",), replicated=True,
+        key=("plaza_id",),
     ),
     "dim_class": TableSpec(
         "class_id STRING, name STRING, axles SMALLINT, base_rate DECIMAL(8,2)",
-        key=("class_id",), replicated=True,
+        key=("class_id",),
     ),
     "dim_payment": TableSpec(
         "payment_id SMALLINT, method STRING, status STRING",
-        key=("payment_id",), replicated=True,
+        key=("payment_id",),
     ),
     "fact_transaction": TableSpec(
         "transaction_id STRING, plaza_id STRING, vehicle_id BIGINT, class_id STRING, "
@@ -82,6 +89,12 @@ MART: dict[str, TableSpec] = {
         "date_id INT",
         key=("plaza_id", "date_id", "hour"), partition_by=("date_id",), sort_by=("hour", "plaza_id"),
     ),
+    # One row for each day, load and build: the loads of the day that the build has read.
+    # A day without rows to keep has them too. The newest build of a day counts.
+    "build_log": TableSpec(
+        "date_id INT, load STRING, facts BIGINT, loaded_at TIMESTAMP, build BIGINT",
+        key=("build", "date_id", "load"), partition_by=("build",),
+    ),
 }
 
 # Seed rows.
@@ -108,6 +121,13 @@ PLAZA_SEED = """
     ('PL004', 'Chennai-Vijayawada KM 60', 'NH-16', 'Andhra Pradesh', NULL, NULL, 'NHAI', 1),
     ('PL005', 'Kolkata-Dhanbad KM 30', 'NH-19', 'West Bengal', NULL, NULL, 'NHAI', 1)
 """
+
+
+def seed_rows(seed: str) -> list[tuple]:
+    """A seed's rows as Python values."""
+    return ast.literal_eval(f"[{seed.replace('NULL', 'None')}]")
+
+
 TAG_METHOD = "FASTAG"
 LOW_BALANCE_PAYMENT = 2
 FLAGGED_PAYMENT = 3

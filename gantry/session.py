@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+WAREHOUSE_DIR = "spark.sql.warehouse.dir"
 RUNTIME = {"spark.sql.session.timeZone": "UTC", "spark.sql.codegen.hugeMethodLimit": "8000"}
 
 
@@ -25,7 +25,7 @@ def build_session(app: str = "gantry", **conf: str) -> SparkSession:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings that a session given by the caller needs as well.
+    """Settings that a session given by the caller needs as well; they stay set in it.
 
     Dates and hours are UTC everywhere. The JVM never compiles a method above 8000
     bytes of bytecode, so a wider generated stage is better split than interpreted.
@@ -37,14 +37,9 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the cluster's checkpoint folder.
+    """A new folder below the cluster's checkpoint folder, or, where none is named, below its warehouse.
 
-    Only a local session, whose executors share the driver's disk, may fall back
-    to a temporary folder; on a cluster the setting has to be there.
+    Both are on a file system that driver and executors share.
     """
-    base = spark.conf.get(CHECKPOINT_DIR, None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"{CHECKPOINT_DIR} must name a shared folder on a cluster")
-        base = tempfile.mkdtemp(prefix="run-")
+    base = spark.conf.get(CHECKPOINT_DIR, None) or f"{spark.conf.get(WAREHOUSE_DIR).rstrip('/')}/scratch"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

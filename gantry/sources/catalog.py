@@ -11,9 +11,12 @@ from gantry.sources.writers import table_path
 def table_ddl(database: str, table: str, root: str) -> str:
     spec = MART[table]
     parts = f" PARTITIONED BY ({', '.join(spec.partition_by)})" if spec.partition_by else ""
+    # Bloom filters are written by INSERT as well; its order of rows is up to the statement.
+    options = {"compression": "zstd", **{f"parquet.bloom.filter.enabled#{column}": "true" for column in spec.bloom}}
+    listed = ", ".join(f"'{key}' = '{value}'" for key, value in options.items())
     return (
         f"CREATE TABLE IF NOT EXISTS {database}.{table} ({spec.columns}) USING parquet"
-        f"{parts} LOCATION '{table_path(root, table)}'"
+        f" OPTIONS ({listed}){parts} LOCATION '{table_path(root, table)}'"
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from datetime import date
+from datetime import date, timedelta
 from functools import reduce
 from operator import or_
 
@@ -38,9 +38,18 @@ def stream_parquet(spark: SparkSession, path: str, schema: T.StructType, **optio
 
 
 def on_days(days: Iterable[date]) -> Column:
-    """Raw-zone partitions of these days; compares numbers, so padding cannot matter."""
+    """Raw-zone partitions of these days, a range for each run of days within a month.
+
+    Compares numbers, so padding cannot matter.
+    """
+    runs: list[tuple[date, date]] = []
+    for d in sorted(set(days)):
+        if runs and d - runs[-1][1] == timedelta(days=1) and d.month == runs[-1][1].month:
+            runs[-1] = (runs[-1][0], d)
+        else:
+            runs.append((d, d))
     wanted = [
-        (F.col("year") == d.year) & (F.col("month") == d.month) & (F.col("day") == d.day) for d in sorted(set(days))
+        (F.col("year") == a.year) & (F.col("month") == a.month) & F.col("day").between(a.day, b.day) for a, b in runs
     ]
     return reduce(or_, wanted, F.lit(False))
 

@@ -6,6 +6,7 @@ no dimension knows, late arrival, unreadable messages. No row is left out.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,21 +15,27 @@ from pyspark.sql import functions as F
 from gantry.functions.charges import balance_after, numbered, status_after
 from gantry.functions.dates import date_id
 from gantry.operators.events import WIRE_TIME, event_json
+from gantry.schemas import CLASS_SEED, PLAZA_SEED, seed_rows
 from gantry.sources.readers import stream_parquet
 
-# Fixed values of the adapter.
-STATE_CODES = "array('DL', 'MH', 'KA', 'TN', 'WB', 'UP', 'RJ', 'GJ', 'AP', 'TS')"
-PLATE_LETTERS = "array('A', 'B', 'C', 'D', 'E', 'F', 'G', 'H')"
-HIGHWAYS = "array('NH-58', 'NH-48', 'NH-275', 'NH-16', 'NH-19')"
-PLAZA_NAMES = (
-    "array('Delhi-Meerut Expressway KM 12', 'Mumbai-Pune Expressway KM 45', 'Bengaluru-Mysuru Expressway KM 8',"
-    " 'Chennai-Vijayawada KM 60', 'Kolkata-Dhanbad KM 30')"
-)
-CLASS_NAMES = "array('2-Wheeler', 'Car/Jeep/Van', 'Light Commercial', 'Bus/Truck', 'Multi-Axle', 'Oversized')"
+
+def _array(values: Iterable[str]) -> str:
+    return f"array({', '.join(repr(v) for v in values)})"
+
+
+# Values of the adapter's own, and names as the seeds have them.
+STATE_CODES = _array(f"{letter}X" for letter in "BCDFGHJKLM")
+PLATE_LETTERS = _array("PQRSTVWZ")
+PLAZA_NAMES = _array(row[1] for row in seed_rows(PLAZA_SEED))
+HIGHWAYS = _array(row[2] for row in seed_rows(PLAZA_SEED))
+CLASS_NAMES = _array(row[1] for row in seed_rows(CLASS_SEED))
 
 # A row is an original (copy = 0) or the clean second copy (copy = 1) of one.
 _COPIES = "explode(CASE WHEN event_id % 50 = 0 THEN array(0, 1) ELSE array(0) END) AS copy"
 _PARTIAL = "event_id % 10 = 3"
+# A status that no payment of a tag has, and a status that an original does not send.
+FAILED = "event_id % 71 = 1"
+NO_STATUS = "event_id % 73 = 1 AND copy = 0"
 
 
 def _lost(every: int, value: str) -> str:
@@ -61,6 +68,7 @@ EVENT_COLUMNS = {
     "amount": "CAST(CAST(value AS DECIMAL(10,2)) * 12 - 5 AS DECIMAL(10,2))",
     "balance_before": "CAST(CAST(event_id * 3701 % 200000 AS DECIMAL(10,0)) * 0.01BD AS DECIMAL(10,2))",
     "lane": "CAST(event_id % 6 + 1 AS INT)",
+    "_sent": f"CASE WHEN {FAILED} THEN 'FAILED' WHEN {NO_STATUS} THEN '' END",
     "exit_time": _lost(83, f"dateadd(SECOND, {_SECONDS}, CAST(ts AS TIMESTAMP))"),
     "ingested_at": (
         "CAST(ts AS TIMESTAMP) + IF(event_id % 61 = 1, INTERVAL 36 HOURS, INTERVAL 5 SECONDS)"
@@ -76,8 +84,9 @@ def shape_events(events: DataFrame) -> DataFrame:
     shaped = events.selectExpr("*", _COPIES).selectExpr(*position, *columns)
     return shaped.withColumns({
         "balance_after": balance_after("balance_before", "amount"),
-        "status": status_after("tag_id", "balance_before", "amount"),
-    })
+        "status": F.when(F.col("_sent").isNull(), status_after("tag_id", "balance_before", "amount")).otherwise(
+            F.nullif("_sent", F.lit(""))),
+    }).drop("_sent")
 
 
 def raw_events(spark: SparkSession, sf_dir: str, since: date | None = None, before: date | None = None) -> DataFrame:
@@ -95,16 +104,32 @@ def raw_events(spark: SparkSession, sf_dir: str, since: date | None = None, befo
 
 
 def event_stream(spark: SparkSession, sf_dir: str, **limits: str) -> DataFrame:
-    """The same charge events as a stream; `limits` bound one trigger, a terabyte if not given.
+    """The same charge events as a stream; `limits` bound one trigger, to a file if not given.
 
     A row's position in its file serves as its message offset.
     """
-    limits = limits or {"maxBytesPerTrigger": str(10**12)}
+    limits = limits or {"maxFilesPerTrigger": "1"}
     path = f"{sf_dir}/events.parquet"
     events = stream_parquet(spark, path, spark.read.parquet(path).schema, **limits)
     return shape_events(events.selectExpr("*", "_metadata.row_index AS offset"))
 
 
+def in_order_of_time(spark: SparkSession, sf_dir: str, folder: str, parts: int = 6) -> str:
+    """All of `events` as files of one span of time each, written one after the other: a feed of `parts` triggers."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    bounds = [] if first is None else [first + (last - first) * i / parts for i in range(1, parts)]
+    spans = zip([None, *bounds], [*bounds, None])
+    for since, before in spans:
+        part = events
+        if since is not None:
+            part = part.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
+        if before is not None:
+            part = part.where((F.col("ts") < F.lit(before).cast("timestamp_ntz")) | F.col("ts").isNull())
+        part.write.mode("append").parquet(f"{folder}/events.parquet")
+    return folder
+
+
 def as_messages(events: DataFrame) -> DataFrame:
     """Encoded events, with some messages that cannot be read added between them.
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
+from datetime import date
 
 from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gantry.schemas import MART, RAW_DDL, RAW_PARTITIONS
+from gantry.functions.dates import day_key
+from gantry.schemas import HOUR_COLUMNS, MART, RAW_DDL, RAW_PARTITIONS
+from gantry.sources import files
 
 
 def table_path(root: str, table: str) -> str:
@@ -45,9 +48,13 @@ def write_table(df: DataFrame, root: str, table: str, mode: str = "overwrite") -
     `df`, so loading a day again leaves one copy of it. Rows are counted while
     they are written.
     """
-    spec = MART[table]
     counted = Observation(f"rows of {table}")
-    shaped = as_table(df, table).observe(counted, F.count(F.lit(1)).alias("n"))
+    _write(as_table(df, table).observe(counted, F.count(F.lit(1)).alias("n")), root, table, mode)
+    return counted.get["n"]
+
+
+def _write(shaped: DataFrame, root: str, table: str, mode: str) -> None:
+    spec = MART[table]
     writer = laid_out(shaped, table).write.mode(mode).option("compression", "zstd")
     writer = writer.option("partitionOverwriteMode", "dynamic")
     for column in spec.bloom:
@@ -55,32 +62,59 @@ def write_table(df: DataFrame, root: str, table: str, mode: str = "overwrite") -
     if spec.partition_by:
         writer = writer.partitionBy(*spec.partition_by)
     writer.parquet(table_path(root, table))
-    return counted.get["n"]
 
 
-def backfill_raw(events: DataFrame, root: str, writers: int | None = None) -> None:
-    """Write stamped events into the raw zone in one batch, replacing the hours they cover.
+def write_days(df: DataFrame, spark: SparkSession, root: str, table: str, days: Iterable[date]) -> dict[date, int]:
+    """Put the rows of `df` in place of all rows of the days; the number of rows of each.
 
-    As for the stream, `writers` is for inputs with fewer splits than cores.
+    Days that have rows are overwritten; of the others the old partition goes. Both are
+    known from counts taken while writing.
+    """
+    keys = {day: day_key(day) for day in days}
+    counted = Observation(f"days of {table}")
+    counts = [F.count_if(F.col("date_id") == key).alias(str(key)) for key in keys.values()]
+    _write(as_table(df, table).observe(counted, *counts), root, table, "overwrite")
+    found = {day: counted.get[str(key)] for day, key in keys.items()}
+    for day, n in found.items():
+        if not n:
+            files.remove(spark, f"{table_path(root, table)}/date_id={keys[day]}")
+    return found
+
+
+def raw_rows(events: DataFrame, load: str) -> DataFrame:
+    """Stamped events with the raw zone's columns; those that a source does not send are null."""
+    columns = [
+        F.col(f.name).cast(f.dataType).alias(f.name) if f.name in events.columns else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in T.StructType.fromDDL(RAW_DDL).fields if f.name != "load"
+    ]
+    return events.select(*columns).withColumn("load", F.lit(load))
+
+
+def write_raw(events: DataFrame, root: str, load: str) -> None:
+    """Write stamped events into the raw zone as one load; the same load written again replaces itself.
+
+    One plan for a batch and for a stream's trigger: rows are gathered by hour, and adaptive
+    execution splits a busy hour over several tasks and lets one task write several small ones.
     """
-    shaped = events.select(*[f.name for f in T.StructType.fromDDL(RAW_DDL).fields])
-    shaped = shaped.repartition(writers, *RAW_PARTITIONS) if writers else shaped
-    writer = shaped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+    rows = raw_rows(events, load).hint("rebalance", *HOUR_COLUMNS)
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
     writer.partitionBy(*RAW_PARTITIONS).parquet(root)
 
 
 def jdbc_writer(df: DataFrame, url: str, table: str, options: Mapping[str, str] | None = None,
-                mode: str = "append", connections: int = 16) -> DataFrameWriter:
+                mode: str = "append", connections: int | None = None) -> DataFrameWriter:
     """Writer for a warehouse table; `options` brings driver, user, password, staging folder.
 
-    `connections` bounds how many tasks talk to the warehouse at once.
+    `connections`, if given, bounds how many tasks talk to the warehouse at once.
     """
     writer = df.write.format("jdbc").mode(mode).option("url", url).option("dbtable", table)
-    return writer.option("numPartitions", str(connections)).option("batchsize", "10000").options(**(options or {}))
+    if connections:
+        writer = writer.option("numPartitions", str(connections))
+    return writer.option("batchsize", "10000").options(**(options or {}))
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, options: Mapping[str, str] | None = None,
-               mode: str = "append", connections: int = 16) -> int:
+               mode: str = "append", connections: int | None = None) -> int:
     counted = Observation(f"rows to {table}")
     observed = df.observe(counted, F.count(F.lit(1)).alias("n"))
     jdbc_writer(observed, url, table, options, mode, connections).save()

@@ -1,12 +1,15 @@
 """Streaming queries: raw landing, live summary, de-duplication.
 
-Each query has its own checkpoint. A bounded source (`maxFilesPerTrigger`,
+Each query has its own checkpoint and writes what a trigger brings as a folder named
+after query and trigger, so that a trigger which is run again replaces its folder, and
+readers need no log beside the folders. A bounded source (`maxFilesPerTrigger`,
 `maxOffsetsPerTrigger`) bounds what one trigger handles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,17 +18,21 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from gantry.functions.charges import FLAGGED
 from gantry.functions.dates import event_hour_columns
 from gantry.functions.measures import count_where
-from gantry.schemas import RAW_PARTITIONS
+from gantry.schemas import HOUR_COLUMNS
+from gantry.sources import files
+from gantry.sources.writers import write_raw
 
-SUMMARY_KEYS = ("plaza_id", "highway", *RAW_PARTITIONS)
+SUMMARY_KEYS = ("plaza_id", "highway", *HOUR_COLUMNS)
 TRIGGER = "10 seconds"
+#: How late rows may be for the summary; later ones are left to the repair of the mart.
+DELAY = "2 days"
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def keep_state_on_disk(spark: SparkSession) -> None:
-    """State beyond executor memory: keep it in RocksDB, checkpointed as changes."""
+    """State beyond executor memory: keep it in RocksDB, checkpointed as changes. Stays set in the session."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
@@ -36,25 +43,43 @@ def _start(writer: DataStreamWriter, checkpoint: str, interval: str | None) -> S
     return writer.option("checkpointLocation", checkpoint).trigger(**timing).start()
 
 
-def land_raw(events: DataFrame, path: str, checkpoint: str, interval: str | None = TRIGGER,
-             partition_by: Sequence[str] = RAW_PARTITIONS, writers: int | None = None) -> StreamingQuery:
-    """Append validated events to the raw zone, one folder per event hour.
+def _stream_name(spark: SparkSession, checkpoint: str) -> str:
+    """A name that lives as long as the checkpoint, so that triggers of another one are other loads."""
+    path = f"{checkpoint.rstrip('/')}/stream_name"
+    name = files.read_text(spark, path)
+    if name is None:
+        name = uuid.uuid4().hex[:12]
+        files.write_text(spark, path, name)
+    return name
 
-    No shuffle: rows are written by the task that read them, and a feed in time
-    order touches few folders per task. Late rows go to the hour they belong to.
-    `writers` spreads the hours of a replay over that many tasks; only for an
-    input with fewer splits than that, since an hour is then one task's work.
+
+def _land(events: DataFrame, write: Callable[[DataFrame, str], None], checkpoint: str, interval: str | None) -> StreamingQuery:
+    name = _stream_name(events.sparkSession, checkpoint)
+    stream = events.writeStream.foreachBatch(lambda rows, trigger: write(rows, f"{name}-{trigger:09d}"))
+    return _start(stream.outputMode("append"), checkpoint, interval)
+
+
+def land_raw(events: DataFrame, path: str, checkpoint: str, interval: str | None = TRIGGER) -> StreamingQuery:
+    """Append validated events to the raw zone, one folder per event hour and trigger.
+
+    Late rows go to the hour they belong to.
     """
-    if writers:
-        events = events.repartition(writers, *partition_by)
-    writer = events.writeStream.format("parquet").option("path", path).option("compression", "zstd")
-    return _start(writer.partitionBy(*partition_by).outputMode("append"), checkpoint, interval)
+    return _land(events, lambda rows, load: write_raw(rows, path, load), checkpoint, interval)
+
+
+def land_rows(rows: DataFrame, path: str, checkpoint: str, interval: str | None = TRIGGER, *partition_by: str) -> StreamingQuery:
+    """Append rows of any shape, one folder per value of `partition_by` and trigger."""
+
+    def write(batch: DataFrame, load: str) -> None:
+        writer = batch.withColumn("load", F.lit(load)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(*partition_by, "load").parquet(path)
+
+    return _land(rows, write, checkpoint, interval)
 
 
 def land_rejected(rejected: DataFrame, path: str, checkpoint: str, interval: str | None = TRIGGER) -> StreamingQuery:
     """Append quarantined rows, one folder per reason."""
-    writer = rejected.writeStream.format("parquet").option("path", path)
-    return _start(writer.partitionBy("reason").outputMode("append"), checkpoint, interval)
+    return land_rows(rejected, path, checkpoint, interval, "reason")
 
 
 def _by_hour(events: DataFrame, delay: str | None) -> DataFrame:
@@ -123,7 +148,7 @@ def print_summary(events: DataFrame, checkpoint: str, interval: str | None = TRI
 
 
 def publish_summary(events: DataFrame, path: str, checkpoint: str, interval: str | None = TRIGGER,
-                    delay: str | None = None,
+                    delay: str | None = DELAY,
                     also: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Keep the summary as a table that `read_summary` reads.
 
@@ -143,17 +168,40 @@ def publish_summary(events: DataFrame, path: str, checkpoint: str, interval: str
     return _start(stream.outputMode("update"), checkpoint, interval)
 
 
-def read_summary(spark: SparkSession, path: str, wanted: Column | None = None) -> DataFrame:
-    """The published summary; `wanted` may select days or plazas."""
-    changes = spark.read.parquet(path)
-    changes = changes if wanted is None else changes.where(wanted)
-    # Totals only grow, so the newest state of a row is its largest count.
-    newest = changes.groupBy(*SUMMARY_KEYS, "tag_id").agg(
+def _newest_totals(changes: DataFrame) -> DataFrame:
+    """Totals only grow, so the newest state of a row is its largest count."""
+    return changes.groupBy(*SUMMARY_KEYS, "tag_id").agg(
         F.max("tx_count").alias("tx_count"),
         F.max_by("total_revenue", "tx_count").alias("total_revenue"),
         F.max("flagged_count").alias("flagged_count"),
     )
-    return roll_up(newest)
+
+
+def read_summary(spark: SparkSession, path: str, wanted: Column | None = None) -> DataFrame:
+    """The published summary; `wanted` may select days or plazas."""
+    changes = spark.read.parquet(path)
+    return roll_up(_newest_totals(changes if wanted is None else changes.where(wanted)))
+
+
+def merge_summary(spark: SparkSession, path: str, keep: int = 1) -> int:
+    """Merge the published folders but the last `keep` triggers' into one; the number that went.
+
+    What is merged up to trigger n lies in the folder of batch -(n + 1). It is written before
+    the others go, and a reader that sees both sees the same totals.
+    """
+    numbers = [int(n.removeprefix("batch=")) for n in files.children(spark, path) if n.startswith("batch=")]
+    closed = sorted(n for n in numbers if n >= 0)[:-keep or None]
+    if not closed:
+        return 0
+    old = [n for n in numbers if n < 0] + closed
+    merged = _newest_totals(spark.read.parquet(path).where(F.col("batch").isin(old)))
+    target = -(closed[-1] + 1)
+    merged = merged.hint("rebalance", *HOUR_COLUMNS).withColumn("batch", F.lit(target).cast("bigint"))
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+    for n in old:
+        if n != target:
+            files.remove(spark, f"{path}/batch={n}")
+    return len(old)
 
 
 def first_seen(events: DataFrame, delay: str = "2 days", position: str | None = None, salts: int = 16) -> DataFrame:
@@ -171,20 +219,35 @@ def first_seen(events: DataFrame, delay: str = "2 days", position: str | None =
 
 
 def start_ingest(valid: DataFrame, rejected: DataFrame, root: str, checkpoints: str,
-                 interval: str | None = TRIGGER) -> list[StreamingQuery]:
+                 interval: str | None = TRIGGER, delay: str = DELAY) -> list[StreamingQuery]:
     """Landing, quarantine and summary over one stream, each restartable by itself."""
+    keep_state_on_disk(valid.sparkSession)
     return [
         land_raw(valid, f"{root}/raw", f"{checkpoints}/raw", interval),
         land_rejected(rejected, f"{root}/rejected", f"{checkpoints}/rejected", interval),
-        publish_summary(valid, f"{root}/summary", f"{checkpoints}/summary", interval),
+        publish_summary(valid, f"{root}/summary", f"{checkpoints}/summary", interval, delay),
     ]
 
 
 def wait_all(queries: list[StreamingQuery]) -> None:
-    """Wait for every query; when one fails, stop the others and raise its error."""
+    """Wait until all have ended; when any fails, stop the others and raise its error."""
+    streams = SparkSession.active().streams
     try:
-        for query in queries:
-            query.awaitTermination()
+        while True:
+            failed = next((error for error in (q.exception() for q in queries) if error), None)
+            if failed:
+                raise failed
+            if not any(q.isActive for q in queries):
+                return
+            # Returns as soon as any query ends, ours or another's; the loop finds out which.
+            streams.resetTerminated()
+            if all(q.isActive for q in queries):
+                try:
+                    streams.awaitAnyTermination(60)
+                except Exception:  # noqa: BLE001 - ours is raised above, another query's is not ours to raise
+                    pass
+            else:
+                next(q for q in queries if q.isActive).awaitTermination(1)
     finally:
         for query in queries:
             query.stop()

@@ -24,13 +24,17 @@ def spark_rows(df) -> Counter:
     return Counter(tuple(plain(row[c]) for c in columns) for row in df.collect())
 
 
-def duck_rows(sql: str, sf_dir: str, events: str | None = None) -> tuple[list[str], Counter]:
-    """Column names in order and rows; `events` may name other files for that table."""
+def duck_list(sql: str, sf_dir: str, events: str | None = None) -> tuple[list[str], list[tuple]]:
+    """Column names in order and rows as they come; `events` may name other files for that table."""
     with duckdb.connect() as con:
         for table in TABLES:
             files = events if events and table == "events" else f"{sf_dir}/{table}.parquet"
             con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{files}')")
         result = con.sql(sql)
         order = sorted(range(len(result.columns)), key=lambda i: result.columns[i])
-        rows = Counter(tuple(plain(row[i]) for i in order) for row in result.fetchall())
-        return sorted(result.columns), rows
+        return sorted(result.columns), [tuple(plain(row[i]) for i in order) for row in result.fetchall()]
+
+
+def duck_rows(sql: str, sf_dir: str, events: str | None = None) -> tuple[list[str], Counter]:
+    columns, rows = duck_list(sql, sf_dir, events)
+    return columns, Counter(rows)

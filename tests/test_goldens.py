@@ -46,7 +46,7 @@ def test_blacklist_from_table_gives_the_same(spark):
     assert len(rows) == 4 and {(r["transaction_id"], r["status"]) for r in rows} == by_list
 
 
-@pytest.mark.parametrize("field", ["transaction_id", "tag_id", "amount", "event_ts"])
+@pytest.mark.parametrize("field", ["transaction_id", "tag_id", "amount", "event_ts", "status"])
 def test_rows_without_a_key_field_are_quarantined(spark, field):
     df = frame(spark, {"transaction_id": "T1"}, {"transaction_id": "T2", field: None}, {"transaction_id": "T3"})
     assert ev.valid_events(df).count() == 2
@@ -75,6 +75,24 @@ def test_failed_deductions_are_dropped_before_copies(spark):
     assert [r["status"] for r in facts.fact_transactions(df).collect()] == ["SUCCESS"]
 
 
+def test_revenue_keeps_unknown_statuses(spark):
+    df = frame(spark, {}, {"transaction_id": "T2", "status": "FAILED"}, {"transaction_id": "T3", "status": "LOW_BALANCE"}).withColumns(
+        {"ingested_at": F.col("event_ts"), "lane": F.lit(1)})
+    earned = facts.revenue_facts(facts.conform(facts.clean_events(df), dims.payment_seed(spark)))
+    charged = facts.fact_transactions(df)
+    for rows in (earned, charged):
+        assert {r["transaction_id"] for r in rows.select("transaction_id", "date_id").collect()} == {"T1", "T2"}
+
+
+def test_revenue_and_charged_transactions_agree(spark, sf):
+    from __spark_entry__ import _mart, _valid
+
+    earned = _mart(spark, sf).revenue.select("date_id", "transaction_id")
+    charged = facts.fact_transactions(_valid(spark, sf)).select("date_id", "transaction_id")
+    assert earned.count() == charged.count() > 0
+    assert earned.exceptAll(charged).isEmpty()
+
+
 def test_hourly_aggregate(spark):
     rows = [("T1", "PL001", "75", 8, 10), ("T2", "PL001", "215", 8, 45), ("T3", "PL001", "35", 9, 5), ("T4", "PL002", "120", 8, 20)]
     df = frame(spark, *[
@@ -105,8 +123,10 @@ def test_status_precedence_and_balance(spark):
 
 
 def test_charge_and_class_rate(spark):
-    df = frame(spark, {"class_id": "C2", "amount": Decimal("150")}, {"class_id": "C9"})
-    rows = {r["class_id"]: r for r in ev.with_class_rate(df, dims.class_seed(spark)).collect()}
+    df = frame(spark, {"class_id": "C2", "amount": Decimal("150")}, {"class_id": "C9"}, {"class_id": "C0"})
+    free = dims.class_seed(spark).limit(1).withColumns({"class_id": F.lit("C0"), "base_rate": F.lit(0).cast("decimal(8,2)")})
+    rows = {r["class_id"]: r for r in ev.with_class_rate(df, dims.class_seed(spark).unionByName(free)).collect()}
+    assert rows["C0"]["expected_amount"] == 0 and rows["C0"]["trips"] is None
     assert rows["C2"]["expected_amount"] == Decimal("75.00") and rows["C2"]["trips"] == 2.0
     assert rows["C9"]["expected_amount"] is None
     priced = dims.class_seed(spark).withColumn("trips", F.lit(2)).select(charges.charge("base_rate", "trips").alias("c"))

@@ -38,6 +38,17 @@ def test_unreadable_messages_become_null_rows(spark):
     assert ev.valid_events(parsed).isEmpty()
 
 
+def test_rejected_messages_keep_their_text(spark):
+    texts = [b'{"transaction_id": "T', None, {**FULL, "amount": 123456789012.5}, {**FULL, "amount": None}, {**FULL, "tag_id": None}, FULL,
+             {k: v for k, v in FULL.items() if k != "status"}]
+    rejected = ev.quarantine(ev.parse_events(messages(spark, *texts), keep=[ev.PAYLOAD]))
+    found = {(r["reason"], r["payload"]) for r in rejected.collect()}
+    as_text = [None if t is None else t.decode() if isinstance(t, bytes) else json.dumps(t) for t in texts]
+    reasons = ["unreadable message", "unreadable message", "unreadable amount", "missing amount", "missing tag_id", None, "missing status"]
+    assert found == {(reason, text) for reason, text in zip(reasons, as_text) if reason}
+    assert ev.PAYLOAD not in ev.valid_events(ev.parse_events(messages(spark, FULL), keep=[ev.PAYLOAD])).columns
+
+
 def test_bad_time_does_not_stop_the_rest(spark):
     parsed = ev.parse_events(messages(spark, {**FULL, "timestamp": "yesterday"}, FULL))
     assert [r["event_ts"] is None for r in parsed.collect()] == [True, False]
@@ -70,8 +81,9 @@ def test_noise_adds_rows_and_changes_none(spark, sf):
 def test_event_rules_hold(spark, sf):
     rows = raw_events(spark, sf)
     broken = rows.where(
-        "status NOT IN ('SUCCESS', 'LOW_BALANCE', 'FLAGGED') OR balance_after < 0 OR lane < 1 OR lane > 6"
+        "status NOT IN ('SUCCESS', 'LOW_BALANCE', 'FLAGGED', 'FAILED') OR balance_after < 0 OR lane < 1 OR lane > 6"
         " OR NOT plaza_id RLIKE '^PL00[1-6]$' OR NOT class_id RLIKE '^C[1-6]$'"
-        " OR (tag_id IN ('TAG-00042', 'TAG-00099', 'TAG-00315') AND status <> 'FLAGGED')"
+        " OR (tag_id IN ('TAG-00042', 'TAG-00099', 'TAG-00315') AND status NOT IN ('FLAGGED', 'FAILED'))"
     )
     assert broken.isEmpty()
+    assert rows.where("status IS NULL").count() > 0 and rows.where("status = 'FAILED'").count() > 0

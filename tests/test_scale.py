@@ -7,19 +7,26 @@ from decimal import Decimal
 import pytest
 from compare import duck_rows, spark_rows
 from conftest import plan_text
+from pyspark.sql import functions as F
 
 import duckdb_sql
-from __spark_entry__ import _mart, queries
+from __spark_entry__ import _mart
+from __spark_entry__ import own_queries as queries
+from gantry.operators import dims
+from gantry.operators.events import validate_and_enrich
 from gantry.operators.facts import first_copy
 from gantry.operators.percentiles import mean_and_percentile
+from gantry.plans import kpis
 from gantry.session import scratch_dir
 from gantry.sources import catalog
 from gantry.sources.testdata import raw_events
-from gantry.sources.writers import jdbc_writer
+from gantry.sources.writers import jdbc_writer, write_raw
 
 EVENTS_DDL = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
-BATCH = sorted(name for name in queries() if not name.startswith("stream_") and not name.endswith("_lineitem") and name != "nightly_load")
+STORED = ["kpi_plaza_revenue_7d", "kpi_top_vehicles", "kpi_flagged_report", "kpi_highway_sla", "api_vehicle_history"]
+BATCH = sorted(name for name in queries() if not name.startswith("stream_") and not name.endswith("_lineitem")
+               and name not in ("nightly_load", "late_repair"))
 
 
 @pytest.fixture(scope="module")
@@ -54,7 +61,7 @@ def test_copies_are_cut_before_the_shuffle(spark, sf):
     assert kinds == ["Final", "Exchange", "Partial"]
 
 
-@pytest.mark.parametrize("name", ["kpi_revenue_today", "kpi_plaza_revenue_7d", "kpi_highway_sla", "dq_report", "api_day_summary"])
+@pytest.mark.parametrize("name", ["kpi_revenue_today", "kpi_class_share", "kpi_weekend_weekday", "dq_report", "api_day_summary"])
 def test_date_range_reaches_the_scan(spark, sf, name):
     assert "GreaterThanOrEqual(ts," in plan_text(queries()[name](spark, sf))
 
@@ -66,6 +73,18 @@ def test_plans_have_no_cross_join_and_no_python(spark, sf, name):
         assert word not in plan
 
 
+@pytest.mark.parametrize("name", STORED)
+def test_stored_facts_are_read_by_the_columns_needed(spark, sf, name):
+    scans = [line for line in plan_text(queries()[name](spark, sf)).splitlines() if "FileScan" in line and "/fact_transaction" in line]
+    assert scans and all("ingested_at" not in line.split("ReadSchema: ")[1] for line in scans)
+
+
+def test_stored_days_and_vehicles_prune(spark, sf):
+    assert "dynamicpruning" in plan_text(queries()["kpi_plaza_revenue_7d"](spark, sf))
+    history = plan_text(queries()["api_vehicle_history"](spark, sf))
+    assert any("EqualTo(vehicle_id," in line for line in history.splitlines() if "/fact_transaction" in line)
+
+
 @pytest.mark.parametrize("name", ["quarantine", "dim_date", "dim_vehicle", "dq_row_count"])
 def test_only_needed_columns_are_read(spark, sf, name):
     scan = plan_text(queries()[name](spark, sf)).split("ReadSchema: ")[1].splitlines()[0]
@@ -107,42 +126,57 @@ def test_catalog(spark, sf):
     root = scratch_dir(spark, "catalog")
     catalog.create_mart(spark, root, "mart_test")
     catalog.create_mart(spark, root, "mart_test")
-    assert len(spark.catalog.listTables("mart_test")) == 7
+    assert len(spark.catalog.listTables("mart_test")) == 8
     _mart(spark, sf).facts.limit(5).createOrReplaceTempView("some_facts")
     spark.sql("""INSERT INTO mart_test.fact_transaction SELECT transaction_id, plaza_id, vehicle_id, class_id, payment_id,
         amount, entry_time, exit_time, lane, ingested_at, date_id FROM some_facts""")
     assert spark.table("mart_test.fact_transaction").count() == 5
 
-    raw = queries()["validate_enrich"](spark, sf).limit(40).withColumn("hour", raw_hour())
-    raw.selectExpr("*", "event_ts AS ingested_at").drop("amount", "balance_before", "balance_after").write.partitionBy(
-        "year", "month", "day", "hour").parquet(f"{root}/raw")
+    raw = validate_and_enrich(raw_events(spark, sf)).limit(40).withColumn("hour", F.lit(0))
+    write_raw(raw, f"{root}/raw", "one")
     catalog.register_raw_zone(spark, f"{root}/raw", "raw_test")
     assert spark.table("raw_test").count() == 40
     assert "PartitionFilters: [isnotnull(day" in plan_text(spark.table("raw_test").where("day = 1"))
 
 
-def raw_hour():
-    from pyspark.sql import functions as F
-
-    return F.lit(0)
-
-
 def test_jdbc_options_reach_the_driver(spark):
     writer = jdbc_writer(spark.range(1), "jdbc:none:x", "mart.t", {"driver": "no.such.Driver", "user": "u"})
     with pytest.raises(Exception, match="no.such.Driver"):
         writer.save()
 
 
-def test_scratch_needs_a_shared_folder_on_a_cluster():
-    class Conf:
-        def get(self, key, default=None):
-            return default
-
+@pytest.mark.parametrize("settings, base", [
+    ({"spark.checkpoint.dir": "hdfs://a/shared/", "spark.sql.warehouse.dir": "hdfs://a/w"}, "hdfs://a/shared/x-"),
+    ({"spark.sql.warehouse.dir": "hdfs://a/w"}, "hdfs://a/w/scratch/x-"),
+])
+def test_scratch_is_on_a_shared_file_system(settings, base):
     class Session:
-        conf = Conf()
-
-        class sparkContext:
-            master = "spark://somewhere:7077"
-
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        scratch_dir(Session, "x")
+        conf = settings
+
+    assert scratch_dir(Session, "x").startswith(base)
+
+
+def test_a_busy_hour_is_split_and_small_ones_are_not(spark):
+    """Nine rows in ten of one hour: several tasks write it, the hours beside it have a file each."""
+    hours = spark.range(200_000).select(
+        F.lit(2024).alias("year"), F.lit(1).alias("month"), F.lit(1).alias("day"),
+        F.when(F.col("id") % 10 > 0, 7).otherwise(F.col("id") % 24).cast("int").alias("hour"),
+        F.concat(F.lit("T"), F.sha2(F.col("id").cast("string"), 256)).alias("transaction_id"))
+    root = scratch_dir(spark, "busy")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes",)}
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        write_raw(hours, root, "one")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = [f.split("/")[-3] for f in spark.read.parquet(root).inputFiles()]
+    assert files.count("hour=7") > 2
+    assert all(files.count(h) == 1 for h in set(files) - {"hour=7"})
+
+
+def test_a_trend_has_the_months_of_the_facts_whenever_they_are(spark):
+    facts = spark.createDataFrame([(19890501, Decimal(1)), (20240615, Decimal(2)), (20500101, Decimal(4))], "date_id INT, amount DECIMAL(10,2)")
+    rows = kpis.monthly_trend(facts, dims.days_of(facts)).collect()
+    assert [(r["year"], r["month"], r["prev_month_revenue"]) for r in rows] == [
+        (1989, 5, None), (2024, 6, Decimal(1)), (2050, 1, Decimal(2))]

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from gantry.operators import events as ev
 from gantry.session import scratch_dir
+from gantry.sources import files
+from gantry.sources.catalog import register_raw_zone
 from gantry.sources.readers import read_messages, read_raw
-from gantry.sources.testdata import as_messages, event_stream, raw_events
-from gantry.streaming import landing
+from gantry.sources.testdata import as_messages, event_stream, in_order_of_time, raw_events
+from gantry.sources.writers import write_raw
+from gantry.streaming import ingest, landing
 
 LANDED = ["transaction_id", "tag_id", "plaza_id", "amount", "status", "event_ts", "year", "month", "day"]
 
@@ -39,12 +42,12 @@ def batch(spark, sf):
 def test_landing_equals_batch_over_several_triggers(spark, sf, split):
     work = scratch_dir(spark, "landing")
     valid = coarse(ev.validate_and_enrich(stream(spark, split)).drop("offset"))
-    query = landing.land_raw(valid, f"{work}/raw", f"{work}/check", interval=None, writers=8)
+    query = landing.land_raw(valid, f"{work}/raw", f"{work}/check", interval=None)
     landing.wait_all([query])
     assert len([p for p in query.recentProgress if p["numInputRows"]]) == 3
     assert spark_rows(read_raw(spark, f"{work}/raw").select(*LANDED)) == spark_rows(batch(spark, sf).select(*LANDED))
     # Started again on the same checkpoint there is nothing left to do.
-    again = landing.land_raw(valid, f"{work}/raw", f"{work}/check", interval=None, writers=8)
+    again = landing.land_raw(valid, f"{work}/raw", f"{work}/check", interval=None)
     landing.wait_all([again])
     assert read_raw(spark, f"{work}/raw").count() == batch(spark, sf).count()
 
@@ -54,10 +57,17 @@ def test_summary_equals_batch_over_several_triggers(spark, sf, split):
     valid = ev.validate_and_enrich(stream(spark, split))
     seen = []
     landing.wait_all([landing.publish_summary(
-        valid, f"{work}/summary", f"{work}/check", interval=None, also=lambda df, i: seen.append(i))])
+        valid, f"{work}/summary", f"{work}/check", interval=None, delay=None, also=lambda df, i: seen.append(i))])
     want = spark_rows(landing.summary(batch(spark, sf)))
     assert seen == [0, 1, 2]
     assert spark_rows(landing.read_summary(spark, f"{work}/summary")) == want
+    # Merged, a table of fewer folders says the same; merging again changes nothing.
+    assert landing.merge_summary(spark, f"{work}/summary") == 2
+    assert [n for n in files.children(spark, f"{work}/summary") if "=" in n] == ["batch=-2", "batch=2"]
+    assert spark_rows(landing.read_summary(spark, f"{work}/summary")) == want
+    assert landing.merge_summary(spark, f"{work}/summary") == 0
+    assert landing.merge_summary(spark, f"{work}/summary", keep=0) == 2
+    assert spark_rows(landing.read_summary(spark, f"{work}/summary")) == want
 
 
 def test_summary_trigger_run_again_counts_once(spark, sf, split):
@@ -68,11 +78,42 @@ def test_summary_trigger_run_again_counts_once(spark, sf, split):
     assert spark_rows(landing.read_summary(spark, work)) == spark_rows(landing.summary(batch(spark, sf)))
 
 
-def test_summary_with_watermark_keeps_rows_in_time(spark, sf):
+def test_state_goes_with_the_delay_and_no_row_is_lost(spark, sf):
     work = scratch_dir(spark, "delay")
-    valid = ev.validate_and_enrich(stream(spark, sf))
-    landing.wait_all([landing.publish_summary(valid, f"{work}/s", f"{work}/c", interval=None, delay="2 days")])
+    feed = in_order_of_time(spark, sf, f"{work}/feed")
+    landing.keep_state_on_disk(spark)
+
+    def rows():
+        return ev.validate_and_enrich(ev.parse_events(as_messages(event_stream(spark, feed)), keep=["offset"]))
+
+    total = landing.publish_summary(rows(), f"{work}/s", f"{work}/c1", interval=None, delay="2 days")
+    once = landing.land_rows(landing.first_seen(rows(), "2 days", "offset").drop("offset"), f"{work}/once", f"{work}/c2", interval=None)
+    landing.wait_all([total, once])
     assert spark_rows(landing.read_summary(spark, f"{work}/s")) == spark_rows(landing.summary(batch(spark, sf)))
+    landed = spark.read.parquet(f"{work}/once")
+    assert landed.count() == landed.select("transaction_id").distinct().count() == 953
+    for query in (total, once):
+        held = [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in query.recentProgress if p["stateOperators"]]
+        removed = sum(s["numRowsRemoved"] for p in query.recentProgress for s in p["stateOperators"])
+        assert len(held) >= 6 and removed > 0 and max(held) < removed
+
+
+def test_backfill_into_a_streamed_zone_reads_back_whole(spark, sf, split):
+    work = scratch_dir(spark, "mixed")
+    valid = coarse(ev.validate_and_enrich(stream(spark, split)).drop("offset"))
+    landing.wait_all([landing.land_raw(valid, f"{work}/raw", f"{work}/check", interval=None)])
+    streamed = read_raw(spark, f"{work}/raw").count()
+    extra = coarse(batch(spark, sf)).where("day = 7")
+    other = extra.withColumns({"day": F.lit(31), "transaction_id": F.concat(F.lit("new-"), "transaction_id")})
+    write_raw(other, f"{work}/raw", "new day")
+    write_raw(extra, f"{work}/raw", "streamed day")
+    want = streamed + other.count() + extra.count()
+    assert read_raw(spark, f"{work}/raw").count() == want
+    register_raw_zone(spark, f"{work}/raw", "mixed_zone")
+    assert spark.table("mixed_zone").count() == want
+    # Another stream into the same zone does not replace what the first one landed.
+    landing.wait_all([landing.land_raw(valid, f"{work}/raw", f"{work}/other", interval=None)])
+    assert read_raw(spark, f"{work}/raw").count() == want + streamed
 
 
 def test_approximate_summary_is_exact_on_small_groups(spark, sf):
@@ -91,17 +132,18 @@ def test_copies_across_triggers_land_once(spark, sf, split, position):
     work = scratch_dir(spark, "dedup")
     valid = ev.validate_and_enrich(stream(spark, split))
     once = landing.first_seen(valid, "40 days", position).drop("offset")
-    landing.wait_all([landing.land_raw(once, f"{work}/raw", f"{work}/check", interval=None, partition_by=())])
-    landed = read_raw(spark, f"{work}/raw")
-    assert landed.count() == landed.select("transaction_id").distinct().count() == 965
+    landing.wait_all([landing.land_rows(once, f"{work}/raw", f"{work}/check", interval=None)])
+    landed = spark.read.parquet(f"{work}/raw")
+    assert landed.count() == landed.select("transaction_id").distinct().count() == 953
 
 
 def test_rejected_rows_keep_their_reason(spark, sf, split):
     work = scratch_dir(spark, "ingest")
     parsed = stream(spark, split, 6)
     queries = landing.start_ingest(
-        coarse(ev.validate_and_enrich(parsed).drop("offset")), ev.quarantine(parsed), work, f"{work}/check", interval=None)
+        coarse(ev.validate_and_enrich(parsed).drop("offset")), ev.quarantine(parsed), work, f"{work}/check", interval=None, delay="40 days")
     landing.wait_all(queries)
+    assert "RocksDB" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     rejected = spark.read.parquet(f"{work}/rejected")
     landed = read_raw(spark, f"{work}/raw")
     total = as_messages(raw_events(spark, sf)).count()
@@ -114,10 +156,31 @@ def test_blacklist_table_joins_a_stream(spark, sf, split):
     work = scratch_dir(spark, "listed")
     blacklist = spark.createDataFrame([("TAG-00001",), ("TAG-00007",)], "tag_id STRING")
     flagged = ev.flag_from_table(ev.valid_events(stream(spark, split, 6)), blacklist).select("tag_id", "status")
-    query = landing.land_raw(flagged, f"{work}/out", f"{work}/check", interval=None, partition_by=())
+    query = landing.land_rows(flagged, f"{work}/out", f"{work}/check", interval=None)
     landing.wait_all([query])
     want = ev.flag_from_table(ev.valid_events(raw_events(spark, sf)), blacklist).select("tag_id", "status")
-    assert spark_rows(spark.read.parquet(f"{work}/out")) == spark_rows(want)
+    assert spark_rows(spark.read.parquet(f"{work}/out").drop("load")) == spark_rows(want)
+
+
+def test_messages_from_a_source_to_all_sinks(spark, sf, split):
+    """The ingest job on a source of files: the same code path as from a broker."""
+    work = scratch_dir(spark, "job")
+    as_messages(raw_events(spark, sf)).select("value").repartition(2).write.parquet(f"{work}/messages")
+    source = spark.readStream.schema("value BINARY").option("maxFilesPerTrigger", "1").parquet(f"{work}/messages")
+    landing.wait_all(ingest.ingest_messages(source, f"{work}/out", f"{work}/check", interval=None, delay="40 days"))
+    total = spark.read.parquet(f"{work}/messages").count()
+    rejected = spark.read.parquet(f"{work}/out/rejected")
+    assert read_raw(spark, f"{work}/out/raw").count() + rejected.count() == total
+    assert rejected.where("reason = 'unreadable message' AND payload LIKE '{{%'").count() > 0
+    assert spark_rows(landing.read_summary(spark, f"{work}/out/summary")) == spark_rows(landing.summary(batch(spark, sf)))
+
+
+def test_ingest_command(monkeypatch):
+    seen = {}
+    monkeypatch.setattr(ingest, "build_session", lambda app: "session")
+    monkeypatch.setattr(ingest, "run", lambda *a: seen.update(run=a))
+    ingest.main(["--root", "r", "--option", "subscribe=t", "--option", "kafka.bootstrap.servers=h:1", "--once"])
+    assert seen["run"] == ("session", "kafka", {"subscribe": "t", "kafka.bootstrap.servers": "h:1"}, "r", "r/checkpoints", None, "2 days")
 
 
 def test_any_source_with_messages(spark):
@@ -125,7 +188,8 @@ def test_any_source_with_messages(spark):
     assert rate.isStreaming and ev.parse_events(rate).isStreaming
 
 
-def test_a_failed_query_stops_the_others(spark, sf, split):
+@pytest.mark.parametrize("first", [True, False])
+def test_a_failed_query_stops_the_others(spark, sf, split, first):
     work = scratch_dir(spark, "fail")
     parsed = stream(spark, split)
 
@@ -134,7 +198,7 @@ def test_a_failed_query_stops_the_others(spark, sf, split):
 
     bad = landing.publish_summary(ev.validate_and_enrich(parsed), f"{work}/s", f"{work}/c1", interval=None, also=fail)
     idle = landing.land_raw(ev.validate_and_enrich(parsed).drop("offset").limit(0), f"{work}/r", f"{work}/c2",
-                            interval="1 hour", partition_by=())
+                            interval="1 hour")
     with pytest.raises(Exception, match="warehouse is away"):
-        landing.wait_all([bad, idle])
-    assert not idle.isActive
+        landing.wait_all([bad, idle] if first else [idle, bad])
+    assert not idle.isActive and not bad.isActive
