@@ -9,8 +9,10 @@ test; over all rules and strata the error is divided by their number (Bonferroni
 probability 1 - `error` no rule rejects more than `risk` of the good documents of any stratum,
 and all rules together no more than `risk` times their number. Among the certified cutoffs the
 one is chosen that gains most: the share of labelled bad documents rejected less the share of
-good ones; the laxest if several gain the same, none if none gains. A stratum with too few
-labels has no certified cutoff and is not judged by that rule.
+good ones, the laxest if several gain the same. The gain has to be proven as well, by the same
+test turned round: labelled bad documents must refute "no more than `risk` of the bad ones are
+rejected". So a rule that junk does not break is not used, however harmless. A stratum with too
+few labels has no certified cutoff and is not judged by that rule.
 
 Cases: a null or blank text has no words, scores 0 and fails the base rule; a null stratum is a
 stratum of its own; a document labelled more than once counts as good only if all labels say so,
@@ -38,7 +40,7 @@ CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 
-RISK = 0.0025
+RISK = 0.01
 ERROR = 0.05
 #: Cutoffs that are tested, from the laxest.
 GRID = tuple(round(0.99 - 0.01 * i, 2) for i in range(99))
@@ -135,7 +137,11 @@ def choose_cutoff(good: np.ndarray, bad: np.ndarray, risk: float, error: float)
         lost = int(good[len(GRID) - i:].sum())
         if not n_good or binomial_tail(lost, n_good, risk) > error:
             break
-        gained = (int(bad[len(GRID) - i:].sum()) / n_bad if n_bad else 0.0) - lost / n_good
+        caught = int(bad[len(GRID) - i:].sum())
+        # P(X >= caught) of n trials is P(Y <= n - caught) of the trials that miss.
+        if not caught or binomial_tail(n_bad - caught, n_bad, 1 - risk) > error:
+            continue
+        gained = caught / n_bad - lost / n_good
         if gained > gain + 1e-12:
             best, gain = cutoff, gained
     return best

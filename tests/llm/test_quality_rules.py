@@ -53,6 +53,11 @@ def test_cutoff_is_the_laxest_that_gains_most_and_needs_enough_labels():
     assert q.choose_cutoff(good, bad, 0.01, 0.001) == q.GRID[99 - 60]
     assert q.choose_cutoff(np.eye(1, 100)[0] * 100, bad, 0.01, 0.001) is None  # 0.99^100 is no proof
     assert q.choose_cutoff(good, np.zeros(100), 0.01, 0.001) is None
+    few = np.zeros(100)
+    few[0], few[60] = 99, 1
+    assert q.choose_cutoff(good, few, 0.01, 0.001) is None  # one of a hundred may be chance
+    few[60] = 12
+    assert q.choose_cutoff(good, few, 0.01, 0.001) == q.GRID[99 - 60]
     good[60] = 400  # now any useful cutoff rejects 400 of 5400 good ones
     assert q.choose_cutoff(good, bad, 0.01, 0.001) is None
 
