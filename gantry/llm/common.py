@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gantry.session import scratch_dir
+from gantry.sources import files
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,9 +42,28 @@ def settled(df: DataFrame, purpose: str = "llm") -> DataFrame:
     Later steps start from files that outlive any executor, and Spark knows their size,
     which it needs to broadcast only what is small.
     """
+    release(df.sparkSession)
     path = f"{scratch_dir(df.sparkSession, purpose)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.settled_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of settled tables; only for those that no later step reads."""
+    for table in tables:
+        files.remove(table.sparkSession, table.settled_at)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more.
+
+    It does so when the driver's JVM has collected them, which with much memory to spare may be
+    long after the disks of a many-step job are full.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def unit_hash(seed: int, *parts: Column | str) -> Column:

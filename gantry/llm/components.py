@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gantry.llm.common import settled
+from gantry.llm.common import discard, settled
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -57,7 +57,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not mark[0]:
             break
-        edges = settled(_downwards(_small_star(_downwards(_large_star(edges)))), "components")
+        old, edges = edges, settled(_downwards(_small_star(_downwards(_large_star(edges)))), "components")
+        discard(old)
         before, mark = mark, _mark(edges)
         if mark == before:
             break

@@ -133,7 +133,8 @@ def groups(prints: DataFrame, t: int = 4) -> DataFrame:
     roots = components(links(classes.select("fp"), t))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # A table of its own, so that Spark can split the rows of a large component in the join.
+    least = settled(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash")
     return rooted.join(least, "root").select(F.col("fp").alias("fingerprint"), "component_id")
 
 

@@ -21,7 +21,7 @@ An anchor of more than HOT documents, such as a line that everyone has, may stan
 different segments. Its windows are filed one by one, each under its own hash, so that a shard
 holds about SHARD_WORDS words whatever the text.
 
-Words are compared by 64-bit hashes. Cases: null, blank and short texts (fewer words than a
+Words are compared by hashes: 64 bits for anchors, 48 of them for the words of a segment. Cases: null, blank and short texts (fewer words than a
 window) lose nothing; a null doc_id is larger than any other and equal to itself; rows with one
 doc_id do not take words from each other, nor do windows that repeat within a document; an empty
 table gives an empty result. Other columns are ignored.
@@ -34,36 +34,105 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gantry.llm.common import settled, shards, slices
+from gantry.llm.common import discard, settled, shards, slices
 from gantry.llm.fm_index import FMIndex
 
 WINDOW = 13
-Q = 6
+Q = 4
 HOT = 20_000
 SHARD_WORDS = 400_000
-MOST_WORDS_KNOWN = 300_000
 NO_ID = (1 << 63) - 1
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, the latest ones remembered."""
+_TABLES = np.random.default_rng(20).integers(0, 1 << 64, 256 + 4096, np.uint64) | np.uint64(1)
+_OF_BYTE, _OF_PLACE = _TABLES[:256], _TABLES[256:]
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_FACTOR = 0x9E3779B97F4A7C15
+#: Bytes of a word's hash that a segment's content has.
+CODE = 6
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MOST_WORDS_KNOWN:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
 
+def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column and where each text begins and the last one ends; null is empty."""
+    texts = texts.fill_null(b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+    data = texts.buffers()[2]
+    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
-_HASHES = _Hashes()
 
+def word_hashes(texts: pa.Array, most_bytes: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of all texts in a row, and the number of words of each text.
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    A hash is the sum over a word's bytes of a number for the byte times a number for its place,
+    both random and fixed. It is taken for about `most_bytes` at a time.
+    """
+    data, offsets = _buffers(texts)
+    hashes, sizes = [], np.zeros(len(texts), np.int64)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most_bytes, side="right")) - 1)
+        part = data[offsets[at]:offsets[to]]
+        inside = ~_IS_SPACE[part]
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        edges = offsets[at:to] - offsets[at]
+        edges = edges[edges < len(part)]
+        begins[edges] = inside[edges]  # a text's first word does not continue the last one of the text before
+        starts = np.flatnonzero(begins)
+        if len(starts):
+            spans = np.diff(np.append(starts, len(part)))
+            place = np.arange(starts[0], len(part)) - np.repeat(starts, spans)
+            value = _OF_BYTE[part[starts[0]:]] * _OF_PLACE[place & 4095]
+            value[~inside[starts[0]:]] = 0
+            letters = np.add.reduceat(inside[starts[0]:].astype(np.int64), starts - starts[0]).astype(np.uint64)
+            hashes.append(_mixed(np.add.reduceat(value, starts - starts[0]) + letters * np.uint64(_FACTOR)))
+            sizes[at:to] = np.diff(np.searchsorted(starts, offsets[at:to + 1] - offsets[at]))
+        at = to
+    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), sizes
+
+
+class _Powers:
+    """Powers of an odd number modulo 2^64 and of its inverse, as many as were asked for."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            size = 1 << (n - 1).bit_length()
+            inverse = pow(_FACTOR, -1, 1 << 64)
+            self.up, self.down = (np.cumprod(np.append(np.uint64(1), np.full(size - 1, f, np.uint64))) for f in (_FACTOR, inverse))
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = _Powers()
+
+
+def run_digests(h: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each run of word hashes, from sums of hashes times powers."""
+    up, down = _POWERS.of(len(h) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[:len(h)])))
+    return _mixed((sums[first + lengths] - sums[first]) * down[first] + lengths.astype(np.uint64) * np.uint64(_FACTOR))
+
+
+def contents(h: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The lower CODE bytes of the hashes of each run, as binary values."""
+    ends = np.cumsum(lengths)
+    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - lengths), lengths)
+    data = np.ascontiguousarray(h[at].view(np.uint8).reshape(-1, 8)[:, :CODE])
+    offsets = np.concatenate(([0], ends * CODE)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def symbols_of(data: bytes) -> np.ndarray:
+    """The numbers that `contents` has put into bytes."""
+    wide = np.zeros((len(data) // CODE, 8), np.uint8)
+    wide[:, :CODE] = np.frombuffer(data, np.uint8).reshape(-1, CODE)
+    return wide.reshape(-1).view(np.uint64)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -113,11 +182,6 @@ def _words(batch: pa.RecordBatch, column: int) -> list[list[bytes]]:
     return [t.as_buffer().to_pybytes().split() if t.is_valid else [] for t in batch.column(column)]
 
 
-def _hashed(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(w) for w in words], np.int64)
-    return (np.concatenate([word_hashes(w) for w in words]) if len(words) else np.zeros(0, np.uint64)), sizes
-
-
 def numbered(docs: DataFrame) -> DataFrame:
     """(row, doc, text): a hash of each row, its doc_id with null as the largest, and its text as bytes.
 
@@ -150,8 +214,8 @@ def anchors(rows: DataFrame, window: int = WINDOW, q: int = Q) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2, 32 << 20):
-            text, _, _, anchor = segments(*_hashed(_words(batch, 2)), window, q)
+        for batch in slices(batches, 2, 16 << 20):
+            text, _, _, anchor = segments(*word_hashes(batch.column(2)), window, q)
             if not len(text):
                 continue
             order = np.lexsort((text, anchor))
@@ -170,73 +234,76 @@ def anchors(rows: DataFrame, window: int = WINDOW, q: int = Q) -> DataFrame:
 
 
 def shared_anchors(found: DataFrame, hot: int = HOT) -> DataFrame:
-    """(row, anchors, hot) of the documents that share any: the anchors, and those of more than `hot` documents."""
+    """(row, anchors, hot) of the documents that share any: the anchors, and those of more than `hot` documents; a table."""
     # Rows that are known to be shared are only carried along, spread by their document.
     known = F.col("n_docs").isNull()
     key = F.when(known, F.xxhash64("row", "anchor")).otherwise(F.col("anchor"))
-    dealt = found.withColumn("key", key).repartition(shards(found.sparkSession), "key")
-    sums = dealt.where(~known).groupBy("key").agg(F.sum("n_docs").alias("docs"))
-    flagged = dealt.join(sums, "key", "left").where(known | (F.col("docs") > 1))
-    flagged = settled(flagged.select("row", "anchor", "docs"), "substrings")
-    heavy = settled(flagged.where(F.col("docs") > hot).select("anchor").distinct(), "substrings").withColumn("_hot", F.lit(True))
-    marked = flagged.join(heavy, "anchor", "left")
-    return marked.groupBy("row").agg(
-        F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("_hot"), F.col("anchor"))).alias("hot"))
+    dealt = found.select("row", "n_docs", key.alias("key"), F.when(known, F.col("anchor")).alias("known"))
+    docs = F.sum("n_docs").over(W.partitionBy("key"))
+    flagged = dealt.withColumn("docs", docs).where("known IS NOT NULL OR docs > 1")
+    flagged = settled(flagged.select("row", F.coalesce("known", "key").alias("anchor"), "docs"), "substrings")
+    heavy = settled(flagged.where(F.col("docs") > hot).select("anchor").distinct(), "substrings")
+    marked = flagged.join(heavy.withColumn("_hot", F.lit(True)), "anchor", "left")
+    shared = settled(marked.groupBy("row").agg(
+        F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("_hot"), F.col("anchor"))).alias("hot")), "substrings")
+    discard(flagged, heavy)
+    return shared
 
 
 def places(texts: DataFrame, window: int = WINDOW, q: int = Q) -> DataFrame:
     """(row, doc, start, windows, shard, digest, content) of the segments of shared anchors.
 
-    `texts` has (row, doc, text, anchors, hot). `content`, the word hashes, comes with the first
-    place of a segment in a task only. Windows of a hot anchor are segments of their own.
+    `texts` has (row, doc, text, anchors, hot). `content`, CODE bytes of the hash of each word,
+    comes with the first place of a segment in a task and is empty elsewhere. Windows of a hot
+    anchor are segments of their own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[tuple[int, int]] = set()
+        sent: set[int] = set()
         names = ["row", "doc", "start", "windows", "shard", "digest", "content"]
         for batch in slices(batches, 2):
-            h, sizes = _hashed(_words(batch, 2))
+            h, sizes = word_hashes(batch.column(2))
             text, first, windows, anchor = segments(h, sizes, window, q)
             if not len(text):
                 continue
             signed = anchor.view(np.int64)
-            wanted = np.zeros(len(text), bool)
-            is_hot = np.zeros(len(text), bool)
-            begins = np.searchsorted(text, np.arange(len(sizes) + 1))
-            for i in range(len(sizes)):
-                part = slice(begins[i], begins[i + 1])
-                wanted[part] = np.isin(signed[part], batch.column(3)[i].values.to_numpy())
-                if len(batch.column(4)[i]):
-                    is_hot[part] = np.isin(signed[part], batch.column(4)[i].values.to_numpy())
+            wanted, is_hot = (_listed(signed, text, batch.column(c)) for c in (3, 4))
             # A hot run of windows becomes as many runs of one.
             times = np.where(wanted, np.where(is_hot, windows, 1), 0)
             at = np.repeat(np.arange(len(text)), times)
             shift = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-            first = first[at] + shift
-            windows, hot_run = np.where(is_hot[at], 1, windows[at]), is_hot[at]
-            text, signed = text[at], signed[at]
+            first, spread = first[at] + shift, is_hot[at]
+            windows, text = np.where(spread, 1, windows[at]), text[at]
+            lengths = windows + window - 1
+            digest = run_digests(h, first, lengths)
+            _, once = np.unique(digest, return_index=True)
+            new = np.array([i for i, d in zip(once.tolist(), digest[once].tolist()) if d not in sent], np.int64)
+            sent.update(digest[new].tolist())
+            shown = np.zeros(len(text), np.int64)
+            shown[new] = lengths[new]
             starts = np.cumsum(sizes) - sizes
-            digests, contents, shard = [], [], signed.tolist()
-            data, width = h.tobytes(), h.itemsize
-            for k, (a, n, spread) in enumerate(zip(first.tolist(), windows.tolist(), hot_run.tolist())):
-                own = data[a * width:(a + n + window - 1) * width]
-                digest = xxhash.xxh64_intdigest(own)
-                digest -= (digest >> 63) << 64
-                if spread:
-                    shard[k] = digest
-                digests.append(digest)
-                seen = (shard[k], digest)
-                contents.append(None if seen in sent else own)
-                sent.add(seen)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)),
-                 pa.array((first - starts[text]).astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(shard, pa.int64()),
-                 pa.array(digests, pa.int64()), pa.array(contents, pa.binary())], names)
+                 pa.array((first - starts[text]).astype(np.int32)), pa.array(windows.astype(np.int32)),
+                 pa.array(np.where(spread, digest.view(np.int64), signed[at])), pa.array(digest.view(np.int64)),
+                 contents(h, first, shown)], names)
 
     return texts.select("row", "doc", "text", "anchors", "hot").mapInArrow(
         run, "row bigint, doc bigint, start int, windows int, shard bigint, digest bigint, content binary")
 
 
+def _listed(anchor: np.ndarray, text: np.ndarray, lists: pa.ListArray) -> np.ndarray:
+    """Whether each segment's anchor is in the list of its text; segments come by text."""
+    found = np.zeros(len(anchor), bool)
+    begins = np.searchsorted(text, np.arange(len(lists) + 1)).tolist()
+    values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy().tolist()
+    for i, (a, b) in enumerate(zip(begins, begins[1:])):
+        own = values[offsets[i]:offsets[i + 1]]
+        if a < b and len(own):
+            found[a:b] = np.isin(anchor[a:b], own)
+    return found
+
+
 def least_documents(h: np.ndarray, lengths: np.ndarray, docs: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
     """For each of the sequences the least document of each of its windows, by an FM-index of all.
 
@@ -264,19 +331,19 @@ def least_documents(h: np.ndarray, lengths: np.ndarray, docs: np.ndarray, window
 
 
 def search(found: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(shard, digest, least): for each distinct segment the least document of each window."""
+    """(shard, digest, least): for each distinct segment the least document of each window; a table."""
     distinct = found.groupBy("shard", "digest").agg(F.min("doc").alias("doc"), F.max("content").alias("content"))
     distinct = settled(distinct, "substrings")
-    words = distinct.agg(F.sum(F.octet_length("content") / 8)).first()[0] or 0
+    words = distinct.agg(F.sum(F.octet_length("content") / CODE)).first()[0] or 0
     parts = max(shards(found.sparkSession), int(words // shard_words) + 1)
     dealt = distinct.withColumn("_part", F.pmod(F.xxhash64("shard"), F.lit(parts)))
     dealt = dealt.repartition(shards(found.sparkSession), "_part").sortWithinPartitions("_part")
 
     def of_part(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(batches).combine_chunks()
-        contents = t["content"].to_pylist()
-        lengths = np.array([len(c) // 8 for c in contents], np.int64)
-        least = least_documents(np.frombuffer(b"".join(contents), np.uint64), lengths, t["doc"].to_numpy(), window)
+        data = t["content"].to_pylist()
+        lengths = np.array([len(c) // CODE for c in data], np.int64)
+        least = least_documents(symbols_of(b"".join(data)), lengths, t["doc"].to_numpy(), window)
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in least]))).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(least)))
         columns = [t["shard"].combine_chunks(), t["digest"].combine_chunks(), lists]
@@ -297,7 +364,10 @@ def search(found: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORD
         if held:
             yield of_part(held)
 
-    return dealt.select("shard", "digest", "doc", "content", "_part").mapInArrow(run, "shard bigint, digest bigint, least array<bigint>")
+    rows = dealt.select("shard", "digest", "doc", "content", "_part")
+    searched = settled(rows.mapInArrow(run, "shard bigint, digest bigint, least array<bigint>"), "substrings")
+    discard(distinct)
+    return searched
 
 
 def intervals(found: DataFrame, searched: DataFrame) -> DataFrame:
@@ -341,11 +411,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, q: int = Q, hot: int =
     """(doc_id, n_words, n_removed, kept_sha256) of every row of `docs`."""
     rows = numbered(docs)
     whole = settled(summaries(rows), "substrings")
-    shared = settled(shared_anchors(anchors(rows, window, q), hot), "substrings")
+    shared = shared_anchors(anchors(rows, window, q), hot)
     texts = settled(rows.join(shared, "row"), "substrings")
+    discard(shared)
     found = settled(places(texts, window, q), "substrings")
-    taken = intervals(found, search(found, window))
+    searched = search(found, window)
+    taken = settled(intervals(found, searched), "substrings")
+    discard(found, searched)
     changed = settled(without(texts, taken, window).dropDuplicates(["row", "doc"]), "substrings")
+    discard(texts, taken)
     return whole.join(changed, ["row", "doc"], "left").select(
         F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_words",
         F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"),

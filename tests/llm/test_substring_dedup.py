@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from gantry.llm import substring_dedup as s
 from gantry.llm.fm_index import FMIndex
@@ -42,6 +43,35 @@ def test_unknown_symbols_match_nothing():
     assert index.matching(codes, np.arange(4), 3)[0].tolist() == [1, 0, 1, 2]
 
 
+@pytest.mark.parametrize("most_bytes", [1, 3, 1000])
+def test_words_are_hashed_as_they_are_split(most_bytes):
+    rng = random.Random(most_bytes)
+    known = {}
+    for _ in range(300):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choice(["a", "b", " ", "\n", "é", "  ", "\x0b", "ab"]) for _ in range(rng.randint(0, 12))).encode()
+                 for _ in range(rng.randint(0, 6))]
+        column = pa.array(texts, pa.binary())
+        if len(texts) > 2:
+            column, texts = column.slice(1), texts[1:]
+        hashes, sizes = s.word_hashes(column, most_bytes)
+        words = [(t or b"").split() for t in texts]
+        assert sizes.tolist() == [len(w) for w in words]
+        for word, value in zip((w for ws in words for w in ws), hashes.tolist()):
+            assert known.setdefault(word, value) == value
+    assert len(set(known.values())) == len(known)
+
+
+def test_digests_and_contents_tell_runs_apart():
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 3, 400).astype(np.uint64) * np.uint64(0x123456789ABC)
+    first = rng.integers(0, 380, 900)
+    lengths = rng.integers(1, 20, 900)
+    digests, data = s.run_digests(h, first, lengths), s.contents(h, first, lengths).to_pylist()
+    runs = [tuple(h[a:a + n].tolist()) for a, n in zip(first.tolist(), lengths.tolist())]
+    assert len(set(runs)) == len(set(digests.tolist())) == len(set(data))
+    assert [tuple(s.symbols_of(d).tolist()) for d in data] == runs
+
+
 @pytest.mark.parametrize("window, q", [(13, 6), (5, 2), (4, 4), (7, 3)])
 def test_equal_windows_have_equal_anchors(window, q):
     rng = np.random.default_rng(window)
