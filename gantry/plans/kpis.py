@@ -118,8 +118,10 @@ def weekend_weekday(mart: Mart, as_of: date, days: int = 30) -> DataFrame:
 
 def monthly_trend(facts: DataFrame, dim_date: DataFrame) -> DataFrame:
     """Monthly revenue, running total of the year, previous month present, growth."""
+    # A row for each day meets the calendar.
+    per_day = facts.groupBy("date_id").agg(total().alias("amount"))
     monthly = (
-        facts.join(dim_date.select("date_id", "year", "month"), "date_id")
+        per_day.join(dim_date.select("date_id", "year", "month"), "date_id")
         .groupBy("year", "month")
         .agg(total().alias("monthly_revenue"))
     )

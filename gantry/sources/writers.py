@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from gantry.functions.dates import day_key
 from gantry.schemas import HOUR_COLUMNS, MART, RAW_DDL, RAW_PARTITIONS
+from gantry.session import settings
 from gantry.sources import files
 
 
@@ -95,10 +96,13 @@ def write_raw(events: DataFrame, root: str, load: str) -> None:
 
     One plan for a batch and for a stream's trigger: rows are gathered by hour, and adaptive
     execution splits a busy hour over several tasks and lets one task write several small ones.
+    What takes time in small hours is making their files, so tasks are joined only while they
+    are very small; the number of files is that of the hours either way.
     """
     rows = raw_rows(events, load).hint("rebalance", *HOUR_COLUMNS)
     writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
-    writer.partitionBy(*RAW_PARTITIONS).parquet(root)
+    with settings(events.sparkSession, spark__sql__adaptive__coalescePartitions__minPartitionSize="16k"):
+        writer.partitionBy(*RAW_PARTITIONS).parquet(root)
 
 
 def jdbc_writer(df: DataFrame, url: str, table: str, options: Mapping[str, str] | None = None,
