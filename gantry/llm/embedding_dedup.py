@@ -4,6 +4,10 @@ Each pass hashes a vector to the signs of its products with random directions, p
 a row and sorts the vectors of a label by that. Vectors at a small angle share long prefixes, so
 they come close to each other in most passes: a vector is compared with the next WINDOW ones,
 pairs with a cosine of at least the threshold are kept, and the pairs of all passes are united.
+The larger a label, the shorter the prefixes that bring two vectors into one window, so the number
+of passes follows from the size of the largest label: for an isolated pair at the threshold among
+vectors of random directions the estimated chance of a miss is at most MISS. Passes are made in
+rounds, whose rows are dropped before the next.
 
 A window cannot hold all partners of a vector in a dense group. The united pairs tell the groups
 exactly, so the rest is done there: within each component all members are compared, in blocks,
@@ -18,7 +22,9 @@ smallest; an empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gantry.llm.common import settled, shards
+from gantry.llm.common import discard, settled, shards
 from gantry.llm.components import components
 
 THRESHOLD = 0.93
+#: Passes of a round, and the least number.
 PASSES = 12
+#: Half of the hundredth that may be missed: prefixes hold uneven numbers of vectors, which the estimate leaves out.
+MISS = 0.005
 BITS = 62
 WINDOW = 16
 #: Rows that a task compares at a time: of a sorted pass, and of a component.
@@ -50,7 +59,29 @@ def usable(vector: str = "embedding", label: str = "label") -> Column:
     return F.coalesce(F.col(label).isNotNull() & (F.size(vector) > 0) & finite, F.lit(False))
 
 
-def _hashed(classes: DataFrame, passes: int, seed: int) -> DataFrame:
+def pass_chance(size: int, threshold: float, window: int) -> float:
+    """The chance that one pass over a label of `size` vectors brings a pair at the threshold into one window.
+
+    Two vectors agree in a sign with a chance that their angle gives. If the first sign in which
+    they differ comes after `shared` others, about half of the vectors with that prefix lie
+    between them.
+    """
+    agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    chance = agree**BITS
+    for shared in range(BITS):
+        between = size / 2 ** (shared + 1)
+        fits = sum(math.exp(k * math.log(between) - between - math.lgamma(k + 1)) for k in range(window))
+        chance += agree**shared * (1 - agree) * min(1.0, fits)
+    return min(1.0, chance)
+
+
+def passes_for(size: int, threshold: float = THRESHOLD, window: int = WINDOW) -> int:
+    """Passes after which the estimated chance that a pair at the threshold is missed is at most MISS."""
+    chance = pass_chance(max(1, size), threshold, window)
+    return PASSES if chance >= 1 else max(PASSES, math.ceil(math.log(MISS) / math.log1p(-chance)))
+
+
+def _hashed(classes: DataFrame, passes: int, seed: int, first: int = 0) -> DataFrame:
     """A row of each class for each pass, with its `key`: BITS signs, the first the highest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,7 +92,7 @@ def _hashed(classes: DataFrame, passes: int, seed: int) -> DataFrame:
             for dim in np.unique(lengths).tolist():
                 part = batch.filter(pa.array(lengths == dim))
                 if dim not in directions:
-                    directions[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, passes * BITS))
+                    directions[dim] = np.random.default_rng([seed, dim, first] if first else [seed, dim]).standard_normal((dim, passes * BITS))
                 signs = (_matrix(part.column(1)) @ directions[dim] >= 0).reshape(part.num_rows, passes, BITS)
                 keys = (signs * weights).sum(axis=2)
                 for p in range(passes):
@@ -84,7 +115,9 @@ def _ranked(rows: DataFrame) -> DataFrame:
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = settled(sizes.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before")), "embeddings")
     place = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return numbered.join(offsets, "_part").withColumn("rank", place).drop("_part", "_before", "_id")
+    ranked = numbered.join(offsets, "_part").withColumn("rank", place).drop("_part", "_before", "_id")
+    ranked.settled_at = numbered.settled_at
+    return ranked
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[pa.Table]:
@@ -178,7 +211,7 @@ def count_links(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, seed: int = 0,
+    vectors: DataFrame, threshold: float = THRESHOLD, passes: int | None = None, window: int = WINDOW, seed: int = 0,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of `vectors` (vec_id, embedding, label)."""
     rows = vectors.select(
@@ -186,8 +219,15 @@ def near_duplicates(
     valid = rows.where("_ok")
     classes = valid.groupBy("label", "embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
     classes = settled(classes.withColumn("node", F.monotonically_increasing_id()), "embeddings")
-    found = settled(window_links(_ranked(_hashed(classes, passes, seed)), threshold, window), "embeddings")
-    roots = settled(components(found), "embeddings")
+    if passes is None:
+        largest = classes.groupBy("label", F.size("embedding")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        passes = passes_for(largest or 1, threshold, window)
+    rounds = []
+    for first in range(0, passes, PASSES):
+        ranked = _ranked(_hashed(classes, min(PASSES, passes - first), seed, first))
+        rounds.append(settled(window_links(ranked, threshold, window), "embeddings"))
+        discard(ranked)
+    roots = settled(components(reduce(DataFrame.unionByName, rounds)), "embeddings")
     members = classes.join(roots, "node")
     linked = count_links(members.select("node", "root", "copies", "embedding"), threshold)
     least = members.groupBy("root").agg(F.min("least").alias("component_id"))

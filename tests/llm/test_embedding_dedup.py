@@ -93,3 +93,17 @@ def test_small_windows_find_neighbours_over_block_borders(spark, window, monkeyp
     rows = [(i, [1.0, 0.001 * (i % 7)], 1) for i in range(7)]
     found = e.near_duplicates(spark.createDataFrame(rows, SCHEMA), window=window)
     assert {(r["n_links"], r["component_id"]) for r in found.collect()} == {(6, 0)}
+
+
+def test_passes_follow_the_size_of_the_label(spark):
+    assert e.passes_for(1000) == e.PASSES < e.passes_for(20_000) < e.passes_for(1_000_000)
+    # A window of one in a label of 6,000 is as narrow as one of sixteen in a label of 96,000.
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((3000, 64))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.931 * x + (1 - 0.931**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, y]))]
+    found = e.near_duplicates(spark.createDataFrame(rows, SCHEMA), window=1)
+    assert found.where("n_links > 0").count() >= 0.985 * len(rows)
