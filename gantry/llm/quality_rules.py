@@ -11,8 +11,13 @@ and all rules together no more than `risk` times their number. Among the certifi
 one is chosen that gains most: the share of labelled bad documents rejected less the share of
 good ones, the laxest if several gain the same. The gain has to be proven as well, by the same
 test turned round: labelled bad documents must refute "no more than `risk` of the bad ones are
-rejected". So a rule that junk does not break is not used, however harmless. A stratum with too
-few labels has no certified cutoff and is not judged by that rule.
+rejected". So a rule that junk does not break is not used, however harmless.
+
+A stratum with too few labels for any proof of its own is judged with all others like it: they are
+one pool with its own chain for each rule, counted in the correction. Who belongs to the pool
+follows from the numbers of labels alone. What is proven for the pool holds for its documents
+taken together, not for each of its strata, and takes labels that were drawn from all of them
+alike. If the pool is too small as well, only the base rule judges it.
 
 Cases: a null or blank text has no words, scores 0 and fails the base rule; a null stratum is a
 stratum of its own; a document labelled more than once counts as good only if all labels say so,
@@ -147,6 +152,22 @@ def choose_cutoff(good: np.ndarray, bad: np.ndarray, risk: float, error: float)
     return best
 
 
+def own_strata(sizes: dict, rules: int, risk: float, error: float) -> set:
+    """Of {stratum: (good, bad)} labels those with enough for a proof of their own; the rest are the pool."""
+    def enough(n: tuple[int, int], chains: int) -> bool:
+        least = error / chains
+        return binomial_tail(0, n[0], risk) <= least and binomial_tail(0, n[1], 1 - risk) <= least
+
+    own = set(sizes)
+    while own:
+        # A stratum that leaves for the pool may bring the number of chains down, never up.
+        left = {s for s in own if enough(sizes[s], rules * (len(own) + (len(own) < len(sizes))))}
+        if left == own:
+            break
+        own = left
+    return own
+
+
 def certify(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """(stratum, rule, cutoff): at most one row for each rule and stratum.
 
@@ -164,17 +185,32 @@ def certify(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: f
     above = F.size(F.filter(grid, lambda c: F.col("_s.score") > c))
     counts = long.select("stratum", "good", F.col("_s.rule").alias("rule"), above.alias("above"))
     counts = settled(counts.groupBy("stratum", "rule", "good", "above").agg(F.count("*").alias("n")), "quality")
-    chains = counts.select("stratum", "rule").distinct().count()
+    rule_names = list(rules)
+    # A row for each stratum: every labelled document has a score of every rule.
+    labelled = counts.where(F.col("rule") == rule_names[0]).groupBy("stratum").agg(
+        F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(~F.col("good"), F.col("n")).otherwise(0)).alias("bad")).collect()
+    own = own_strata({r["stratum"]: (r["good"], r["bad"]) for r in labelled}, len(rules), risk, error)
+    chains = len(rules) * (len(own) + (len(own) < len(labelled)))
+    is_own = F.lit(False)
+    if own - {None}:
+        is_own = F.coalesce(F.col("stratum").isin(sorted(own - {None})), F.lit(False))
+    if None in own:
+        is_own = is_own | F.col("stratum").isNull()
+    pooled = counts.withColumn("pool", ~is_own).withColumn("stratum", F.when(is_own, F.col("stratum")))
 
     def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        sums = {g: np.bincount(part["above"], part["n"], len(GRID) + 1) for g, part in rows.groupby("good")}
         none = np.zeros(len(GRID) + 1)
+        sums = {g: np.bincount(part["above"], part["n"], len(GRID) + 1) for g, part in rows.groupby("good")}
         cutoff = choose_cutoff(sums.get(True, none), sums.get(False, none), risk, error / chains)
         first = rows.iloc[0]
-        found = [] if cutoff is None else [(first["stratum"], first["rule"], cutoff)]
-        return pd.DataFrame(found, columns=["stratum", "rule", "cutoff"])
-
-    return counts.groupBy("stratum", "rule").applyInPandas(decide, "stratum string, rule string, cutoff double")
+        found = [] if cutoff is None else [(first["pool"], first["stratum"], first["rule"], cutoff)]
+        return pd.DataFrame(found, columns=["pool", "stratum", "rule", "cutoff"])
+
+    found = settled(pooled.groupBy("pool", "stratum", "rule").applyInPandas(decide, "pool boolean, stratum string, rule string, cutoff double"), "quality")
+    # The pool's cutoffs go to each of its strata, labelled or not.
+    others = measured.select("stratum").distinct().where(~is_own)
+    shared = others.crossJoin(found.where("pool").select("rule", "cutoff"))
+    return found.where("NOT pool").select("stratum", "rule", "cutoff").unionByName(shared)
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:

@@ -96,3 +96,22 @@ def test_edges(spark, docs):
         ("5", 120, True, False), ("None", 60, False, True)]
     assert q.quality(docs([]), labels).count() == 0
     assert q.quality(docs(rows), labels.limit(0)).where("kept").count() == 3
+
+
+def test_strata_too_small_for_a_proof_are_judged_together(spark, docs):
+    rng = random.Random(6)
+    texts = [(t, "en", 1) for t in corpus(rng, 900, "en", False)] + [(t, "en", 0) for t in corpus(rng, 60, "en", True)]
+    for lang in ("de", "fr", None):  # none of them proves a cutoff alone
+        texts += [(t, lang, 1) for t in corpus(rng, 320, "x", False)] + [(t, lang, 0) for t in corpus(rng, 20, "x", True)]
+    texts += [(t, "es", None) for t in corpus(rng, 5, "es", False)]
+    rows = [(i, t, lang, "s") for i, (t, lang, _) in enumerate(texts)]
+    labels = spark.createDataFrame([(i, quality, 0) for i, (_, _, quality) in enumerate(texts)], "doc_id bigint, quality int, toxic int")
+    found = {r["doc_id"]: r["kept"] for r in q.quality(docs(rows), labels).collect()}
+    assert all(found[i] == (quality != 0) for i, (_, _, quality) in enumerate(texts))
+
+
+def test_who_is_pooled_follows_from_the_numbers_of_labels():
+    sizes = {"en": (5000, 300), "de": (400, 50), None: (300, 20), "fr": (5000, 1)}
+    assert q.own_strata(sizes, 6, 0.01, 0.05) == {"en"}
+    assert q.own_strata({"en": (5000, 300)}, 6, 0.01, 0.05) == {"en"}
+    assert q.own_strata({}, 6, 0.01, 0.05) == set()
