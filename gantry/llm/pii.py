@@ -112,7 +112,10 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def added_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     proposed = []
-    for m in IBAN.finditer(text):
+    at = 0
+    while m := IBAN.search(text, at):
+        # A match may reach over the next code, so the search goes on within it; each is of bounded length.
+        at = m.start() + 1
         if m.start() and text[m.start() - 1].isalnum():
             continue
         code = m.group().replace(" ", "")
@@ -125,6 +128,7 @@ def added_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
                 end += 1
             score = 0.8 + 0.2 * _nearby(text, m.start(), end, IBAN_WORDS)
             proposed.append((m.start(), end, "iban", score))
+            at = end
     for m in CARD.finditer(text):
         if 13 <= m.end() - m.start() <= 25:
             digits = digits_of(m.group())

@@ -78,3 +78,20 @@ def test_rows_pass_through(spark, docs):
     assert clean.columns == frame.columns
     assert sorted(str(r["text"]) for r in clean.collect()) == ["", "None", "é <EMAIL>", "é <EMAIL>"]
     assert pii.spans(docs([])).count() == 0 and pii.redact(docs([])).count() == 0
+
+
+@pytest.mark.parametrize("text, added", [
+    ("NO9386011117947 BE68539007547034", ["NO9386011117947", "BE68539007547034"]),
+    ("AB12 DE89370400440532013000", ["DE89370400440532013000"]),
+    ("REF AB12 CD34 NO93 8601 1117 947 BE68 5390 0754 7034.", ["NO93 8601 1117 947", "BE68 5390 0754 7034"]),
+    ("XDE89370400440532013000", []),
+])
+def test_codes_within_reach_of_an_earlier_match_are_found(text, added):
+    assert [text[a:b] for a, b, k in pii.find(text)[1] if k == "iban"] == added
+
+
+@pytest.mark.parametrize("text", ["AB12 " * 60_000, "DE89 " * 60_000, "AB12CD34 " * 30_000])
+def test_time_of_searching_again_follows_length(text):
+    start = time.process_time()
+    pii.find(text)
+    assert time.process_time() - start < 5
