@@ -127,15 +127,20 @@ def links(prints: DataFrame, t: int = 4, m: int = 5, parts: int = 4) -> DataFram
     return a.join(b, met & ring).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
-def groups(prints: DataFrame, t: int = 4) -> DataFrame:
-    """(fingerprint, component_id) for rows (doc_id, fingerprint): the least id in reach, itself included."""
+def rooted(prints: DataFrame, t: int = 4) -> DataFrame:
+    """(fp, least, root) of each fingerprint: its least id, and the least fingerprint in reach."""
     classes = settled(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least")), "simhash")
     roots = components(links(classes.select("fp"), t))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select(
+    return classes.join(roots, classes["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def groups(prints: DataFrame, t: int = 4) -> DataFrame:
+    """(fingerprint, component_id) for rows (doc_id, fingerprint): the least id in reach, itself included."""
+    found = rooted(prints, t)
     # A table of its own, so that Spark can split the rows of a large component in the join.
-    least = settled(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash")
-    return rooted.join(least, "root").select(F.col("fp").alias("fingerprint"), "component_id")
+    least = settled(found.groupBy("root").agg(F.min("least").alias("component_id")), "simhash")
+    return found.join(least, "root").select(F.col("fp").alias("fingerprint"), "component_id")
 
 
 def near_duplicates(docs: DataFrame, t: int = 4, shingle: int = 4) -> DataFrame:
@@ -153,10 +158,11 @@ def keep_one(docs: DataFrame, t: int = 4, shingle: int = 4) -> DataFrame:
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "doc_id", "text")
     keyed = keyed.withColumn("_a", F.xxhash64("doc_id", "text")).withColumn("_b", F.hash("text", "doc_id"))
     prints = settled(with_fingerprints(keyed, shingle, ("doc_id", "_a", "_b")), "simhash")
-    grouped = prints.join(settled(groups(prints, t), "simhash"), "fingerprint")
-    # Null ids come last; of no id at all one component has one row as well.
+    roots = rooted(prints, t).select(F.col("fp").alias("fingerprint"), "root")
+    grouped = prints.join(settled(roots, "simhash"), "fingerprint")
+    # Null ids come last. Unrelated components may have the same least id.
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_a", "_b")
-    first = grouped.groupBy(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("_f")).agg(F.min(order).alias("_m"))
+    first = grouped.groupBy("root").agg(F.min(order).alias("_m"))
     kept = settled(first.select("_m._a", "_m._b").distinct(), "simhash")
     return keyed.select("_doc", "_a", "_b").join(kept, ["_a", "_b"]).dropDuplicates(["_a", "_b"]).select("_doc.*")
 

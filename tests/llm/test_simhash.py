@@ -133,3 +133,9 @@ def test_components_of_random_chains_and_stars(spark, seed):
     shuffled = [(b, a) if rng.random() < 0.5 else (a, b) for a, b in pairs]
     found = components(spark.createDataFrame(shuffled, "x bigint, y bigint")).collect()
     assert {r["node"]: r["root"] for r in found} == expected and len(found) == len(expected)
+
+
+def test_unrelated_components_with_one_least_id_keep_a_row_each(spark, docs):
+    a, b = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    kept = simhash.keep_one(docs([(1, a), (2, a), (1, b), (3, b)]))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, a), (1, b)]
