@@ -28,7 +28,3 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def sf():
     return "/root/testdata/sf0.001"
-
-
-def plan_text(df) -> str:
-    return df._jdf.queryExecution().toString()

@@ -3,8 +3,7 @@
 from datetime import date, datetime
 
 import pytest
-from compare import duck_rows, spark_rows
-from conftest import plan_text
+from compare import duck_rows, plan_text, spark_rows
 from pyspark.sql import functions as F
 
 from __spark_entry__ import AS_OF, NOW, TAG, _portable, oracle_sql

@@ -5,8 +5,7 @@ from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
-from compare import duck_rows, spark_rows
-from conftest import plan_text
+from compare import duck_rows, plan_text, spark_rows
 from pyspark.sql import functions as F
 
 import duckdb_sql
