@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gantry.llm import minhash, mixing, packing, pii, quality_rules
+from gantry.llm import mixing, packing, pii, quality_rules, simhash
 from gantry.llm.common import reachable, settled, table
 
 
@@ -20,9 +20,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share four fifths of their five-word shingles, and what hangs together by that, the least id stays."""
+    """Of documents whose SimHash fingerprints (four words, four bits) hang together the least id stays."""
     reachable(spark)
-    return minhash.keep_one(docs)
+    return simhash.keep_one(docs, t=4, shingle=4)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
