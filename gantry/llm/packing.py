@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gantry.llm.common import settled, slices
-from gantry.llm.tokens import crc32, encoder, vocabulary_path
+from gantry.llm.tokens import SLICE, crc32, encoder, vocabulary_path
 
 TOKENS = 2048
 GROUP = 16384
@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, tokens: int = TOKENS, vocabulary: str | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, SLICE):
             ids, sizes = encoder(path).encode([t.as_py() or "" for t in batch.column(1)])
             rows, at = [], 0
             for i, n in enumerate(sizes.tolist()):

@@ -231,7 +231,22 @@ def quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFr
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """The rows of `docs` that are kept. Cutoffs come from a narrow table; the texts are measured again in passing."""
-    cutoffs = certify(settled(with_measures(docs, stratum), "quality"), labels)
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(stratum), "text")
-    return judge(with_measures(whole, stratum, ("_doc",)), cutoffs).where("kept").select("_doc.*")
+    """The rows of `docs` that are kept.
+
+    Each text goes to Python once, inside its row, and is measured once: rows and measures are
+    written as one table, the cutoffs come from its narrow columns, and the rest is a filter.
+    """
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0, 2 << 20):
+            texts = batch.column(0).field(at)
+            rows = [measure(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts]
+            numbers = [pa.array(c, pa.int64()) for c in zip(*rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *numbers], ["_doc", "stratum", *MEASURES])
+
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(stratum).cast("string").alias("stratum"))
+    result = whole.select("*", *[F.lit(0).cast("bigint").alias(m) for m in MEASURES])
+    measured = settled(whole.mapInArrow(run, result.schema), "quality")
+    cutoffs = certify(measured.select(F.col("_doc.doc_id").alias("doc_id"), "stratum", *MEASURES), labels)
+    return judge(measured, cutoffs).where("kept").select("_doc.*")

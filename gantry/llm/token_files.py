@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gantry.llm.common import settled, shards, slices
-from gantry.llm.tokens import crc32, encoder, vocabulary_path
+from gantry.llm.tokens import SLICE, crc32, encoder, vocabulary_path
 from gantry.session import scratch_dir
 
 MAGIC = b"DACFILE1"
@@ -210,7 +210,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None) -> DataFr
         context = TaskContext.get()
         target = None
         writer = None
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, SLICE):
             if writer is None:
                 target, base = store(folder)
                 target.create_dir(base, recursive=True)

@@ -19,8 +19,10 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 0
 
 #: Distinct parts that a worker keeps, and the longest part that is kept.
-MOST_PARTS = 700_000
+MOST_PARTS = 300_000
 LONGEST_PART = 48
+#: Bytes of text that are encoded at a time: lists of parts take many times the room of their text.
+SLICE = 1 << 20
 
 _TIGHT = re.compile(r"\s \s")
 _CUTS = re.compile(r"(?<=\S)(?= )|(?<=\s)(?= \S)")
