@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gantry.llm import embedding_dedup, html_extract, mixing, packing, pii, quality_rules, simhash, substring_dedup, token_files, url_filter
+from gantry.llm import (
+    embedding_dedup, html_extract, mixing, packing, periodic_runs, pii, quality_classifier, quality_rules, simhash, source_audit,
+    substring_dedup, token_files, url_filter,
+)
 from gantry.llm.common import reachable, settled, table
 
 
@@ -65,6 +70,37 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.digest("base"), 256).alias("base_sha256"), pii.digest("spans").alias("spans"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+def looped(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The places that the query reads a text's words from: one text in ten goes on with a period, by its id."""
+    h = zlib.crc32(str(doc_id).encode())
+    g = h // 10
+    if doc_id is None or h % 10 or not n:
+        return None
+    places, a = np.arange(n), g % n
+    places[a:] = a + np.arange(n - a) % (1 + (n - a) // (3 + g % 8))
+    return places
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.detect(table(spark, sf_dir, "documents"), looped)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    # The longest, of those the first, of those the one of the least period.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("l"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    return found.withColumn("_b", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("_b.s")).alias("start"), F.col("_b.l").alias("length"), (-F.col("_b.p")).alias("period"),
+        F.expr("1000 * _b.l div -_b.p").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plans = {
         "op1_mixing": op1_mixing,
@@ -77,6 +113,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_token_files": op9_token_files,
         "op10_pii": op10_pii,
+        "op11_source_divergence": op11_source_divergence,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_quality_classifier": op13_quality_classifier,
     }
     return {name: (lambda s, d, plan=plan: plan(reachable(s), d)) for name, plan in plans.items()}
 
@@ -186,5 +225,50 @@ FROM split LEFT JOIN kept USING (n)
 """
 
 
+OP11_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS n, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+),
+words AS (
+  SELECT n, lang, source, translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM (SELECT n, lang, source, unnest(w) AS term FROM d)
+),
+kept AS (SELECT lang, term, count(*) AS lang_c FROM words GROUP BY lang, term HAVING count(DISTINCT n) >= 10),
+sizes AS (SELECT lang, count(*) AS v, sum(lang_c)::BIGINT AS lang_total FROM kept GROUP BY lang),
+parts AS (SELECT DISTINCT lang, source FROM d),
+counted AS (SELECT lang, source, term, count(*) AS c FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+filled AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, k.lang_c, s.v, s.lang_total,
+    sum(coalesce(c.c, 0)) OVER (PARTITION BY g.lang, g.source)::BIGINT AS total
+  FROM parts g JOIN kept k USING (lang) JOIN sizes s USING (lang)
+  LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+shares AS (
+  SELECT lang, source, term, c, (1 + (1000000000::HUGEINT * (c + 2)) // (total + 2 * v))::BIGINT AS p,
+    (1 + (1000000000::HUGEINT * (lang_c + 2)) // (lang_total + 2 * v))::BIGINT AS q
+  FROM filled
+),
+met AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(m.value, 0) AS value
+  FROM parts a JOIN parts b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN met m ON m.lang = a.lang AND m.source = a.source AND m.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, value,
+  row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op4_url_filter": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op8_substring_dedup": OP8_SQL}
+    return {
+        "op1_mixing": OP1_SQL, "op4_url_filter": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op8_substring_dedup": OP8_SQL,
+        "op11_source_divergence": OP11_SQL,
+    }

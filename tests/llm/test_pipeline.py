@@ -32,7 +32,7 @@ def test_query_matches_sql(spark, sf, name):
 
 def test_all_are_registered():
     assert {"pipeline", *llm_queries()} <= set(queries())
-    assert [n.split("_")[0] for n in llm_queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in llm_queries()] == [f"op{i}" for i in range(1, 14)]
 
 
 @pytest.fixture(scope="module")
