@@ -83,7 +83,8 @@ def held_out(folds: int = 4, fold: int = 2) -> Column:
 def training_sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, bits: int = BITS, seed: int = 0) -> DataFrame:
     """(draw, label, numbers, values) of about `most_rows` labelled rows that are not held out, written as a table.
 
-    The labels that are drawn are a narrow table of that bound, so the texts need no shuffle.
+    The labels that are drawn are a table of three numbers a row and of that many rows, which is
+    broadcast: its size is bounded by `most_rows`, and the texts need no shuffle.
     """
     good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out())
     good = settled(good.groupBy("doc_id").agg((F.min("quality") > 0).cast("double").alias("label")), "classifier")
@@ -98,7 +99,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_RO
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["draw", "label", "numbers", "values"])
 
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    rows = texts.join(drawn, "doc_id").select("draw", "label", "text")
+    rows = texts.join(F.broadcast(drawn), "doc_id").select("draw", "label", "text")
     return settled(rows.mapInArrow(run, "draw double, label double, numbers array<int>, values array<float>"), "classifier")
 
 
