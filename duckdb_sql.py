@@ -379,6 +379,17 @@ def all_sql() -> dict[str, str]:
         "fact_all_statuses": _query("facts dim_payment", f"""
             SELECT py.status, f.date_id, COUNT(*) AS tx_count, {_total('f.amount')} AS amount
             FROM facts f LEFT JOIN dim_payment py ON f.payment_id = py.payment_id GROUP BY py.status, f.date_id"""),
+        "fact_unique": _query("valid dim_payment", f"""
+            WITH sent AS (
+                SELECT * FROM valid
+                UNION ALL
+                SELECT * REPLACE (event_ts + INTERVAL 7 DAYS AS event_ts, ingested_at + INTERVAL 7 DAYS AS ingested_at)
+                FROM valid WHERE event_id % 37 = 5 AND day(event_ts) <= 22
+            )
+            SELECT transaction_id, {_DATE_ID.format('event_ts')} AS date_id, plaza_id, class_id,
+                CAST(payment_id AS SMALLINT) AS payment_id, CAST(amount AS DOUBLE) AS amount, event_ts AS entry_time
+            FROM (SELECT * FROM sent QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY event_ts, ingested_at) = 1) s
+            LEFT JOIN dim_payment p ON p.status = s.status AND p.method = 'FASTAG'"""),
         "late_repair": _query("valid", """
             WITH timed AS (
                 SELECT date_id, ingested_at, ingested_at > CAST(event_ts AS DATE) + INTERVAL 25 HOURS AS late FROM valid

@@ -85,35 +85,54 @@ def mart_from_events(spark: SparkSession, events: DataFrame) -> Mart:
     )
 
 
-def _pointer(root: str) -> str:
-    return f"{table_path(root, 'dim_vehicle')}/_current"
+POINTER = "_current-"
+
+
+def _published(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the snapshots that were made public and not yet superseded for long, in order."""
+    names = files.children(spark, table_path(root, "dim_vehicle"))
+    return sorted(int(n.removeprefix(POINTER)) for n in names if n.startswith(POINTER) and not n.endswith(".draft"))
 
 
 def current_vehicles(spark: SparkSession, root: str) -> DataFrame | None:
-    """The snapshot of the vehicle table that the pointer names; None before the first load."""
-    current = files.read_text(spark, _pointer(root))
-    if current is None:
-        return None
-    return read_table(spark, root, "dim_vehicle").where(F.col("snapshot") == int(current))
+    """The snapshot of the vehicle table that was published last; None before the first load.
+
+    A pointer is a file whose name has the snapshot's number, and a newer one is there before older
+    ones go. So there is none only before the first build, and vehicles are never started anew.
+    """
+    published = _published(spark, root)
+    if published:
+        return read_table(spark, root, "dim_vehicle").where(F.col("snapshot") == published[-1])
+    if files.exists(spark, table_path(root, "build_log")):
+        raise FileNotFoundError(f"{root} has builds but no published vehicles: create dim_vehicle/{POINTER}<snapshot>")
+    return None
 
 
 def publish_vehicles(spark: SparkSession, root: str, snapshot: int) -> None:
     """Point to a snapshot. The one before stays for readers that have it open; older ones go."""
-    before = files.read_text(spark, _pointer(root))
-    files.write_text(spark, _pointer(root), str(snapshot))
-    kept = {f"snapshot={snapshot}", f"snapshot={before}"}
     folder = table_path(root, "dim_vehicle")
+    before = _published(spark, root)
+    if snapshot not in before:
+        files.create_text(spark, f"{folder}/{POINTER}{snapshot}", "")
+    kept = {snapshot, *before[-1:]}
+    for number in before:
+        if number not in kept and number < snapshot:
+            files.remove(spark, f"{folder}/{POINTER}{number}")
     for name in files.children(spark, folder):
         # A later number is a load at work.
-        if name.startswith("snapshot=") and name not in kept and int(name.removeprefix("snapshot=")) < snapshot:
-            files.remove(spark, f"{folder}/{name}")
+        if name.startswith("snapshot=") and int(name.removeprefix("snapshot=")) not in kept:
+            if int(name.removeprefix("snapshot=")) < snapshot:
+                files.remove(spark, f"{folder}/{name}")
 
 
 def read_mart(spark: SparkSession, root: str) -> Mart:
     """The mart written by the nightly job."""
 
     def vehicles() -> DataFrame:
-        return current_vehicles(spark, root).drop("snapshot")
+        current = current_vehicles(spark, root)
+        if current is None:
+            raise FileNotFoundError(f"{root} has no published vehicles yet")
+        return current.drop("snapshot")
 
     tables = {name: (lambda name=name: read_table(spark, root, name)) for name in MART}
     return Mart(**{**tables, "dim_vehicle": vehicles})

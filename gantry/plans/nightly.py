@@ -2,7 +2,7 @@
 
     python -m gantry.plans.nightly --raw <raw zone> --mart <mart root> [--date YYYY-MM-DD | --repair | --compact]
 
-With `--jdbc-url` the loaded days are also appended to a warehouse.
+With `--jdbc-url` the loaded days also take the place of themselves in a warehouse.
 """
 
 from __future__ import annotations
@@ -17,14 +17,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gantry.functions.dates import day_key, key_day, parse_day, yesterday_utc
-from gantry.operators import dims, quality
-from gantry.operators.facts import clean_events, conform, revenue_facts
+from gantry.operators import dims, ledger, quality
+from gantry.operators.facts import conform, revenue_facts
 from gantry.plans.mart import current_vehicles, hourly_from_facts, publish_vehicles
 from gantry.schemas import HOUR_COLUMNS, MART
-from gantry.session import build_session, prepare
-from gantry.sources import files
+from gantry.session import build_session, prepare, scratch_dir
+from gantry.sources import files, warehouse
 from gantry.sources.readers import on_days, read_raw, require_days
-from gantry.sources.writers import read_table, table_path, write_days, write_jdbc, write_raw, write_table
+from gantry.sources.writers import read_table, table_path, jdbc_writer, write_days, write_raw, write_table
+
+
+#: How often days may bring in further days. Each turn takes days whose own rows have changed since they were loaded.
+MOST_TURNS = 10
 
 
 def folder_day() -> Column:
@@ -38,28 +42,32 @@ class Loaded:
     facts: int
     hourly: int
     checks: tuple
+    build: int
 
 
 def load_days(spark: SparkSession, raw: DataFrame, mart_root: str, days: Iterable[date]) -> Loaded:
     """Load days of the raw zone into the mart; loading a day again replaces it.
 
-    `raw` is the whole zone, read by path or from the catalog; the days are
+    A transaction is a fact on the first of its days only. Days beside the given ones that
+    lose one to them, or get one back, are loaded with them (`claim_days`). `raw` is the whole zone, read by path or from the catalog; the days are
     partition filters on it. Dimensions come before facts, so no fact is ever
     without its date. The fact partitions are read back for the aggregate and the
     checks: a written table cuts the lineage, and nothing is worked out twice.
     Raises DataQualityError, with the data in place, when a check fails; the days
-    then count as not built, and readers keep the vehicles they had.
+    then count as not built, and readers keep the vehicles they had. The ledger is written
+    last but for the log of builds, so a job that stops before finds the same days to load.
     """
     prepare(spark)
-    days = tuple(sorted(set(days)))
     started, build = datetime.now(timezone.utc), time.time_ns()
-    require_days(raw, days)
+    work = scratch_dir(spark, "claims")
+    days, claims, elsewhere = claim_days(spark, raw, mart_root, days, work)
 
     events = raw.where(on_days(days))
     vehicles = load_dimensions(spark, mart_root, days, events, build)
 
     payment = read_table(spark, mart_root, "dim_payment")
-    facts = write_days(conform(clean_events(events), payment), spark, mart_root, "fact_transaction", days)
+    once = ledger.on_first_day(events, elsewhere)
+    facts = write_days(conform(once, payment), spark, mart_root, "fact_transaction", days)
 
     loaded = read_table(spark, mart_root, "fact_transaction").where(
         F.col("date_id").isin([day_key(d) for d in days])
@@ -70,8 +78,45 @@ def load_days(spark: SparkSession, raw: DataFrame, mart_root: str, days: Iterabl
     plaza = read_table(spark, mart_root, "dim_plaza")
     checks = quality.gate(loaded, plaza, days, vehicles)
     publish_vehicles(spark, mart_root, build)
+    write_days(claims, spark, mart_root, "tx_ledger", days)
     log_build(spark, events, mart_root, facts, started, build)
-    return Loaded(days, sum(facts.values()), sum(hours.values()), tuple(checks))
+    files.remove(spark, work)
+    return Loaded(days, sum(facts.values()), sum(hours.values()), tuple(checks), build)
+
+
+def claim_days(spark: SparkSession, raw: DataFrame, root: str, days: Iterable[date], work: str) -> tuple:
+    """(days, their claims, first claims of other days): the given days and those that have to be loaded with them.
+
+    Both frames are tables in the folder `work`. Of the ledger's other days only the parts are
+    read that the days' transactions fall into. It ends, since days only join.
+    """
+    days = tuple(sorted(set(days)))
+    known = existing(spark, root, "tx_ledger")
+    for turn in range(1 + MOST_TURNS):
+        require_days(raw, days)
+        keys = [day_key(d) for d in days]
+        now = _written(ledger.claims(raw.where(on_days(days))), f"{work}/{turn}/now")
+        before = known.where(F.col("date_id").isin(keys))
+        touched = now.select("bucket", "transaction_id").unionByName(before.select("bucket", "transaction_id"))
+        parts = [row["bucket"] for row in touched.select("bucket").distinct().collect()]  # at most LEDGER_BUCKETS
+        others = known.where(~F.col("date_id").isin(keys) & F.col("bucket").isin(parts))
+        elsewhere = _written(ledger.first_elsewhere(others, touched), f"{work}/{turn}/elsewhere")
+        moved = {key_day(row["date_id"]) for row in ledger.moved_days(before, now, elsewhere).collect()}
+        if moved <= set(days):
+            return days, now, elsewhere
+        days = tuple(sorted({*days, *moved}))
+    raise RuntimeError(f"days that depend on each other were still found after {MOST_TURNS} turns")
+
+
+def _written(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def ledger_from_facts(spark: SparkSession, root: str) -> int:
+    """Write the ledger of a mart that was loaded before it had one; the number of claims."""
+    facts = read_table(spark, root, "fact_transaction")
+    return write_table(facts.select("transaction_id", ledger.bucket().alias("bucket"), "date_id").distinct(), root, "tx_ledger")
 
 
 def log_build(spark: SparkSession, events: DataFrame, root: str, facts: dict[date, int], started: datetime, build: int) -> None:
@@ -171,11 +216,13 @@ def compact_raw(spark: SparkSession, raw_root: str, mart_root: str, day: date) -
     return removed
 
 
-def send_to_warehouse(spark: SparkSession, mart_root: str, days: Sequence[date], url: str, options: dict[str, str]) -> None:
-    """Append the facts and hourly totals of the days to the warehouse's tables of the same names."""
-    for table in ("fact_transaction", "agg_hourly_revenue"):
-        rows = read_table(spark, mart_root, table).where(F.col("date_id").isin([day_key(d) for d in days]))
-        write_jdbc(rows, url, table, options)
+def send_to_warehouse(spark: SparkSession, mart_root: str, days: Sequence[date], build: int, url: str, options: dict[str, str]) -> None:
+    """Put the facts and hourly totals of the days in place of themselves in the warehouse's tables of the same names."""
+
+    def write_stage(rows: DataFrame, name: str) -> None:
+        jdbc_writer(rows, url, name, options, mode="overwrite").save()
+
+    warehouse.send_days(spark, mart_root, days, build, write_stage, warehouse.jdbc_transaction(spark, url, options))
 
 
 def main(argv: Sequence[str] | None = None) -> None:
@@ -185,7 +232,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     arguments.add_argument("--date", type=parse_day, default=None, help="YYYY-MM-DD; yesterday (UTC) if not given")
     arguments.add_argument("--repair", action="store_true", help="load the days that late rows changed instead")
     arguments.add_argument("--compact", action="store_true", help="merge the raw folders of the day instead")
-    arguments.add_argument("--jdbc-url", default=None, help="warehouse to append the loaded days to")
+    arguments.add_argument("--jdbc-url", default=None, help="warehouse that gets the loaded days")
     arguments.add_argument("--jdbc-option", action="append", default=[], metavar="KEY=VALUE")
     given = arguments.parse_args(argv)
     spark = build_session("gantry-nightly")
@@ -197,7 +244,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     loaded = repair_late(spark, raw, given.mart) if given.repair else load_days(spark, raw, given.mart, [day])
     if loaded and given.jdbc_url:
         options = dict(option.split("=", 1) for option in given.jdbc_option)
-        send_to_warehouse(spark, given.mart, loaded.days, given.jdbc_url, options)
+        send_to_warehouse(spark, given.mart, loaded.days, loaded.build, given.jdbc_url, options)
 
 
 if __name__ == "__main__":

@@ -50,6 +50,9 @@ class TableSpec:
     bloom: tuple[str, ...] = ()
 
 
+# Parts of the ledger that ids are dealt to: within a day's files they lie one after the other.
+LEDGER_BUCKETS = 64
+
 # The mart's tables.
 MART: dict[str, TableSpec] = {
     "dim_date": TableSpec(
@@ -89,6 +92,11 @@ MART: dict[str, TableSpec] = {
         "date_id INT",
         key=("plaza_id", "date_id", "hour"), partition_by=("date_id",), sort_by=("hour", "plaza_id"),
     ),
+    # One row for each transaction and event day that sent it; the first day has the fact.
+    "tx_ledger": TableSpec(
+        "transaction_id STRING, bucket INT, date_id INT",
+        key=("transaction_id", "date_id"), partition_by=("date_id",), sort_by=("bucket", "transaction_id"), bloom=("transaction_id",),
+    ),
     # One row for each day, load and build: the loads of the day that the build has read.
     # A day without rows to keep has them too. The newest build of a day counts.
     "build_log": TableSpec(

@@ -38,13 +38,12 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Replaces the file; a reader sees the old text, none for a moment, or the new one."""
+def create_text(spark: SparkSession, path: str, text: str) -> None:
+    """A new file, there whole or not at all; files are never replaced, so none is ever missing for a moment."""
     system, place = _at(spark, path)
     _, draft = _at(spark, f"{path}.draft")
     stream = system.create(draft, True)
     stream.write(bytearray(text.encode()))
     stream.close()
-    system.delete(place, False)
     if not system.rename(draft, place):
-        raise OSError(f"{path} could not be replaced")
+        raise OSError(f"{path} could not be created")

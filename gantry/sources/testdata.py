@@ -103,6 +103,15 @@ def raw_events(spark: SparkSession, sf_dir: str, since: date | None = None, befo
     return shape_events(events)
 
 
+def sent_again(events: DataFrame, days: int = 7) -> DataFrame:
+    """Charge events, every 37th of which comes once more some days later, as its own sender's clock has it.
+
+    Only those of the first three weeks, so that no day has nothing but copies, which the gate would stop.
+    """
+    later = {c: F.col(c) + F.make_dt_interval(days=F.lit(days)) for c in ("event_ts", "exit_time", "ingested_at")}
+    return events.unionByName(events.where("event_id % 37 = 5 AND day(event_ts) <= 22").withColumns(later))
+
+
 def event_stream(spark: SparkSession, sf_dir: str, **limits: str) -> DataFrame:
     """The same charge events as a stream; `limits` bound one trigger, to a file if not given.
 

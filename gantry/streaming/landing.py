@@ -23,6 +23,11 @@ from gantry.sources import files
 from gantry.sources.writers import write_raw
 
 SUMMARY_KEYS = ("plaza_id", "highway", *HOUR_COLUMNS)
+#: The published totals; names of streams are texts also where they look like numbers.
+SUMMARY_DDL = (
+    "plaza_id STRING, highway STRING, tag_id STRING, tx_count BIGINT, total_revenue DECIMAL(20,2), flagged_count BIGINT, "
+    "year INT, month INT, day INT, hour INT, stream STRING, batch BIGINT"
+)
 TRIGGER = "10 seconds"
 #: How late rows may be for the summary; later ones are left to the repair of the mart.
 DELAY = "2 days"
@@ -49,7 +54,7 @@ def _stream_name(spark: SparkSession, checkpoint: str) -> str:
     name = files.read_text(spark, path)
     if name is None:
         name = uuid.uuid4().hex[:12]
-        files.write_text(spark, path, name)
+        files.create_text(spark, path, name)
     return name
 
 
@@ -152,15 +157,17 @@ def publish_summary(events: DataFrame, path: str, checkpoint: str, interval: str
                     also: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Keep the summary as a table that `read_summary` reads.
 
-    A trigger writes only the totals that changed, in its own `batch` folder; a
-    trigger that is run again replaces that folder. `also` may send the changed
-    totals elsewhere, to a warehouse for instance.
+    A trigger writes only the totals that changed, in a folder of its stream and
+    `batch`; a trigger that is run again replaces that folder, and a stream with
+    another checkpoint, which counts its triggers from 0 again, has other folders.
+    `also` may send the changed totals elsewhere, to a warehouse for instance.
     """
+    name = _stream_name(events.sparkSession, checkpoint)
 
     def write(totals: DataFrame, batch: int) -> None:
-        changed = totals.withColumn("batch", F.lit(batch).cast("bigint"))
+        changed = totals.withColumns({"stream": F.lit(name), "batch": F.lit(batch).cast("bigint")})
         writer = changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("batch").parquet(path)
+        writer.partitionBy("stream", "batch").parquet(path)
         if also is not None:
             also(totals, batch)
 
@@ -169,7 +176,11 @@ def publish_summary(events: DataFrame, path: str, checkpoint: str, interval: str
 
 
 def _newest_totals(changes: DataFrame) -> DataFrame:
-    """Totals only grow, so the newest state of a row is its largest count."""
+    """Totals only grow, so the newest state of a row is its largest count.
+
+    That holds between streams as well: a new checkpoint reads the source from its start, so an hour
+    that the source still has is counted whole again, and of one that it has lost the old total stays.
+    """
     return changes.groupBy(*SUMMARY_KEYS, "tag_id").agg(
         F.max("tx_count").alias("tx_count"),
         F.max_by("total_revenue", "tx_count").alias("total_revenue"),
@@ -179,28 +190,34 @@ def _newest_totals(changes: DataFrame) -> DataFrame:
 
 def read_summary(spark: SparkSession, path: str, wanted: Column | None = None) -> DataFrame:
     """The published summary; `wanted` may select days or plazas."""
-    changes = spark.read.parquet(path)
+    changes = spark.read.schema(SUMMARY_DDL).parquet(path)
     return roll_up(_newest_totals(changes if wanted is None else changes.where(wanted)))
 
 
 def merge_summary(spark: SparkSession, path: str, keep: int = 1) -> int:
-    """Merge the published folders but the last `keep` triggers' into one; the number that went.
+    """Merge each stream's folders but those of its last `keep` triggers into one; the number that went.
 
     What is merged up to trigger n lies in the folder of batch -(n + 1). It is written before
     the others go, and a reader that sees both sees the same totals.
     """
-    numbers = [int(n.removeprefix("batch=")) for n in files.children(spark, path) if n.startswith("batch=")]
+    return sum(_merge_stream(spark, path, name, keep) for name in files.children(spark, path) if name.startswith("stream="))
+
+
+def _merge_stream(spark: SparkSession, path: str, folder: str, keep: int) -> int:
+    numbers = [int(n.removeprefix("batch=")) for n in files.children(spark, f"{path}/{folder}") if n.startswith("batch=")]
     closed = sorted(n for n in numbers if n >= 0)[:-keep or None]
     if not closed:
         return 0
     old = [n for n in numbers if n < 0] + closed
-    merged = _newest_totals(spark.read.parquet(path).where(F.col("batch").isin(old)))
+    own = (F.col("stream") == folder.removeprefix("stream=")) & F.col("batch").isin(old)
+    merged = _newest_totals(spark.read.schema(SUMMARY_DDL).parquet(path).where(own))
     target = -(closed[-1] + 1)
-    merged = merged.hint("rebalance", *HOUR_COLUMNS).withColumn("batch", F.lit(target).cast("bigint"))
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+    merged = merged.hint("rebalance", *HOUR_COLUMNS).withColumns(
+        {"stream": F.lit(folder.removeprefix("stream=")), "batch": F.lit(target).cast("bigint")})
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stream", "batch").parquet(path)
     for n in old:
         if n != target:
-            files.remove(spark, f"{path}/batch={n}")
+            files.remove(spark, f"{path}/{folder}/batch={n}")
     return len(old)
 
 

@@ -1,5 +1,6 @@
 """Loading days into a mart on disk, reading it, loading again."""
 
+import shutil
 from datetime import date, datetime
 
 import pytest
@@ -204,6 +205,48 @@ def test_vehicle_snapshots_do_not_pile_up(spark, zone):
     assert len([n for n in files.children(spark, f"{root}/dim_vehicle") if n.startswith("snapshot=")]) == 2
 
 
+def test_a_stop_while_publishing_leaves_a_pointer(spark, zone, monkeypatch):
+    raw, root, _, _ = zone
+    vehicles = read_mart(spark, root).dim_vehicle.count()
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    for step in ("create_text", "remove"):  # before the new pointer is there, and before older ones go
+        with monkeypatch.context() as patched:
+            patched.setattr(files, step, stop)
+            with pytest.raises(KeyboardInterrupt):
+                load_days(spark, raw, root, [DAYS[0]])
+        assert read_mart(spark, root).dim_vehicle.count() == vehicles
+    load_days(spark, raw, root, [DAYS[0]])
+    names = files.children(spark, f"{root}/dim_vehicle")
+    assert read_mart(spark, root).dim_vehicle.count() == vehicles
+    assert len([n for n in names if n.startswith("_current-")]) == 2
+
+
+def test_lost_pointers_are_an_error_and_no_new_start(spark, zone, tmp_path):
+    shutil.copytree(zone[1].removeprefix("file:"), f"{tmp_path}/mart")
+    for name in files.children(spark, f"{tmp_path}/mart/dim_vehicle"):
+        if name.startswith("_current-"):
+            files.remove(spark, f"{tmp_path}/mart/dim_vehicle/{name}")
+    with pytest.raises(FileNotFoundError, match="no published vehicles"):
+        load_days(spark, zone[0], f"{tmp_path}/mart", [DAYS[0]])
+    with pytest.raises(FileNotFoundError, match="no published vehicles yet"):
+        read_mart(spark, f"{tmp_path}/none").dim_vehicle
+
+
+@pytest.mark.parametrize("kpi,first", [
+    (lambda m: kpis.low_balance(m, NOW), 20240130), (lambda m: kpis.highway_sla(m, AS_OF), 20240123)])
+def test_bounds_on_time_reach_the_folders(spark, zone, kpi, first):
+    scans = [line for line in plan_text(kpi(read_mart(spark, zone[1]))).splitlines() if "FileScan" in line and "entry_time" in line]
+    assert scans and all(f"(date_id" in s and f">= {first})" in s.split("PartitionFilters: [")[1].split("]")[0] for s in scans)
+
+
+def test_the_trend_reads_its_facts_once(spark, zone):
+    plan = plan_text(kpis.monthly_trend(read_mart(spark, zone[1]).facts)).split("== Physical Plan ==")[1]
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
 def test_two_tags_with_one_key_stop_the_gate(spark):
     twice = spark.createDataFrame([(1, "A"), (1, "B"), (2, "C")], "vehicle_id BIGINT, tag_id STRING")
     facts = spark.createDataFrame([("T", "PL001", 1.0, 20240101)], "transaction_id STRING, plaza_id STRING, amount DOUBLE, date_id INT")
