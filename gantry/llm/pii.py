@@ -141,12 +141,14 @@ def added_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
             proposed.append((area.start(), m.end(), "tel", shape + 0.3 * _nearby(text, area.start(), m.end(), TEL_WORDS)))
     if not proposed:
         return []
-    taken = sorted((a, b) for a, b, _ in base)
+    taken = bytearray(len(text))  # a mark for each character, so that a test costs the span's length only
+    for a, b, _ in base:
+        taken[a:b] = b"\1" * (b - a)
     kept: list[tuple[int, int, str]] = []
     for a, b, kind, score in sorted(proposed, key=lambda p: (-p[3], p[0], KINDS.index(p[2]))):
-        if score >= THRESHOLD and not any(x < b and a < y for x, y in taken):
+        if score >= THRESHOLD and taken.find(1, a, b) < 0:
             kept.append((a, b, kind))
-            taken.append((a, b))
+            taken[a:b] = b"\1" * (b - a)
     return kept
 
 

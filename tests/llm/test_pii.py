@@ -95,3 +95,11 @@ def test_time_of_searching_again_follows_length(text):
     start = time.process_time()
     pii.find(text)
     assert time.process_time() - start < 5
+
+
+def test_many_confirmed_spans_in_one_text():
+    text = "\n".join(f"tel (0{30 + i % 60}) 555-{i % 10000:04d}" for i in range(100_000))
+    began = time.perf_counter()
+    base, found = pii.find(text)
+    assert time.perf_counter() - began < 20  # 1.2 s for 8,000 when each was compared with all others
+    assert len(found) > 90_000 and all(a[1] <= b[0] for a, b in zip(found, found[1:]))
