@@ -80,6 +80,11 @@ def _sla(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.withColumns({c: F.round(c, 6) for c in ("avg_processing_sec", "p95_processing_sec")})
 
 
+def _sla_from_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = kpis.highway_sla_stored(_stored_mart(spark, sf_dir), AS_OF)
+    return report.withColumns({c: F.round(c, 6) for c in ("avg_processing_sec", "p95_processing_sec")})
+
+
 def _all_plazas(spark: SparkSession, events: DataFrame) -> DataFrame:
     """The seeds and, inactive, the plazas that only the events know."""
     found = events.groupBy("plaza_id").agg(F.max("highway").alias("highway")).select(
@@ -284,6 +289,8 @@ def plans() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kpi_monthly_trend_lineitem": lambda s, d: _trend(testdata.lineitem_facts(prepare(s), d)),
         "kpi_low_balance_24h": _low_balance,
         "kpi_highway_sla": _sla,
+        "sla_from_histogram": _sla_from_histogram,
+        "distinct_vehicles": lambda s, d: kpis.distinct_vehicles(_stored_mart(s, d)),
         "api_active_plazas": _active_plazas,
         "api_day_summary": lambda s, d: lookups.day_summary(
             mart_from_events(s, _raw(s, d, AS_OF, AS_OF + timedelta(days=1))), AS_OF),

@@ -237,6 +237,7 @@ ORDER = {
     "kpi_monthly_trend_lineitem": "year, month",
     "kpi_low_balance_24h": "last_seen DESC, tag_id",
     "kpi_highway_sla": "avg_processing_sec DESC, highway NULLS FIRST",
+    "sla_from_histogram": "avg_processing_sec DESC, highway NULLS FIRST",
     "api_active_plazas": "plaza_id",
     "api_vehicle_history": "entry_time DESC, transaction_id",
 }
@@ -287,12 +288,20 @@ def all_sql() -> dict[str, str]:
                 CAST(min(amount) AS DOUBLE) AS last_toll_amount
             FROM trips WHERE paid = 'LOW_BALANCE' AND vehicle_no IS NOT NULL AND entry_time >= {NOW} - INTERVAL 24 HOURS
             GROUP BY ALL"""),
-        "kpi_highway_sla": _query("trips", f"""
+        **{name: _query("trips", f"""
             SELECT road AS highway, count(*) AS tx_count, ROUND(avg(took), 6) AS avg_processing_sec,
                 ROUND(CAST(quantile_cont(took, 0.95) AS DOUBLE), 6) AS p95_processing_sec
             FROM (SELECT *, date_diff('second', entry_time, exit_time) AS took FROM trips
                   WHERE earned AND spot IS NOT NULL AND entry_time >= {AS_OF} - 7)
-            WHERE took IS NOT NULL GROUP BY road"""),
+            WHERE took IS NOT NULL GROUP BY road""") for name in ("kpi_highway_sla", "sla_from_histogram")},
+        "distinct_vehicles": _query("trips", """
+            WITH earning AS (SELECT * FROM trips WHERE earned AND spot IS NOT NULL)
+            SELECT 'day' AS level, CAST(on_day AS VARCHAR) AS item, count(DISTINCT vehicle) AS vehicles FROM earning GROUP BY on_day
+            UNION ALL
+            SELECT 'week', CAST(CAST(date_trunc('week', on_day) AS DATE) AS VARCHAR), count(DISTINCT vehicle) FROM earning
+            GROUP BY date_trunc('week', on_day)
+            UNION ALL
+            SELECT 'highway', road, count(DISTINCT vehicle) FROM earning GROUP BY road"""),
         "api_active_plazas": _query("all_plazas", """
             SELECT plaza_id, name, highway, state, CAST(NULL AS DOUBLE) AS latitude, CAST(NULL AS DOUBLE) AS longitude,
                 operator, active

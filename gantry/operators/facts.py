@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gantry.functions.charges import FLAGGED, LOW_BALANCE, vehicle_key
-from gantry.functions.dates import date_id
+from gantry.functions.dates import date_id, seconds_between
 from gantry.functions.measures import count_where, mean_money, total
 from gantry.schemas import LOW_BALANCE_PAYMENT, TAG_METHOD
 
@@ -88,6 +88,13 @@ def revenue_facts(facts: DataFrame) -> DataFrame:
     return facts.where(f"NOT (payment_id <=> {LOW_BALANCE_PAYMENT})")
 
 
+def processing_times(facts: DataFrame) -> DataFrame:
+    """Histogram of the seconds between entry and exit by plaza and day, for percentiles over any days and plazas."""
+    seconds = seconds_between("entry_time", "exit_time").alias("seconds")
+    timed = facts.where("exit_time IS NOT NULL").select("plaza_id", "date_id", seconds)
+    return timed.groupBy("plaza_id", "date_id", "seconds").agg(F.count("*").alias("n"))
+
+
 def hourly_revenue(
     rows: DataFrame,
     ts: str = "event_ts",

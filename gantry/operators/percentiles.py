@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 def mean_and_percentile(rows: DataFrame, keys: Sequence[str], value: str, q: float) -> DataFrame:
     """Per group: row count `n`, `mean` and the continuous percentile `pct`.
 
-    Rows are first counted per (group, value), combined before the shuffle. The
-    ranks are then found by a running count over distinct values, a window that
+    Rows are first counted per (group, value), combined before the shuffle.
+    """
+    return of_histogram(rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n")), keys, value, q)
+
+
+def of_histogram(histogram: DataFrame, keys: Sequence[str], value: str, q: float) -> DataFrame:
+    """The same from one row per (group, value) with the number `n` of rows that have it.
+
+    The ranks are found by a running count over distinct values, a window that
     sorts and spills, so no group's rows are ever held in one buffer.
     """
-    histogram = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
     group = Window.partitionBy(*keys)
     upto = F.sum("n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = histogram.withColumns({"_upto": upto, "_all": F.sum("n").over(group)})

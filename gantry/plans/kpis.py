@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from gantry.functions.charges import FLAGGED, LOW_BALANCE
 from gantry.functions.dates import day_key, days_before, seconds_between
 from gantry.functions.measures import mean_money, percent, total, total_or_zero
-from gantry.operators.percentiles import mean_and_percentile
+from gantry.operators.bitmaps import count_vehicles
+from gantry.operators.percentiles import mean_and_percentile, of_histogram
 from gantry.plans.mart import Mart
 
 
@@ -168,9 +169,20 @@ def highway_sla(mart: Mart, as_of: date, days: int = 7, q: float = 0.95) -> Data
         .join(plaza, "plaza_id")
         .select("highway", seconds_between("entry_time", "exit_time").alias("seconds"))
     )
+    return _sla(mean_and_percentile(timed, ["highway"], "seconds", q))
+
+
+def highway_sla_stored(mart: Mart, as_of: date, days: int = 7, q: float = 0.95) -> DataFrame:
+    """The same report from the stored histograms of each day: facts are not read."""
+    plaza = mart.dim_plaza.select("plaza_id", "highway")
+    recent = mart.table("agg_processing").where(F.col("date_id") >= day_key(as_of - timedelta(days=days)))
+    added = recent.join(plaza, "plaza_id").groupBy("highway", "seconds").agg(F.sum("n").alias("n"))
+    return _sla(of_histogram(added, ["highway"], "seconds", q))
+
+
+def _sla(measured: DataFrame) -> DataFrame:
     return (
-        mean_and_percentile(timed, ["highway"], "seconds", q)
-        .select(
+        measured.select(
             "highway",
             F.col("n").alias("tx_count"),
             F.col("mean").alias("avg_processing_sec"),
@@ -178,3 +190,12 @@ def highway_sla(mart: Mart, as_of: date, days: int = 7, q: float = 0.95) -> Data
         )
         .orderBy(F.desc("avg_processing_sec"), "highway")
     )
+
+
+def distinct_vehicles(mart: Mart) -> DataFrame:
+    """(level, item, vehicles): exact distinct vehicles of each day, week and highway, from the stored bitmaps."""
+    bits = mart.table("agg_vehicle_bits").join(mart.dim_plaza.select("plaza_id", "highway"), "plaza_id")
+    day = F.make_date(F.floor(F.col("date_id") / 10000), F.floor(F.col("date_id") / 100) % 100, F.col("date_id") % 100)
+    levels = {"day": day.cast("string"), "week": F.date_trunc("week", day).cast("date").cast("string"), "highway": F.col("highway")}
+    parts = F.array(*[F.struct(F.lit(name).alias("level"), item.alias("item")) for name, item in levels.items()])
+    return count_vehicles(bits.select(F.explode(parts).alias("_l"), "bucket", "bits").select("_l.*", "bucket", "bits"), ["level", "item"])

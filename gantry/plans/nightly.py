@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gantry.functions.dates import day_key, key_day, parse_day, yesterday_utc
-from gantry.operators import dims, ledger, quality
-from gantry.operators.facts import conform, revenue_facts
+from gantry.operators import bitmaps, dims, ledger, quality
+from gantry.operators.facts import conform, processing_times, revenue_facts
 from gantry.plans.mart import current_vehicles, hourly_from_facts, publish_vehicles
 from gantry.schemas import HOUR_COLUMNS, MART
 from gantry.session import build_session, prepare, scratch_dir
@@ -63,7 +63,7 @@ def load_days(spark: SparkSession, raw: DataFrame, mart_root: str, days: Iterabl
     days, claims, elsewhere = claim_days(spark, raw, mart_root, days, work)
 
     events = raw.where(on_days(days))
-    vehicles = load_dimensions(spark, mart_root, days, events, build)
+    vehicles = load_dimensions(spark, mart_root, days, events, build, work)
 
     payment = read_table(spark, mart_root, "dim_payment")
     once = ledger.on_first_day(events, elsewhere)
@@ -75,6 +75,9 @@ def load_days(spark: SparkSession, raw: DataFrame, mart_root: str, days: Iterabl
     hourly = hourly_from_facts(revenue_facts(loaded)).withColumn("loaded_at", F.lit(started).cast("timestamp"))
     hours = write_days(hourly, spark, mart_root, "agg_hourly_revenue", days)
 
+    write_days(processing_times(revenue_facts(loaded)), spark, mart_root, "agg_processing", days)
+    write_days(bitmaps.vehicle_bits(revenue_facts(loaded), vehicles), spark, mart_root, "agg_vehicle_bits", days)
+
     plaza = read_table(spark, mart_root, "dim_plaza")
     checks = quality.gate(loaded, plaza, days, vehicles)
     publish_vehicles(spark, mart_root, build)
@@ -145,7 +148,7 @@ def existing(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.createDataFrame([], MART[table].columns)
 
 
-def load_dimensions(spark: SparkSession, root: str, days: Sequence[date], events: DataFrame, build: int) -> DataFrame:
+def load_dimensions(spark: SparkSession, root: str, days: Sequence[date], events: DataFrame, build: int, work: str) -> DataFrame:
     """Adds what the days need to the dimensions; the new vehicles, which no reader sees until they are published."""
     seeds = {
         "dim_payment": dims.payment_seed(spark),
@@ -159,9 +162,13 @@ def load_dimensions(spark: SparkSession, root: str, days: Sequence[date], events
             write_table(new, root, table, mode="append")
 
     known = current_vehicles(spark, root)
-    seen = dims.vehicles(events)
-    merged = seen if known is None else dims.merge_vehicles(known, seen)
-    write_table(merged.withColumn("snapshot", F.lit(build)), root, "dim_vehicle")
+    if known is None:
+        merged, last = dims.vehicles(events).withColumn("number", F.lit(None).cast("bigint")), 0
+    else:
+        merged = dims.merge_vehicles(known, dims.vehicles(events)).join(known.select("vehicle_id", "number"), "vehicle_id", "left")
+        last = known.agg(F.max("number")).first()[0] or 0
+    numbered = bitmaps.number_vehicles(_written(merged, f"{work}/vehicles"), last)
+    write_table(numbered.withColumn("snapshot", F.lit(build)), root, "dim_vehicle")
     return read_table(spark, root, "dim_vehicle").where(F.col("snapshot") == build)
 
 

@@ -63,7 +63,7 @@ MART: dict[str, TableSpec] = {
     "dim_vehicle": TableSpec(
         "vehicle_id BIGINT, tag_id STRING, vehicle_no STRING, owner_name STRING, "
         "registered_state STRING, active SMALLINT, created_at TIMESTAMP, "
-        "plate_seen_at TIMESTAMP, snapshot BIGINT",
+        "plate_seen_at TIMESTAMP, number BIGINT, snapshot BIGINT",
         key=("vehicle_id",), partition_by=("snapshot",), sort_by=("tag_id",), bloom=("tag_id", "vehicle_id"),
     ),
     "dim_plaza": TableSpec(
@@ -92,6 +92,16 @@ MART: dict[str, TableSpec] = {
         "date_id INT",
         key=("plaza_id", "date_id", "hour"), partition_by=("date_id",), sort_by=("hour", "plaza_id"),
     ),
+    # How many of a plaza's trips of a day took how many seconds.
+    "agg_processing": TableSpec(
+        "plaza_id STRING, seconds BIGINT, n BIGINT, date_id INT",
+        key=("plaza_id", "date_id", "seconds"), partition_by=("date_id",), sort_by=("plaza_id", "seconds"),
+    ),
+    # The vehicles of a plaza's hour as bits of 32,768 vehicle numbers each.
+    "agg_vehicle_bits": TableSpec(
+        "plaza_id STRING, hour SMALLINT, bucket BIGINT, bits BINARY, date_id INT",
+        key=("plaza_id", "date_id", "hour", "bucket"), partition_by=("date_id",), sort_by=("plaza_id", "hour"),
+    ),
     # One row for each transaction and event day that sent it; the first day has the fact.
     "tx_ledger": TableSpec(
         "transaction_id STRING, bucket INT, date_id INT",

@@ -1,0 +1,89 @@
+"""Totals that are kept by day and added up later: bitmaps of vehicles, histograms of seconds."""
+
+import random
+from collections import defaultdict
+
+import pytest
+from compare import plan_text
+from pyspark.sql import functions as F
+from test_ledger import DAYS, events
+
+from __spark_entry__ import AS_OF
+from gantry.operators import bitmaps, facts
+from gantry.operators.percentiles import mean_and_percentile, of_histogram
+from gantry.plans import kpis
+from gantry.plans.mart import read_mart
+from gantry.plans.nightly import load_days
+from gantry.session import scratch_dir
+from gantry.sources.writers import raw_rows
+
+
+def numbers(frame):
+    return {r["tag_id"]: r["number"] for r in frame.collect()}
+
+
+def test_numbers_have_no_gaps_and_stay(spark):
+    first = spark.range(1000).selectExpr("'T' || id AS tag_id", "id AS vehicle_id", "CAST(NULL AS BIGINT) AS number")
+    once = numbers(bitmaps.number_vehicles(first, 0))
+    assert sorted(once.values()) == list(range(1, 1001))
+    assert once == numbers(bitmaps.number_vehicles(first.repartition(7), 0))  # whatever the rows' order
+    known = spark.createDataFrame([(t, n) for t, n in once.items()], "tag_id STRING, number BIGINT")
+    more = known.unionByName(spark.range(1000, 1300).selectExpr("'T' || id AS tag_id", "CAST(NULL AS BIGINT) AS number"))
+    twice = numbers(bitmaps.number_vehicles(more, 1000))
+    assert {t: twice[t] for t in once} == once and sorted(twice.values()) == list(range(1, 1301))
+    assert numbers(bitmaps.number_vehicles(known, 1000)) == once
+    assert numbers(bitmaps.number_vehicles(known.limit(0), 0)) == {}
+
+
+def test_bitmaps_add_up_over_their_buckets(spark):
+    rng = random.Random(1)
+    vehicles = spark.range(70_000).selectExpr("id AS vehicle_id", "id + 1 AS number")  # three bitmaps
+    rows = [(f"P{rng.randrange(3)}", 20240101 + rng.randrange(2), rng.randrange(24), rng.choice([rng.randrange(70_000), 32_767, 32_768, 0])) for _ in range(3000)]
+    trips = spark.createDataFrame(rows, "plaza_id STRING, date_id INT, h INT, vehicle_id BIGINT")
+    trips = trips.withColumn("entry_time", F.make_timestamp(F.lit(2024), F.lit(1), F.lit(1), "h", F.lit(5), F.lit(0)))
+    bits = bitmaps.vehicle_bits(trips, vehicles).cache()
+    assert bits.select("bucket").distinct().count() == 3
+    for keys in (["plaza_id", "date_id", "hour"], ["date_id"], ["plaza_id"], ["hour"]):
+        want = defaultdict(set)
+        for p, d, h, v in rows:
+            want[tuple({"plaza_id": p, "date_id": d, "hour": h}[k] for k in keys)].add(v)
+        found = {tuple(r[k] for k in keys): r["vehicles"] for r in bitmaps.count_vehicles(bits, keys).collect()}
+        assert found == {k: len(v) for k, v in want.items()}
+
+
+@pytest.fixture(scope="module")
+def mart(spark):
+    root = f"{scratch_dir(spark, 'totals')}/mart"
+    sent = {f"t{i}": [i % 4] for i in range(40)}
+    raw = raw_rows(events(spark, sent).withColumn("exit_time", F.col("event_ts") + F.make_dt_interval(secs=F.lit(30))), "first")
+    load_days(spark, raw, root, DAYS[2:])
+    load_days(spark, raw, root, DAYS[:2])
+    load_days(spark, raw, root, [DAYS[3]])
+    return read_mart(spark, root)
+
+
+def test_vehicles_keep_their_numbers_over_loads(spark, mart):
+    found = numbers(mart.dim_vehicle)
+    assert sorted(found.values()) == list(range(1, len(found) + 1))
+    counted = {(r["level"], r["item"]): r["vehicles"] for r in kpis.distinct_vehicles(mart).collect()}
+    days = mart.facts.groupBy("date_id").agg(F.count_distinct("vehicle_id").alias("n")).collect()
+    assert {k[1].replace("-", ""): n for k, n in counted.items() if k[0] == "day"} == {str(r["date_id"]): r["n"] for r in days}
+    assert counted["highway", "NH-58"] == mart.dim_vehicle.count()
+
+
+def test_stored_totals_need_no_facts(mart):
+    for report, column in ((kpis.highway_sla_stored(mart, DAYS[0]), "seconds#"), (kpis.distinct_vehicles(mart), "bits#")):
+        scans = [line for line in plan_text(report).splitlines() if "FileScan" in line]
+        assert any(column in s for s in scans) and not any("entry_time" in s or "vehicle_id" in s for s in scans)
+    plan = plan_text(kpis.highway_sla_stored(mart, AS_OF))
+    assert "PartitionFilters: [isnotnull(date_id" in plan and "Python" not in plan
+
+
+def test_histograms_of_days_add_up(spark):
+    rng = random.Random(5)
+    rows = [("P", d, rng.randrange(60)) for d in (1, 2, 3) for _ in range(100)]
+    trips = spark.createDataFrame(rows, "plaza_id STRING, date_id INT, s INT").selectExpr(
+        "plaza_id", "date_id", "TIMESTAMP'2024-01-01' AS entry_time", "TIMESTAMP'2024-01-01' + make_dt_interval(0, 0, 0, s) AS exit_time", "CAST(s AS BIGINT) AS seconds")
+    added = facts.processing_times(trips).groupBy("plaza_id", "seconds").agg(F.sum("n").alias("n"))
+    assert of_histogram(added, ["plaza_id"], "seconds", 0.95).collect() == mean_and_percentile(trips, ["plaza_id"], "seconds", 0.95).collect()
+    assert facts.processing_times(trips.withColumn("exit_time", F.lit(None).cast("timestamp"))).isEmpty()
