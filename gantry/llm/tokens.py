@@ -19,10 +19,10 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 0
 
 #: Distinct parts that a worker keeps, and the longest part that is kept.
-MOST_PARTS = 300_000
+MOST_PARTS = 600_000
 LONGEST_PART = 48
 #: Bytes of text that are encoded at a time: lists of parts take many times the room of their text.
-SLICE = 1 << 20
+SLICE = 2 << 20
 
 _TIGHT = re.compile(r"\s \s")
 _CUTS = re.compile(r"(?<=\S)(?= )|(?<=\s)(?= \S)")
@@ -36,16 +36,22 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class _Parts(dict):
-    """Numbers parts in order of appearance; new ones wait in `waiting`."""
+    """Numbers parts in order of appearance; new ones wait to be encoded."""
 
     def __init__(self, owner: Encoder):
         super().__init__()
-        self.owner, self.waiting = owner, []
+        self.owner, self.waiting, self.numbers = owner, [], []
+
+    def wait(self, part: str) -> int:
+        owner = self.owner
+        number = owner.count
+        owner.count = number + 1
+        self.waiting.append(part)
+        self.numbers.append(number)
+        return number
 
     def __missing__(self, part: str) -> int:
-        number = self.owner.count
-        self.owner.count = number + 1
-        self.waiting.append((part, number))
+        number = self.wait(part)
         if len(part) <= LONGEST_PART:
             self[part] = number
         return number
@@ -90,9 +96,7 @@ class Encoder:
 
     def _numbers(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
-            self.plain.waiting.append((text, self.count))
-            self.count += 1
-            return np.array([self.count - 1])
+            return np.array([self.plain.wait(text)])
         if _TIGHT.search(text):
             parts = _CUTS.split(text)
             return np.fromiter(map(self.plain.__getitem__, parts), np.int64, len(parts))
@@ -115,19 +119,22 @@ class Encoder:
         self.used += len(ids)
 
     def _encode_waiting(self) -> None:
-        row, alone = [], [*self.plain.waiting]
-        for part, number in self.spaced.waiting:
-            # Without white space at its ends a part may stand in a row with others.
-            plain = 0 < len(part) <= LONGEST_PART and not part[0].isspace() and not part[-1].isspace()
-            (row if plain else alone).append((" " + part, number))
-        self.spaced.waiting, self.plain.waiting = [], []
-        rows = [row[i:i + _TOGETHER] for i in range(0, len(row), _TOGETHER)]
-        texts = ["".join(p for p, _ in part) for part in rows]
-        for part, found in zip(rows, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        parts, numbers = self.spaced.waiting, np.array(self.spaced.numbers, np.int64)
+        alone = list(zip(self.plain.waiting, self.plain.numbers))
+        # Without white space at its ends a part may stand in a row with others.
+        plain = np.fromiter((0 < len(p) <= LONGEST_PART and len(p.strip()) == len(p) for p in parts), bool, len(parts))
+        if not plain.all():
+            alone += [(" " + parts[i], number) for i, number in zip(np.flatnonzero(~plain).tolist(), numbers[~plain].tolist())]
+            parts, numbers = [parts[i] for i in np.flatnonzero(plain).tolist()], numbers[plain]
+        self.spaced.waiting, self.spaced.numbers, self.plain.waiting, self.plain.numbers = [], [], [], []
+        texts = [" " + " ".join(parts[i:i + _TOGETHER]) for i in range(0, len(parts), _TOGETHER)]
+        for k, (text, found) in enumerate(zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))):
             ids = np.array(found.ids, np.int64)
-            ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p, _ in part])
+            # A part has no space within, so the spaces of a row are where its parts begin.
+            row = np.frombuffer(text.encode(), np.uint8)
+            ends = np.append(np.flatnonzero(row == 0x20)[1:], len(row))
             last = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
-            self._store(np.array([n for _, n in part]), np.diff(last, prepend=0), ids)
+            self._store(numbers[k * _TOGETHER:(k + 1) * _TOGETHER], np.diff(last, prepend=0), ids)
         for part, number in alone:
             ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, np.int64)
             self._store(np.array([number]), np.array([len(ids)]), ids)
