@@ -19,7 +19,7 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 0
 
 #: Distinct parts that a worker keeps, and the longest part that is kept.
-MOST_PARTS = 600_000
+MOST_PARTS = 1_000_000
 LONGEST_PART = 48
 #: Bytes of text that are encoded at a time: lists of parts take many times the room of their text.
 SLICE = 2 << 20
@@ -51,7 +51,11 @@ class _Parts(dict):
         return number
 
     def __missing__(self, part: str) -> int:
-        number = self.wait(part)
+        owner = self.owner
+        number = owner.count
+        owner.count = number + 1
+        self.waiting.append(part)
+        self.numbers.append(number)
         if len(part) <= LONGEST_PART:
             self[part] = number
         return number
@@ -122,7 +126,8 @@ class Encoder:
         parts, numbers = self.spaced.waiting, np.array(self.spaced.numbers, np.int64)
         alone = list(zip(self.plain.waiting, self.plain.numbers))
         # Without white space at its ends a part may stand in a row with others.
-        plain = np.fromiter((0 < len(p) <= LONGEST_PART and len(p.strip()) == len(p) for p in parts), bool, len(parts))
+        size, bare = (np.fromiter(map(len, p), np.int64, len(parts)) for p in (parts, map(str.strip, parts)))
+        plain = (size > 0) & (size <= LONGEST_PART) & (size == bare)
         if not plain.all():
             alone += [(" " + parts[i], number) for i, number in zip(np.flatnonzero(~plain).tolist(), numbers[~plain].tolist())]
             parts, numbers = [parts[i] for i in np.flatnonzero(plain).tolist()], numbers[plain]
