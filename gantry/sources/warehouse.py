@@ -6,7 +6,7 @@ again, by a retry or a repair, puts the same days in place of themselves; a buil
 late, when the warehouse has a newer one of a day, leaves that day as it is.
 
 The statements are texts of plain SQL: `execute` runs one of them over whatever connection the
-caller has. Nothing here opens one but `jdbc_execute`, which uses the driver that Spark has.
+caller has. Nothing here opens one but `jdbc_transaction`, which uses the driver that Spark has.
 """
 
 from __future__ import annotations
