@@ -14,7 +14,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
 from gantry.functions.charges import charge  # noqa: E402
-from gantry.operators import dims, events as ev, facts as fa, quality  # noqa: E402
+from gantry.operators import dims, events as ev, facts as fa, offsets, quality  # noqa: E402
 from gantry.plans import kpis, lookups  # noqa: E402
 from gantry.plans.mart import Mart, mart_from_events, read_mart  # noqa: E402
 from gantry.plans.nightly import builds, late_days, load_days  # noqa: E402
@@ -217,6 +217,24 @@ def _stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{work}/once").select(*EVENT_COLUMNS)
 
 
+def _stream_one_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary from the totals that one read of the stream left beside the raw zone and the quarantine."""
+    work = scratch_dir(spark, "one")
+    feed = testdata.in_order_of_time(prepare(spark), sf_dir, f"{work}/feed")
+    messages = testdata.as_messages(testdata.event_stream(spark, feed))
+    landing.wait_all([landing.land_all(messages, work, f"{work}/checkpoint", interval=None)])
+    landing.merge_totals(spark, f"{work}/totals", keep=2)
+    return landing.read_totals(spark, f"{work}/totals")
+
+
+def _offset_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lost and repeated offsets, from the ranges that each day's load kept."""
+    kept = f"{scratch_dir(spark, 'offsets')}/ranges"
+    came = testdata.delivered(prepare(spark).read.parquet(f"{sf_dir}/events.parquet"))
+    offsets.offset_ranges(came, (*offsets.SOURCE, "day")).write.parquet(kept)
+    return offsets.audit(spark.read.parquet(kept))
+
+
 def _event_days(valid: DataFrame) -> DataFrame:
     return dims.date_rows(valid.select(F.to_date("event_ts").alias("date")).distinct())
 
@@ -308,6 +326,8 @@ def plans() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_raw_landing": _stream_landing,
         "stream_live_summary": _stream_summary,
         "stream_dedup": _stream_dedup,
+        "stream_one_read": _stream_one_read,
+        "offset_audit": _offset_audit,
         "dq_report": lambda s, d: quality.report(_day_facts(s, d), dims.plaza_seed(s), AS_OF),
         "dq_row_count": lambda s, d: quality.row_count(_day_facts(s, d), AS_OF),
         "dq_null_ids": lambda s, d: quality.null_ids(_day_facts(s, d), AS_OF),

@@ -399,6 +399,24 @@ def all_sql() -> dict[str, str]:
                 CAST(payment_id AS SMALLINT) AS payment_id, CAST(amount AS DOUBLE) AS amount, event_ts AS entry_time
             FROM (SELECT * FROM sent QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY event_ts, ingested_at) = 1) s
             LEFT JOIN dim_payment p ON p.status = s.status AND p.method = 'FASTAG'"""),
+        "offset_audit": """
+            WITH sent AS (
+                SELECT CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 + (event_id // 3) % 4 END AS INTEGER) AS part,
+                    CASE WHEN event_id % 3 = 0 THEN event_id // 3 ELSE 2 * (event_id // 12) + event_id % 3 - 1 END AS o
+                FROM events
+            ), came AS (
+                SELECT part, o, SUM(CASE WHEN o % 37 < 2 THEN 2 ELSE 1 END) AS n FROM sent WHERE o % 41 NOT IN (7, 8, 9) GROUP BY part, o
+            ), wanted AS (
+                SELECT part, unnest(range(min(o), max(o) + 1)) AS o FROM came GROUP BY part
+            ), every AS (
+                SELECT w.part, w.o, COALESCE(c.n, 0) AS n FROM wanted w LEFT JOIN came c ON c.part = w.part AND c.o = w.o
+            ), islands AS (
+                SELECT *, o - row_number() OVER (PARTITION BY part, n ORDER BY o) AS island FROM every WHERE n <> 1
+            )
+            SELECT 'reads' AS topic, part AS partition, CAST(min(o) AS BIGINT) AS "first", CAST(max(o) AS BIGINT) AS "last",
+                COUNT(*) AS n_offsets, CAST(n AS BIGINT) AS copies, CASE WHEN n = 0 THEN 'missing' ELSE 'repeated' END AS problem
+            FROM islands GROUP BY part, n, island""",
+        "stream_one_read": _query("valid", _summary("valid")),
         "late_repair": _query("valid", """
             WITH timed AS (
                 SELECT date_id, ingested_at, ingested_at > CAST(event_ts AS DATE) + INTERVAL 25 HOURS AS late FROM valid

@@ -152,6 +152,19 @@ def as_messages(events: DataFrame) -> DataFrame:
     return texts.selectExpr("offset", "CAST(text AS BINARY) AS value")
 
 
+def delivered(events: DataFrame, partitions: int = 5) -> DataFrame:
+    """Offsets of `events` as a topic's partitions number them, with stretches that were lost or sent twice.
+
+    One partition has a third of all rows. A load is a day.
+    """
+    dealt = events.select("event_id", F.to_date("ts").alias("day"), F.expr(
+        f"IF(event_id % 3 = 0, 0, 1 + (event_id DIV 3) % {partitions - 1})").cast("int").alias("partition"))
+    position = f"IF(partition = 0, event_id DIV 3, 2 * (event_id DIV {3 * (partitions - 1)}) + event_id % 3 - 1)"
+    sent = dealt.select(F.lit("reads").alias("topic"), "partition", "day", F.expr(position).alias("offset"))
+    copies = "CASE WHEN offset % 41 IN (7, 8, 9) THEN array() WHEN offset % 37 < 2 THEN array(0, 1) ELSE array(0) END"
+    return sent.selectExpr("topic", "partition", "day", "offset", f"explode({copies}) AS _copy").drop("_copy")
+
+
 def lineitem_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`lineitem` as facts over several years, for the monthly trend."""
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")

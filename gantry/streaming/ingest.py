@@ -3,7 +3,7 @@
     python -m gantry.streaming.ingest --root <folder> --checkpoints <folder> \\
         --option kafka.bootstrap.servers=<hosts> --option subscribe=<topic> --option maxOffsetsPerTrigger=<n>
 
-`--merge` merges the published summary's folders instead, as a job to run now and then.
+`--merge` merges the folders of the summary and the totals instead, as a job to run now and then.
 """
 
 from __future__ import annotations
@@ -16,13 +16,21 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gantry.operators.events import PAYLOAD, parse_events, quarantine, validate_and_enrich
 from gantry.session import build_session, prepare
+from gantry.sources import files
 from gantry.sources.readers import read_messages
-from gantry.streaming.landing import DELAY, TRIGGER, merge_summary, start_ingest, wait_all
+from gantry.streaming.landing import DELAY, TRIGGER, land_all, merge_summary, merge_totals, start_ingest, wait_all
 
 
 def ingest_messages(messages: DataFrame, root: str, checkpoints: str, interval: str | None = TRIGGER,
                     delay: str = DELAY) -> list[StreamingQuery]:
-    """Start all queries over a stream of messages with a `value`; rejected rows keep the message's text."""
+    """Start the landing of a stream of messages with a `value`; rejected rows keep the message's text.
+
+    One query reads the source for all sinks. Checkpoints that three queries began (`start_ingest`)
+    are gone on with by three, as the source's messages would otherwise be landed once more;
+    `delay` is theirs only.
+    """
+    if not files.exists(messages.sparkSession, f"{checkpoints}/raw"):
+        return [land_all(messages, root, f"{checkpoints}/all", interval)]
     parsed = parse_events(messages, keep=[PAYLOAD])
     return start_ingest(validate_and_enrich(parsed), quarantine(parsed), root, checkpoints, interval, delay)
 
@@ -41,12 +49,13 @@ def main(argv: Sequence[str] | None = None) -> None:
     arguments.add_argument("--option", action="append", default=[], metavar="KEY=VALUE", help="of the source")
     arguments.add_argument("--interval", default=TRIGGER)
     arguments.add_argument("--once", action="store_true", help="read what is there and stop")
-    arguments.add_argument("--delay", default=DELAY, help="how late rows may be for the live summary")
+    arguments.add_argument("--delay", default=DELAY, help="how late rows may be for a live summary with state")
     arguments.add_argument("--merge", action="store_true", help="merge the summary's folders and stop")
     given = arguments.parse_args(argv)
     spark = build_session("gantry-ingest")
     if given.merge:
         merge_summary(spark, f"{given.root}/summary")
+        merge_totals(spark, f"{given.root}/totals")
         return
     options = dict(option.split("=", 1) for option in given.option)
     checkpoints = given.checkpoints or f"{given.root}/checkpoints"

@@ -1,5 +1,6 @@
 """Streaming queries: raw landing, live summary, de-duplication.
 
+`land_all` reads a source once for all its sinks; the others are one sink each.
 Each query has its own checkpoint and writes what a trigger brings as a folder named
 after query and trigger, so that a trigger which is run again replaces its folder, and
 readers need no log beside the folders. A bounded source (`maxFilesPerTrigger`,
@@ -18,6 +19,8 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from gantry.functions.charges import FLAGGED
 from gantry.functions.dates import event_hour_columns
 from gantry.functions.measures import count_where
+from gantry.operators.events import PAYLOAD, parse_events, quarantine, validate_and_enrich
+from gantry.operators.offsets import SOURCE, offset_ranges
 from gantry.schemas import HOUR_COLUMNS
 from gantry.sources import files
 from gantry.sources.writers import write_raw
@@ -246,6 +249,116 @@ def start_ingest(valid: DataFrame, rejected: DataFrame, root: str, checkpoints:
     ]
 
 
+RANGES_DDL = "topic STRING, partition INT, span BIGINT, first BIGINT, last BIGINT, copies BIGINT, load STRING"
+#: In the name of a file that says up to which trigger a stream's totals are merged.
+MERGED = "_merged-"
+
+
+def land_all(messages: DataFrame, root: str, checkpoint: str, interval: str | None = TRIGGER) -> StreamingQuery:
+    """One read of a source of messages for all sinks: `raw`, `rejected`, `totals` and, where messages have them, `ranges` of offsets.
+
+    A trigger parses its messages once, keeps them, and writes each sink in folders of its own
+    name. A trigger that stopped between sinks is run again with the same messages and replaces
+    what it had written, so the sinks cannot stand apart. Totals are those of the trigger's own
+    rows: they add up (`read_totals`), so no state is kept and no row comes too late for them.
+    """
+    name = _stream_name(messages.sparkSession, checkpoint)
+    position = [c for c in (*SOURCE, "offset") if c in messages.columns]
+
+    def write(batch: DataFrame, trigger: int) -> None:
+        load = f"{name}-{trigger:09d}"
+        parsed = parse_events(batch, keep=[PAYLOAD, *position]).persist()
+        try:
+            valid = validate_and_enrich(parsed.drop(*position))
+            write_raw(valid, f"{root}/raw", load)
+            _write_load(quarantine(parsed), f"{root}/rejected", load, "reason")
+            if {*SOURCE, "offset"} <= set(position):
+                _write_load(offset_ranges(parsed), f"{root}/ranges", load)
+            totals = vehicle_totals(valid).withColumns({"stream": F.lit(name), "batch": F.lit(trigger).cast("bigint")})
+            _replace(totals, f"{root}/totals", "stream", "batch")
+        finally:
+            parsed.unpersist()
+
+    return _start(messages.writeStream.foreachBatch(write).outputMode("append"), checkpoint, interval)
+
+
+def _replace(rows: DataFrame, path: str, *partition_by: str) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+
+def _write_load(rows: DataFrame, path: str, load: str, *partition_by: str) -> None:
+    _replace(rows.withColumn("load", F.lit(load)), path, *partition_by, "load")
+
+
+def read_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """Offsets that all triggers have read, for `offsets.audit`."""
+    return spark.read.schema(RANGES_DDL).parquet(path)
+
+
+def _valid_totals(spark: SparkSession, path: str) -> Column:
+    """Folders that count: of each stream the last merged one and the triggers after it. One term for each stream."""
+    wanted = F.lit(False)
+    for folder in files.children(spark, path):
+        if folder.startswith("stream="):
+            merged = _merged_up_to(spark, f"{path}/{folder}")
+            batch = F.col("batch") > merged if merged is not None else F.col("batch") >= 0
+            if merged is not None:
+                batch = batch | (F.col("batch") == -(merged + 1))
+            wanted = wanted | ((F.col("stream") == folder.removeprefix("stream=")) & batch)
+    return wanted
+
+
+def _merged_up_to(spark: SparkSession, folder: str) -> int | None:
+    return max((int(n.removeprefix(MERGED)) for n in files.children(spark, folder) if n.startswith(MERGED)), default=None)
+
+
+def _added(totals: DataFrame) -> DataFrame:
+    return totals.groupBy(*SUMMARY_KEYS, "tag_id").agg(
+        *[F.sum(c).cast(t).alias(c) for c, t in (("tx_count", "bigint"), ("total_revenue", "decimal(20,2)"), ("flagged_count", "bigint"))])
+
+
+def read_totals(spark: SparkSession, path: str, wanted: Column | None = None) -> DataFrame:
+    """The live summary from what `land_all` keeps for each trigger; `wanted` may select days or plazas.
+
+    Streams add up as well: another checkpoint is another reader of the source, as in the raw zone.
+    """
+    parts = spark.read.schema(SUMMARY_DDL).parquet(path).where(_valid_totals(spark, path))
+    return roll_up(_added(parts if wanted is None else parts.where(wanted)))
+
+
+def merge_totals(spark: SparkSession, path: str, keep: int = 1) -> int:
+    """Add up each stream's folders but those of its last `keep` triggers; the number of folders that went.
+
+    Sums may not be seen beside their parts, so a file made after the merged folder is there
+    names the trigger up to which it holds, and readers take no older folder. A job that stops
+    before leaves the parts in force, one that stops later leaves folders that the next one removes.
+    """
+    gone = 0
+    for folder in files.children(spark, path):
+        if not folder.startswith("stream="):
+            continue
+        place, name = f"{path}/{folder}", folder.removeprefix("stream=")
+        numbers = sorted(int(n.removeprefix("batch=")) for n in files.children(spark, place) if n.startswith("batch="))
+        closed, merged = [n for n in numbers if n >= 0][:-keep or None], _merged_up_to(spark, place)
+        if closed and (merged is None or closed[-1] > merged):
+            parts = spark.read.schema(SUMMARY_DDL).parquet(path).where(_valid_totals(spark, path))
+            own = parts.where((F.col("stream") == name) & (F.col("batch") <= closed[-1]))
+            target = {"stream": F.lit(name), "batch": F.lit(-(closed[-1] + 1)).cast("bigint")}
+            _replace(_added(own).hint("rebalance", *HOUR_COLUMNS).withColumns(target), path, "stream", "batch")
+            files.create_text(spark, f"{place}/{MERGED}{closed[-1]:09d}", "")
+            merged = closed[-1]
+        if merged is None:
+            continue
+        for n in numbers:
+            if n <= merged and n != -(merged + 1):
+                files.remove(spark, f"{place}/batch={n}")
+                gone += 1
+        for marker in files.children(spark, place):
+            if marker.startswith(MERGED) and int(marker.removeprefix(MERGED)) < merged:
+                files.remove(spark, f"{place}/{marker}")
+    return gone
+
+
 def wait_all(queries: list[StreamingQuery]) -> None:
     """Wait until all have ended; when any fails, stop the others and raise its error."""
     streams = SparkSession.active().streams

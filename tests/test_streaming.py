@@ -185,7 +185,7 @@ def test_messages_from_a_source_to_all_sinks(spark, sf, split):
     rejected = spark.read.parquet(f"{work}/out/rejected")
     assert read_raw(spark, f"{work}/out/raw").count() + rejected.count() == total
     assert rejected.where("reason = 'unreadable message' AND payload LIKE '{{%'").count() > 0
-    assert spark_rows(landing.read_summary(spark, f"{work}/out/summary")) == spark_rows(landing.summary(batch(spark, sf)))
+    assert spark_rows(landing.read_totals(spark, f"{work}/out/totals")) == spark_rows(landing.summary(batch(spark, sf)))
 
 
 def test_ingest_command(monkeypatch):
