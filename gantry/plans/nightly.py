@@ -21,7 +21,7 @@ from gantry.operators import bitmaps, dims, ledger, quality
 from gantry.operators.facts import conform, processing_times, revenue_facts
 from gantry.plans.mart import current_vehicles, hourly_from_facts, publish_vehicles
 from gantry.schemas import HOUR_COLUMNS, MART
-from gantry.session import build_session, prepare, scratch_dir
+from gantry.session import build_session, prepare, scratch_dir, settings
 from gantry.sources import files, warehouse
 from gantry.sources.readers import on_days, read_raw, require_days
 from gantry.sources.writers import read_table, table_path, jdbc_writer, write_days, write_raw, write_table
@@ -172,17 +172,32 @@ def load_dimensions(spark: SparkSession, root: str, days: Sequence[date], events
     return read_table(spark, root, "dim_vehicle").where(F.col("snapshot") == build)
 
 
+PLACE = ("year", "month", "day", "load")
+
+
+def unread_loads(raw: DataFrame, built: DataFrame) -> DataFrame:
+    """(year, month, day, load) of the zone's loads that the newest build of their day has not read.
+
+    `built` has (date_id, load). Loads are folders, so what was read is known without clocks.
+    """
+    there = raw.select(*PLACE).distinct()
+    return there.join(built.select("date_id", "load"), (folder_day() == F.col("date_id")) & (there["load"] == built["load"]), "left_anti")
+
+
+def unread_days(raw: DataFrame, built: DataFrame) -> list[date]:
+    """Days with such loads, one value each. From the names of the zone's folders or partitions: no file of the zone is opened."""
+    with settings(raw.sparkSession, spark__sql__optimizer__metadataOnly="true"):
+        return sorted(date(*row) for row in unread_loads(raw, built).select(*PLACE[:3]).distinct().collect())
+
+
 def late_days(raw: DataFrame, built: DataFrame) -> DataFrame:
     """Event days with loads that their newest build has not read, or that were never built.
 
-    `built` has (date_id, load). Loads are folders, so what was read is known without
-    clocks, and days that are whole cost their file listing only.
+    The days are known before the plan is made, so that only their files are read.
     """
-    place = ["year", "month", "day", "load"]
-    there = raw.select(*place).distinct()
-    unread = there.join(built.select("date_id", "load"), (folder_day() == F.col("date_id")) & (there["load"] == built["load"]), "left_anti")
+    late = raw.where(on_days(unread_days(raw, built)))
     return (
-        raw.join(unread, place)
+        late.join(unread_loads(late, built), list(PLACE))
         .groupBy(folder_day().alias("date_id"))
         .agg(F.count("*").alias("late_rows"), F.max("ingested_at").alias("last_arrival"))
     )

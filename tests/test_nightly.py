@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from __spark_entry__ import AS_OF, NOW, TAG, _portable, oracle_sql
 from gantry.operators import dims, quality
 from gantry.operators.events import validate_and_enrich
-from gantry.plans import kpis, lookups
+from gantry.plans import kpis, lookups, nightly
 from gantry.plans.mart import read_mart
 from gantry.plans.nightly import builds, compact_raw, late_days, load_days, repair_late
-from gantry.session import scratch_dir
+from gantry.session import scratch_dir, settings
 from gantry.sources import files
+from gantry.sources.catalog import register_raw_zone
 from gantry.sources.readers import on_days, read_raw
 from gantry.sources.testdata import raw_events
 from gantry.sources.writers import read_table, write_raw, write_table
@@ -269,3 +270,23 @@ def test_summary_of_an_empty_day_is_zero(spark, zone):
     assert kpis.revenue_today(mart, date(2031, 1, 1)).first()["total_transactions"] == 0
     with pytest.raises(ValueError):
         lookups.day_summary(mart, "30.01.2024")
+
+
+def test_late_days_are_known_before_a_file_is_opened(spark, sf):
+    work = scratch_dir(spark, "unread")
+    rows = validate_and_enrich(raw_events(spark, sf)).where("hour BETWEEN 5 AND 9")
+    write_raw(rows.where("day BETWEEN 3 AND 6"), f"{work}/raw", "a+b %c")
+    write_raw(rows.where("day IN (4, 20)"), f"{work}/raw", "late")
+    register_raw_zone(spark, f"{work}/raw", "unread_zone")
+    read = spark.createDataFrame([(20240100 + d, "a+b %c") for d in (3, 4, 5, 6)], "date_id INT, load STRING")
+    for raw in (read_raw(spark, f"{work}/raw"), spark.table("unread_zone")):
+        with settings(spark, spark__sql__optimizer__metadataOnly="true"):
+            known = nightly.unread_loads(raw, read).select("year", "month", "day").distinct()
+            assert "FileScan" not in known._jdf.queryExecution().executedPlan().toString()
+        assert nightly.unread_days(raw, read) == [date(2024, 1, 4), date(2024, 1, 20)]
+        late = nightly.late_days(raw, read)
+        scans = [line for line in late._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line]
+        assert scans and all("PartitionFilters: []" not in line for line in scans)
+        want = rows.where("day IN (4, 20)").groupBy("day").count().collect()
+        assert {(r["date_id"], r["late_rows"]) for r in late.collect()} == {(20240100 + r["day"], r["count"]) for r in want}
+    assert nightly.late_days(raw, nightly.unread_loads(raw, read.limit(0)).select(nightly.folder_day().alias("date_id"), "load")).count() == 0
