@@ -14,10 +14,11 @@ from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
 from gantry.functions.charges import charge  # noqa: E402
-from gantry.operators import dims, events as ev, facts as fa, offsets, quality  # noqa: E402
+from gantry.operators import dims, drift, events as ev, facts as fa, offsets, quality  # noqa: E402
 from gantry.plans import kpis, lookups  # noqa: E402
 from gantry.plans.mart import Mart, mart_from_events, read_mart  # noqa: E402
 from gantry.plans.nightly import builds, late_days, load_days  # noqa: E402
+from gantry.schemas import EXTRA  # noqa: E402
 from gantry.session import prepare, scratch_dir  # noqa: E402
 from gantry.sources import testdata  # noqa: E402
 from gantry.sources.readers import read_raw  # noqa: E402
@@ -235,6 +236,14 @@ def _offset_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offsets.audit(spark.read.parquet(kept))
 
 
+def _landed_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that the event schema does not know, as the raw zone keeps them."""
+    work = scratch_dir(spark, "extra")
+    messages = testdata.with_new_fields(_raw(spark, sf_dir))
+    write_raw(ev.validate_and_enrich(ev.parse_events(messages, keep=[EXTRA])), f"{work}/raw", "all")
+    return read_raw(spark, f"{work}/raw").where(F.col(EXTRA).isNotNull()).select("transaction_id", "event_ts", "lane", EXTRA)
+
+
 def _event_days(valid: DataFrame) -> DataFrame:
     return dims.date_rows(valid.select(F.to_date("event_ts").alias("date")).distinct())
 
@@ -328,6 +337,8 @@ def plans() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_dedup": _stream_dedup,
         "stream_one_read": _stream_one_read,
         "offset_audit": _offset_audit,
+        "schema_drift": lambda s, d: drift.drift_report(testdata.with_new_fields(_raw(s, d))).where("NOT known OR n_lost > 0"),
+        "extra_fields_landed": _landed_extra,
         "dq_report": lambda s, d: quality.report(_day_facts(s, d), dims.plaza_seed(s), AS_OF),
         "dq_row_count": lambda s, d: quality.row_count(_day_facts(s, d), AS_OF),
         "dq_null_ids": lambda s, d: quality.null_ids(_day_facts(s, d), AS_OF),

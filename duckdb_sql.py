@@ -417,6 +417,30 @@ def all_sql() -> dict[str, str]:
                 COUNT(*) AS n_offsets, CAST(n AS BIGINT) AS copies, CASE WHEN n = 0 THEN 'missing' ELSE 'repeated' END AS problem
             FROM islands GROUP BY part, n, island""",
         "stream_one_read": _query("valid", _summary("valid")),
+        "schema_drift": _query("raw", """
+            WITH said AS (
+                SELECT 'axles_seen' AS field, false AS known, 0 AS lost, 'BIGINT' AS type FROM raw WHERE event_id % 29 = 5
+                UNION ALL
+                SELECT 'booth', false, 0, 'OBJECT<id: BIGINT, open: BOOLEAN>' FROM raw WHERE event_id % 31 = 7
+                UNION ALL
+                SELECT 'note', false, 0, CASE WHEN event_id % 2 = 0 THEN 'STRING' ELSE 'BIGINT' END FROM raw WHERE event_id % 23 = 11
+                UNION ALL
+                SELECT 'lane', true, CASE WHEN event_id % 43 = 2 THEN 1 ELSE 0 END, CASE WHEN event_id % 43 = 2 THEN 'STRING' ELSE 'BIGINT' END
+                FROM raw
+                UNION ALL
+                SELECT 'timestamp', true, CASE WHEN event_ts IS NULL THEN 1 ELSE 0 END, 'STRING' FROM raw
+            )
+            SELECT field, known, COUNT(*) AS n, CAST(0 AS BIGINT) AS n_null, CAST(SUM(lost) AS BIGINT) AS n_lost,
+                CASE WHEN COUNT(DISTINCT type) > 1 THEN 'VARIANT' ELSE min(type) END AS type
+            FROM said GROUP BY field, known HAVING NOT known OR SUM(lost) > 0"""),
+        "extra_fields_landed": _query("valid", """
+            SELECT transaction_id, event_ts, CASE WHEN event_id % 43 <> 2 THEN lane END AS lane, '{' || extra || '}' AS extra
+            FROM (SELECT *, concat_ws(',',
+                CASE WHEN event_id % 29 = 5 THEN '"axles_seen":' || CAST(event_id % 5 + 2 AS VARCHAR) END,
+                CASE WHEN event_id % 31 = 7 THEN '"booth":{"id":' || CAST(event_id % 9 AS VARCHAR) || ',"open":true}' END,
+                CASE WHEN event_id % 23 = 11 THEN '"note":' ||
+                    CASE WHEN event_id % 2 = 0 THEN '"late"' ELSE CAST(event_id % 7 AS VARCHAR) END END) AS extra FROM valid)
+            WHERE extra <> ''"""),
         "late_repair": _query("valid", """
             WITH timed AS (
                 SELECT date_id, ingested_at, ingested_at > CAST(event_ts AS DATE) + INTERVAL 25 HOURS AS late FROM valid

@@ -10,12 +10,23 @@ from pyspark.sql import types as T
 
 from gantry.functions.charges import FLAGGED, blacklist_test, status_after
 from gantry.functions.dates import event_hour_columns
-from gantry.schemas import BLACKLISTED_TAGS, EVENT_DDL, MAX_AMOUNT, MIN_AMOUNT, WIRE_FIELDS
+from gantry.schemas import BLACKLISTED_TAGS, EVENT_DDL, EXTRA, MAX_AMOUNT, MIN_AMOUNT, WIRE_FIELDS
 
 PAYLOAD = "payload"
 WIRE_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
 
+def all_fields(text: Column) -> Column:
+    """Top-level fields of a JSON object by name, each a VARIANT: a number, a text and an object stay what they are."""
+    return F.from_json(text, "map<string,variant>")
+
+
+def extra_fields(text: Column) -> Column:
+    """The fields that the event schema does not know, as one JSON object; null where there are none."""
+    unknown = F.map_filter(all_fields(text), lambda name, _: ~name.isin(*WIRE_FIELDS))
+    return F.nullif(F.to_json(unknown), F.lit("{}"))
+
+
 def parse_events(messages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """JSON message bytes to typed columns.
 
@@ -23,10 +34,12 @@ def parse_events(messages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     drops and `quarantine` reports. Text that is no time becomes a null
     `event_ts` instead of an error, so one bad row cannot stop a stream. `keep`
     names message columns (offset, partition, ...) to carry along; PAYLOAD among
-    them is the message's own text, for rows that may be rejected.
+    them is the message's own text, for rows that may be rejected, and EXTRA the
+    fields that the schema does not know.
     """
     text = F.col("value").cast("string")
-    carried = [text.alias(PAYLOAD) if name == PAYLOAD else F.col(name) for name in keep]
+    made = {PAYLOAD: text, EXTRA: extra_fields(text)}
+    carried = [made[name].alias(name) if name in made else F.col(name) for name in keep]
     fields = messages.select(*carried, F.from_json(text, EVENT_DDL).alias("event")).select(*keep, "event.*")
     return fields.withColumn("event_ts", F.try_to_timestamp("timestamp")).drop("timestamp")
 

@@ -24,12 +24,14 @@ HOUR_COLUMNS = ("year", "month", "day", "hour")
 RAW_PARTITIONS = (*HOUR_COLUMNS, "load")
 
 # The landed event: wire fields with `timestamp` replaced by `event_ts`, plus the
-# optional exit time, the ingest time and the partition columns.
+# optional exit time, the ingest time, the fields that the wire format does not know
+# (JSON, null without any) and the partition columns.
+EXTRA = "extra"
 RAW_DDL = """
     transaction_id STRING, plaza_id STRING, plaza_name STRING, highway STRING,
     tag_id STRING, vehicle_no STRING, class_id STRING, class_name STRING,
     amount DECIMAL(10,2), balance_before DECIMAL(10,2), balance_after DECIMAL(10,2),
-    status STRING, lane INT, event_ts TIMESTAMP, exit_time TIMESTAMP, ingested_at TIMESTAMP,
+    status STRING, lane INT, event_ts TIMESTAMP, exit_time TIMESTAMP, ingested_at TIMESTAMP, extra STRING,
     year INT, month INT, day INT, hour INT, load STRING
 """
 

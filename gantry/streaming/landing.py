@@ -21,7 +21,7 @@ from gantry.functions.dates import event_hour_columns
 from gantry.functions.measures import count_where
 from gantry.operators.events import PAYLOAD, parse_events, quarantine, validate_and_enrich
 from gantry.operators.offsets import SOURCE, offset_ranges
-from gantry.schemas import HOUR_COLUMNS
+from gantry.schemas import EXTRA, HOUR_COLUMNS
 from gantry.sources import files
 from gantry.sources.writers import write_raw
 
@@ -267,11 +267,11 @@ def land_all(messages: DataFrame, root: str, checkpoint: str, interval: str | No
 
     def write(batch: DataFrame, trigger: int) -> None:
         load = f"{name}-{trigger:09d}"
-        parsed = parse_events(batch, keep=[PAYLOAD, *position]).persist()
+        parsed = parse_events(batch, keep=[PAYLOAD, EXTRA, *position]).persist()
         try:
             valid = validate_and_enrich(parsed.drop(*position))
             write_raw(valid, f"{root}/raw", load)
-            _write_load(quarantine(parsed), f"{root}/rejected", load, "reason")
+            _write_load(quarantine(parsed).drop(EXTRA), f"{root}/rejected", load, "reason")
             if {*SOURCE, "offset"} <= set(position):
                 _write_load(offset_ranges(parsed), f"{root}/ranges", load)
             totals = vehicle_totals(valid).withColumns({"stream": F.lit(name), "batch": F.lit(trigger).cast("bigint")})
