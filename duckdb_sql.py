@@ -232,6 +232,7 @@ ORDER = {
     "kpi_hourly_heatmap": "date, hour, plaza_id",
     "kpi_class_share": "revenue DESC, vehicle_class",
     "kpi_top_vehicles": "total_trips DESC, tag_id, vehicle_no",
+    "top_vehicles_colocated": "total_trips DESC, tag_id, vehicle_no",
     "kpi_flagged_report": "entry_time DESC, transaction_id",
     "kpi_monthly_trend": "year, month",
     "kpi_monthly_trend_lineitem": "year, month",
@@ -264,12 +265,12 @@ def all_sql() -> dict[str, str]:
             )
             SELECT kind AS vehicle_class, n AS tx_count, revenue,
                 ROUND(100.0 * n / CAST((SELECT sum(n) FROM per_kind) AS DOUBLE), 2) AS pct_share FROM per_kind"""),
-        "kpi_top_vehicles": _query("trips", f"""
+        **{name: _query("trips", f"""
             WITH per_car AS (
                 SELECT vehicle AS tag_id, vehicle_no, registered_state, count(*) AS total_trips, {_total('amount')} AS total_paid
                 FROM trips WHERE earned AND vehicle_no IS NOT NULL GROUP BY ALL
             )
-            SELECT * FROM per_car QUALIFY row_number() OVER (ORDER BY total_trips DESC, tag_id, vehicle_no) <= 10"""),
+            SELECT * FROM per_car QUALIFY row_number() OVER (ORDER BY total_trips DESC, tag_id, vehicle_no) <= 10""") for name in ("kpi_top_vehicles", "top_vehicles_colocated")},
         "kpi_flagged_report": _query("trips", """
             SELECT transaction_id, entry_time, vehicle AS tag_id, vehicle_no, spot AS plaza,
                 CAST(amount AS DOUBLE) AS amount, paid AS status

@@ -1,0 +1,88 @@
+"""Facts and vehicles stored by vehicle: no exchange, hot vehicles dealt out, days that replace themselves."""
+
+import re
+from collections import Counter
+from uuid import uuid4
+
+import pytest
+from compare import plan_text, spark_rows
+from pyspark.sql import functions as F
+
+from __spark_entry__ import _stored_mart
+from gantry.plans import kpis
+from gantry.session import scratch_dir, settings
+from gantry.sources import colocated
+from gantry.sources.writers import as_table
+
+
+@pytest.fixture
+def database(spark):
+    name = f"c{uuid4().hex}"
+    colocated.create(spark, scratch_dir(spark, "colocated"), name, buckets=4)
+    yield name
+    spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
+def facts(spark, rows):
+    frame = spark.createDataFrame(rows, "transaction_id STRING, vehicle_id BIGINT, date_id INT")
+    columns = {c: F.lit(None) for c in ("plaza_id", "class_id", "entry_time", "exit_time", "lane", "ingested_at")}
+    return as_table(frame.withColumns({**columns, "payment_id": F.lit(1), "amount": F.lit(2)}), "fact_transaction")
+
+
+def vehicles(spark, n):
+    rows = [(i, f"TAG-{i}", f"P{i}", "AB") for i in range(n)]
+    return spark.createDataFrame(rows, "vehicle_id BIGINT, tag_id STRING, vehicle_no STRING, registered_state STRING")
+
+
+def trips(spark, database):
+    """Trips by vehicle after the join on both keys."""
+    joined = colocated.facts_by_vehicle(spark, database).join(colocated.vehicles_by_id(spark, database), list(colocated.KEYS))
+    return Counter(r["tag_id"] for r in joined.select("tag_id").collect())
+
+
+def test_join_and_totals_by_vehicle_need_no_exchange(spark, sf, database):
+    mart = _stored_mart(spark, sf)
+    colocated.store(mart.facts, mart.dim_vehicle, database, hot=20, slots=3)
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        stored = kpis.top_vehicles_colocated(colocated.facts_by_vehicle(spark, database), colocated.vehicles_by_id(spark, database))
+        plan = plan_text(stored).split("== Physical Plan ==")[1]
+        join = plan.index("SortMergeJoin")
+        assert "Exchange" not in plan[join:] and "Bucketed: true" in plan[join:]
+        assert plan[:join].count("Exchange") == 1  # totals by tag, after the join
+        assert spark_rows(stored) == spark_rows(kpis.top_vehicles(mart))
+        usual = plan_text(kpis.top_vehicles(mart)).split("== Physical Plan ==")[1]
+        assert "Exchange" in usual[usual.index("SortMergeJoin"):]
+
+
+def test_a_hot_vehicle_is_dealt_out_and_stays_so(spark, database):
+    first = [(f"a{i}", 1 if i % 3 == 0 else 2 + i % 40, 20240101) for i in range(900)]
+    colocated.store(facts(spark, first), vehicles(spark, 50), database, hot=100, slots=4)
+    assert trips(spark, database) == Counter(f"TAG-{v}" for _, v, _ in first)
+    spread = dict(colocated.facts_by_vehicle(spark, database).where("vehicle_id = 1").groupBy("slot").count().collect())
+    assert set(spread) == {0, 1, 2, 3} and max(spread.values()) < 150
+    assert {r["slots"] for r in colocated.vehicles_by_id(spark, database).where("vehicle_id <> 1").collect()} == {1}
+    # A quiet day later its trips are still found, and a vehicle that turns hot keeps what lies in slot 0.
+    second = [("b1", 1, 20240102), ("b2", 7, 20240102)] + [(f"c{i}", 9, 20240102) for i in range(200)]
+    colocated.store(facts(spark, second), vehicles(spark, 50), database, hot=100, slots=4)
+    assert trips(spark, database) == Counter(f"TAG-{v}" for _, v, _ in first + second)
+
+
+def test_a_day_replaces_itself_and_edges_join_with_nothing(spark, database):
+    assert colocated.vehicles_by_id(spark, database) is None
+    day = [("a", 1, 20240101), ("b", None, 20240101), ("c", 99, 20240101), (None, 2, 20240101), ("a", 1, 20240101)]
+    for _ in range(4):
+        colocated.store(facts(spark, day), vehicles(spark, 5), database)
+    assert colocated.facts_by_vehicle(spark, database).count() == 5
+    assert trips(spark, database) == {"TAG-1": 2, "TAG-2": 1}
+    colocated.store(facts(spark, []), vehicles(spark, 5), database)
+    assert colocated.facts_by_vehicle(spark, database).count() == 5
+    colocated.store(facts(spark, [("z", 3, 20240101)]), vehicles(spark, 5), database)
+    assert trips(spark, database) == {"TAG-3": 1}
+    assert len(spark.sql(f"SHOW PARTITIONS {database}.{colocated.VEHICLES}").collect()) <= 2
+
+
+def test_a_bucket_of_a_day_is_one_file(spark, database):
+    rows = [(f"t{i}", i % 100, 20240101 + i % 2) for i in range(2000)]
+    colocated.store(facts(spark, rows), vehicles(spark, 100), database)
+    names = [re.search(r"_(\d{5})\.c", f).group(1) + f.split("date_id=")[1][:8] for f in colocated.facts_by_vehicle(spark, database).inputFiles()]
+    assert len(names) == len(set(names)) == 8
