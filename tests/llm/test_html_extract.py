@@ -3,6 +3,7 @@
 import html
 import random
 import re
+from collections import Counter
 
 import pytest
 from gantry.llm import html_extract as h
@@ -66,3 +67,79 @@ def test_a_table_of_pages(spark, sf):
             parts = [" ".join(html.unescape(re.sub(r"<[^>]*(>|\Z)", " ", x)).split()) for x in re.split(r"</?(?:p|h1)\b[^>]*>", article)]
             assert r["text"] == "\n".join(filter(None, parts))
     assert h.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds</p></article>", "so x=1 holds"),
+    ("<article><p>a</p><xmp>b &lt; <b>c</b>\n d</xmp><p>e</article>", "a\nb &lt; <b>c</b> d\ne"),
+    ("<article><xmp>never <closed", "never <closed"),
+    ("<article><p>v: <video src=x>no player, see the text</video> w: <object><p>fallback</p></object></article>",
+     "v: no player, see the text w:\nfallback"),
+    ("<article><noscript><p>A picture of a bridge.</p></noscript><p>x</p></article>", "A picture of a bridge.\nx"),
+    ("<noscript>Turn on scripts to go on.</noscript><article><p>x</p></article>", "x"),
+    ("<article><p>a<audio>b</audio><canvas>c</canvas><svg><text>d</text></svg><button>e</button></article>", "abc"),
+])
+def test_text_that_stands_in_for_media_and_formulas_is_kept(page, text):
+    assert h.extract_text(page) == text
+
+
+NAMES = re.compile(r"<(/?)(article|main|nav|aside|footer|header|form|menu|dialog)\b")
+ATTRIBUTES = re.compile(r"\s(class|id|role|hidden|aria-hidden)=(\"[^\"]*\"|'[^']*')")
+
+
+def renamed(page):
+    return ATTRIBUTES.sub("", NAMES.sub(r"<\1div", page))
+
+
+def all_div(page):
+    return re.sub(r"<(/?)(p|h1|ul|li)\b", r"<\1div", renamed(page))
+
+
+@pytest.fixture(scope="module")
+def given(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    return pages, [r["html"] for r in pages.collect() if r["html"]]
+
+
+@pytest.fixture(scope="module")
+def costs(given):
+    return h.fit(given[0], 100)
+
+
+def f1(pages, change, costs):
+    """F1 of blocks against those of the page as it was, and the number of blocks that the cut labels against their own cost."""
+    right = found = wanted = changed = 0
+    for page in pages:
+        want = Counter(h.extract_text(page, costs).split("\n"))
+        blocks = h.blocks(change(page))
+        weights, keep = h.label_blocks(blocks, costs)
+        got = Counter(b.text for b, k in zip(blocks, keep) if k)
+        right, found, wanted = right + (want & got).total(), found + got.total(), wanted + want.total()
+        changed += sum((w > 0) != k for w, k in zip(weights, keep))
+    return 2 * right / (found + wanted), changed
+
+
+def test_text_and_neighbours_decide_where_markup_is_silent(given, costs):
+    pages = given[1]
+    assert f1(pages, renamed, costs)[0] >= 0.98 > f1(pages, renamed, h.FIXED)[0]
+    score, changed = f1(pages, all_div, costs)
+    assert score >= 0.95 and changed > 0
+
+
+def test_markup_outweighs_what_was_fitted(given, costs):
+    assert all(h.extract_text(p, costs) == h.extract_text(p) for p in given[1])
+    assert h.extract_text(PAGE, costs) == h.extract_text(PAGE)
+    assert h.CLIP + 2 * h.NEAR < 4 and h.CLIP + 2 * 2 * h.FAR < 4 and max(costs.edges) <= h.NEAR
+
+
+def test_fit_is_the_counts_of_the_sample(spark, given, costs):
+    pages, _ = given
+    assert h.fit(pages.repartition(7), 100) == costs
+    assert h.fit(pages.unionByName(pages).withColumn("n", h.F.lit(1)), 100) == costs  # rows that share id and url count once
+    whole = Counter()
+    for r in pages.collect():
+        whole.update(h.observe(h.blocks(r["html"] or "")))
+    assert h.fit(pages, 10**6) == h.costs_of(whole)
+    assert h.fit(pages.limit(0)) == h.FIXED
+    plain = spark.createDataFrame([(1, "u", "<p>no markup speaks</p>"), (None, None, None)], "page_id bigint, url string, html string")
+    assert h.fit(plain) == h.FIXED
