@@ -23,7 +23,7 @@ from gantry.session import prepare, scratch_dir  # noqa: E402
 from gantry.sources import colocated, testdata  # noqa: E402
 from gantry.sources.readers import read_raw  # noqa: E402
 from gantry.sources.writers import raw_rows, write_raw, write_table  # noqa: E402
-from gantry.streaming import landing  # noqa: E402
+from gantry.streaming import landing, progress  # noqa: E402
 import duckdb_sql  # noqa: E402
 
 try:
@@ -253,6 +253,16 @@ def _stream_one_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.read_totals(spark, f"{work}/totals")
 
 
+def _ingest_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one read of the stream landed and rejected, and how many triggers' sinks hold something else."""
+    work = scratch_dir(spark, "balance")
+    feed = testdata.in_order_of_time(prepare(spark), sf_dir, f"{work}/feed", parts=3)
+    messages = testdata.as_messages(testdata.event_stream(spark, feed))
+    landing.wait_all([landing.land_all(messages, work, f"{work}/checkpoint", interval=None)])
+    sums = [F.sum(c).alias(c) for c in ("messages", "landed", "rejected", "raw_rows", "rejected_rows")]
+    return progress.ingest_balance(spark, work).agg(*sums, F.count_if(~F.col("balanced")).alias("unbalanced"))
+
+
 def _offset_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lost and repeated offsets, from the ranges that each day's load kept."""
     kept = f"{scratch_dir(spark, 'offsets')}/ranges"
@@ -362,6 +372,7 @@ def plans() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_live_summary": _stream_summary,
         "stream_dedup": _stream_dedup,
         "stream_one_read": _stream_one_read,
+        "ingest_balance": _ingest_balance,
         "offset_audit": _offset_audit,
         "schema_drift": lambda s, d: drift.drift_report(testdata.with_new_fields(_raw(s, d))).where("NOT known OR n_lost > 0"),
         "extra_fields_landed": _landed_extra,

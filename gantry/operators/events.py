@@ -77,10 +77,13 @@ REJECTIONS = {
 }
 
 
+KEY_FIELDS = ("transaction_id", "tag_id", "event_ts", "status")
+VALID = " AND ".join([*(f"{key} IS NOT NULL" for key in KEY_FIELDS), IN_RANGE])
+
+
 def valid_events(events: DataFrame) -> DataFrame:
     """Rows that may be landed: key fields and status present, charge in range, time readable."""
-    keys = ("transaction_id", "tag_id", "event_ts", "status")
-    return events.drop(PAYLOAD).where(" AND ".join([f"{key} IS NOT NULL" for key in keys] + [IN_RANGE]))
+    return events.drop(PAYLOAD).where(VALID)
 
 
 def quarantine(events: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from gantry.functions.charges import FLAGGED
 from gantry.functions.dates import event_hour_columns
 from gantry.functions.measures import count_where
-from gantry.operators.events import PAYLOAD, parse_events, quarantine, validate_and_enrich
+from gantry.operators.events import PAYLOAD, VALID, parse_events, quarantine, validate_and_enrich
 from gantry.operators.offsets import SOURCE, offset_ranges
 from gantry.schemas import EXTRA, HOUR_COLUMNS
 from gantry.sources import files
@@ -31,6 +31,8 @@ SUMMARY_DDL = (
     "plaza_id STRING, highway STRING, tag_id STRING, tx_count BIGINT, total_revenue DECIMAL(20,2), flagged_count BIGINT, "
     "year INT, month INT, day INT, hour INT, stream STRING, batch BIGINT"
 )
+#: In a trigger's progress: rows before any is dropped for being late.
+ARRIVED = "arrived"
 TRIGGER = "10 seconds"
 #: How late rows may be for the summary; later ones are left to the repair of the mart.
 DELAY = "2 days"
@@ -174,7 +176,8 @@ def publish_summary(events: DataFrame, path: str, checkpoint: str, interval: str
         if also is not None:
             also(totals, batch)
 
-    stream = vehicle_totals(events, delay).writeStream.foreachBatch(write)
+    arrived = events.observe(ARRIVED, F.count(F.lit(1)).alias("n"))
+    stream = vehicle_totals(arrived, delay).writeStream.foreachBatch(write)
     return _start(stream.outputMode("update"), checkpoint, interval)
 
 
@@ -250,12 +253,13 @@ def start_ingest(valid: DataFrame, rejected: DataFrame, root: str, checkpoints:
 
 
 RANGES_DDL = "topic STRING, partition INT, span BIGINT, first BIGINT, last BIGINT, copies BIGINT, load STRING"
+COUNTS_DDL = "messages BIGINT, landed BIGINT, rejected BIGINT, load STRING"
 #: In the name of a file that says up to which trigger a stream's totals are merged.
 MERGED = "_merged-"
 
 
 def land_all(messages: DataFrame, root: str, checkpoint: str, interval: str | None = TRIGGER) -> StreamingQuery:
-    """One read of a source of messages for all sinks: `raw`, `rejected`, `totals` and, where messages have them, `ranges` of offsets.
+    """One read of a source of messages for all sinks: `raw`, `rejected`, `counts`, `totals` and, where messages have them, `ranges` of offsets.
 
     A trigger parses its messages once, keeps them, and writes each sink in folders of its own
     name. A trigger that stopped between sinks is run again with the same messages and replaces
@@ -274,6 +278,8 @@ def land_all(messages: DataFrame, root: str, checkpoint: str, interval: str | No
             _write_load(quarantine(parsed).drop(EXTRA), f"{root}/rejected", load, "reason")
             if {*SOURCE, "offset"} <= set(position):
                 _write_load(offset_ranges(parsed), f"{root}/ranges", load)
+            counts = parsed.agg(F.count(F.lit(1)).alias("messages"), F.count_if(F.expr(VALID)).alias("landed"))
+            _write_load(counts.withColumn("rejected", F.col("messages") - F.col("landed")), f"{root}/counts", load)
             totals = vehicle_totals(valid).withColumns({"stream": F.lit(name), "batch": F.lit(trigger).cast("bigint")})
             _replace(totals, f"{root}/totals", "stream", "batch")
         finally:
