@@ -24,7 +24,8 @@ LONGEST_PART = 48
 #: Bytes of text that are encoded at a time: lists of parts take many times the room of their text.
 SLICE = 2 << 20
 
-_TIGHT = re.compile(r"\s \s")
+#: White space, a space, white space; a search begins at the space, which is quick to find.
+_TIGHT = re.compile(r" (?<=\s )\s")
 _CUTS = re.compile(r"(?<=\S)(?= )|(?<=\s)(?= \S)")
 _TOGETHER = 4000
 
