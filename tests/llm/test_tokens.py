@@ -2,7 +2,6 @@
 
 import io
 import random
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -137,10 +136,3 @@ def test_sequences_have_each_piece_once(spark, docs, tokenizer):
         own = np.frombuffer(whole[r["sequence_id"]]["ids"], "<u4")
         assert len(own) <= 2048 and tokens.crc32(own[r["offset"]:r["offset"] + r["length"]]) == r["ids_crc32"]
     assert packing.best_fit(docs([])).count() == 0
-
-
-def test_spaces_between_white_space_are_found():
-    rng = random.Random(3)
-    for _ in range(20_000):
-        text = "".join(rng.choice("a  \n\t  ") for _ in range(rng.randint(0, 8)))
-        assert bool(tokens._TIGHT.search(text)) == bool(re.search(r"\s \s", text))
