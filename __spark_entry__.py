@@ -246,8 +246,7 @@ def _stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stream_one_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary from the totals that one read of the stream left beside the raw zone and the quarantine."""
     work = scratch_dir(spark, "one")
-    feed = testdata.in_order_of_time(prepare(spark), sf_dir, f"{work}/feed")
-    messages = testdata.as_messages(testdata.event_stream(spark, feed))
+    messages = testdata.as_messages(testdata.stream_in_order_of_time(prepare(spark), sf_dir, f"{work}/feed"))
     landing.wait_all([landing.land_all(messages, work, f"{work}/checkpoint", interval=None)])
     landing.merge_totals(spark, f"{work}/totals", keep=2)
     return landing.read_totals(spark, f"{work}/totals")

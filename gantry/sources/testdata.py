@@ -16,6 +16,7 @@ from gantry.functions.charges import balance_after, numbered, status_after
 from gantry.functions.dates import date_id
 from gantry.operators.events import WIRE_TIME, event_json
 from gantry.schemas import CLASS_SEED, PLAZA_SEED, seed_rows
+from gantry.sources import files
 from gantry.sources.readers import stream_parquet
 
 
@@ -123,22 +124,44 @@ def event_stream(spark: SparkSession, sf_dir: str, **limits: str) -> DataFrame:
     return shape_events(events.selectExpr("*", "_metadata.row_index AS offset"))
 
 
-def in_order_of_time(spark: SparkSession, sf_dir: str, folder: str, parts: int = 6) -> str:
-    """All of `events` as files of one span of time each, written one after the other: a feed of `parts` triggers."""
+def in_order_of_time(spark: SparkSession, sf_dir: str, folder: str, parts: int = 6, files_each: int | None = None) -> str:
+    """All of `events` as files of one span of time each, written one after the other: a feed of `parts` triggers.
+
+    Every span has the same number of files, as many as the table is read by tasks if not given, so
+    that a trigger of so many files is a whole span. A trigger that ended within a span would take the
+    watermark past rows of that span's other files.
+    """
+    path = f"{folder}/events.parquet"
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    files_each = files_each or scan_tasks(events)
     first, last = events.agg(F.min("ts"), F.max("ts")).first()
     bounds = [] if first is None else [first + (last - first) * i / parts for i in range(1, parts)]
     spans = zip([None, *bounds], [*bounds, None])
-    for since, before in spans:
+    for n, (since, before) in enumerate(spans, 1):
         part = events
         if since is not None:
             part = part.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
         if before is not None:
             part = part.where((F.col("ts") < F.lit(before).cast("timestamp_ntz")) | F.col("ts").isNull())
-        part.write.mode("append").parquet(f"{folder}/events.parquet")
+        part.repartition(files_each).write.mode("append").parquet(path)
+        # A span of fewer rows than files has fewer: empty ones make up for them.
+        for _ in range(n * files_each - sum(name.endswith(".parquet") for name in files.children(spark, path))):
+            spark.createDataFrame([], events.schema).coalesce(1).write.mode("append").parquet(path)
     return folder
 
 
+def scan_tasks(table: DataFrame) -> int:
+    """Tasks that read the table; planned, not run."""
+    return max(1, table.rdd.getNumPartitions())
+
+
+def stream_in_order_of_time(spark: SparkSession, sf_dir: str, folder: str, parts: int = 6) -> DataFrame:
+    """The charge events as a stream with a trigger for each of `parts` spans of time, however large the table is."""
+    files_each = scan_tasks(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    feed = in_order_of_time(spark, sf_dir, folder, parts, files_each)
+    return event_stream(spark, feed, maxFilesPerTrigger=str(files_each))
+
+
 def as_messages(events: DataFrame) -> DataFrame:
     """Encoded events, with some messages that cannot be read added between them.
 
