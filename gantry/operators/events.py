@@ -22,9 +22,13 @@ def all_fields(text: Column) -> Column:
 
 
 def extra_fields(text: Column) -> Column:
-    """The fields that the event schema does not know, as one JSON object; null where there are none."""
+    """The fields that the event schema does not know, as one JSON object; null where there are none.
+
+    Values are read only of messages with an unknown name, or whose names cannot be read.
+    """
+    only_known = F.forall(F.json_object_keys(text), lambda name: name.isin(*WIRE_FIELDS))
     unknown = F.map_filter(all_fields(text), lambda name, _: ~name.isin(*WIRE_FIELDS))
-    return F.nullif(F.to_json(unknown), F.lit("{}"))
+    return F.when(only_known, F.lit(None).cast("string")).otherwise(F.nullif(F.to_json(unknown), F.lit("{}")))
 
 
 def parse_events(messages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -36,11 +40,14 @@ def parse_events(messages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     names message columns (offset, partition, ...) to carry along; PAYLOAD among
     them is the message's own text, for rows that may be rejected, and EXTRA the
     fields that the schema does not know.
+
+    The event comes as an array of one, spread out again: conditions on its fields stay
+    above that, where below it each of them would read the text once more.
     """
     text = F.col("value").cast("string")
     made = {PAYLOAD: text, EXTRA: extra_fields(text)}
     carried = [made[name].alias(name) if name in made else F.col(name) for name in keep]
-    fields = messages.select(*carried, F.from_json(text, EVENT_DDL).alias("event")).select(*keep, "event.*")
+    fields = messages.select(*carried, F.inline(F.array(F.from_json(text, EVENT_DDL))))
     return fields.withColumn("event_ts", F.try_to_timestamp("timestamp")).drop("timestamp")
 
 

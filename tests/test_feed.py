@@ -1,8 +1,10 @@
 """The feed of the stream queries."""
 
 import pytest
-from compare import spark_rows
+from compare import duck_rows, spark_rows
 
+import duckdb_sql
+from __spark_entry__ import own_queries as queries
 from gantry.session import scratch_dir
 from gantry.sources import files, testdata
 
@@ -15,6 +17,11 @@ def spread(spark, sf):
     return root
 
 
+@pytest.mark.parametrize("name", ["stream_dedup", "stream_live_summary"])
+def test_a_table_of_several_tasks_loses_no_row_to_the_watermark(spark, sf, spread, name):
+    assert spark_rows(queries()[name](spark, spread)) == duck_rows(duckdb_sql.all_sql()[name], sf)[1]
+
+
 def test_a_trigger_is_a_span_however_many_files_it_has(spark, spread):
     work = scratch_dir(spark, "spans")
     stream = testdata.stream_in_order_of_time(spark, spread, f"{work}/feed")
