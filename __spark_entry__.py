@@ -254,8 +254,7 @@ def _stream_one_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ingest_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What one read of the stream landed and rejected, and how many triggers' sinks hold something else."""
     work = scratch_dir(spark, "balance")
-    feed = testdata.in_order_of_time(prepare(spark), sf_dir, f"{work}/feed", parts=3)
-    messages = testdata.as_messages(testdata.event_stream(spark, feed))
+    messages = testdata.as_messages(testdata.stream_in_order_of_time(prepare(spark), sf_dir, f"{work}/feed", parts=3))
     landing.wait_all([landing.land_all(messages, work, f"{work}/checkpoint", interval=None)])
     sums = [F.sum(c).alias(c) for c in ("messages", "landed", "rejected", "raw_rows", "rejected_rows")]
     return progress.ingest_balance(spark, work).agg(*sums, F.count_if(~F.col("balanced")).alias("unbalanced"))
