@@ -62,6 +62,15 @@ def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.validate_and_enrich(_raw(spark, sf_dir))
 
 
+def _valid_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `_valid`, for the raw zone, which takes every column."""
+    return ev.validate_and_enrich(_raw_whole(spark, sf_dir))
+
+
+def _raw_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return testdata.worked_out(testdata.raw_events(prepare(spark), sf_dir, dealt=True))
+
+
 def _mart(spark: SparkSession, sf_dir: str, days: int | None = None) -> Mart:
     """The mart over the events; `days` repeats the query's own date range for the scan."""
     return mart_from_events(spark, _raw(spark, sf_dir, None if days is None else AS_OF - timedelta(days=days)))
@@ -155,12 +164,11 @@ def _stream(spark: SparkSession, sf_dir: str, work: str) -> DataFrame:
 def _load_all(spark: SparkSession, sf_dir: str) -> str:
     """The nightly job over every day: raw zone, load, gate; the mart's root."""
     work = scratch_dir(spark, "nightly")
-    valid = _valid(spark, sf_dir)
-    write_raw(valid, f"{work}/raw", "backfill")
+    write_raw(_valid_whole(spark, sf_dir), f"{work}/raw", "backfill")
     raw = read_raw(spark, f"{work}/raw")
     # The gate opens only when every plaza is known, so the unseeded ones are added first.
     write_table(_all_plazas(spark, raw), f"{work}/mart", "dim_plaza")
-    load_days(spark, raw, f"{work}/mart", [row["date"] for row in _event_days(raw).collect()])
+    load_days(spark, raw, f"{work}/mart", _landed_days(raw))
     return f"{work}/mart"
 
 
@@ -177,6 +185,11 @@ def _fact_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_mart(spark, root).facts.select("transaction_id", "date_id", "plaza_id", "class_id", "payment_id", "amount", "entry_time")
 
 
+def _landed_days(raw: DataFrame) -> list[date]:
+    """Days of the zone, from its folders: no row is read for them."""
+    return sorted(date(*row) for row in raw.select("year", "month", "day").distinct().collect())
+
+
 def _nightly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly totals as the nightly job leaves them."""
     return read_mart(spark, _load_all(spark, sf_dir)).hourly.drop("loaded_at")
@@ -312,10 +325,10 @@ def _upserted_plazas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days to load again: rows that came in after one o'clock the night after are landed when all days but the last are built."""
     work = scratch_dir(spark, "late")
-    valid = _valid(spark, sf_dir)
+    valid = _valid_whole(spark, sf_dir)
     on_time = F.col("ingested_at") <= F.date_trunc("DAY", "event_ts") + F.expr("INTERVAL 25 HOURS")
     write_raw(valid.where(on_time), f"{work}/raw", "first")
-    write_table(_all_plazas(spark, valid), f"{work}/mart", "dim_plaza")
+    write_table(_all_plazas(spark, _valid(spark, sf_dir)), f"{work}/mart", "dim_plaza")
     first = read_raw(spark, f"{work}/raw")
     days = sorted(row["date"] for row in _event_days(first).collect())
     load_days(spark, first, f"{work}/mart", days[:-1])

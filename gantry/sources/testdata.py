@@ -90,18 +90,39 @@ def shape_events(events: DataFrame) -> DataFrame:
     }).drop("_sent")
 
 
-def raw_events(spark: SparkSession, sf_dir: str, since: date | None = None, before: date | None = None) -> DataFrame:
+def raw_events(
+    spark: SparkSession, sf_dir: str, since: date | None = None, before: date | None = None, dealt: bool = False,
+) -> DataFrame:
     """Charge events from `events.parquet`.
 
     `since`/`before` repeat a query's own date range on the stored time, so that
     it reaches the Parquet scan; rows without event time satisfy no date range.
+    `dealt` is for work that takes far longer for a row than its reading.
     """
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     for bound, operator in ((since, ">="), (before, "<")):
         if bound is not None:
             midnight = datetime(bound.year, bound.month, bound.day).isoformat(" ")
             events = events.where(f"ts {operator} TIMESTAMP_NTZ '{midnight}'")
-    return shape_events(events)
+    return shape_events(dealt_evenly(events) if dealt else events)
+
+
+def dealt_evenly(table: DataFrame) -> DataFrame:
+    """The table's rows in tasks of equal size, four for each core or as many as read it.
+
+    A row of the table is a few bytes, and a file's rows may be one row group: what reads
+    the table would be one task, or a few, whatever the number of cores.
+    """
+    return table.repartition(max(4 * table.sparkSession.sparkContext.defaultParallelism, scan_tasks(table)))
+
+
+def worked_out(events: DataFrame) -> DataFrame:
+    """The same rows, for those that need every column: each is worked out once.
+
+    A row comes as an array of one, spread out again. Conditions stay above that; below it
+    each of them would work out the columns it names once more.
+    """
+    return events.select(F.inline(F.array(F.struct(*events.columns))))
 
 
 def sent_again(events: DataFrame, days: int = 7) -> DataFrame:

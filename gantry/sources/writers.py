@@ -97,11 +97,14 @@ def write_raw(events: DataFrame, root: str, load: str) -> None:
     One plan for a batch and for a stream's trigger: rows are gathered by hour, and adaptive
     execution splits a busy hour over several tasks and lets one task write several small ones.
     What takes time in small hours is making their files, so tasks are joined only while they
-    are very small; the number of files is that of the hours either way.
+    are very small, and never to fewer than four for each core, so that none is left to run alone
+    at the end; the number of files is that of the hours either way.
     """
+    spark = events.sparkSession
+    least = {"coalescePartitions__minPartitionSize": "16k", "coalescePartitions__minPartitionNum": str(4 * spark.sparkContext.defaultParallelism)}
     rows = raw_rows(events, load).hint("rebalance", *HOUR_COLUMNS)
     writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
-    with settings(events.sparkSession, spark__sql__adaptive__coalescePartitions__minPartitionSize="16k"):
+    with settings(spark, **{f"spark__sql__adaptive__{name}": value for name, value in least.items()}):
         writer.partitionBy(*RAW_PARTITIONS).parquet(root)
 
 
