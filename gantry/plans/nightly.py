@@ -15,6 +15,7 @@ from datetime import date, datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gantry.functions.dates import day_key, key_day, parse_day, yesterday_utc
 from gantry.operators import bitmaps, dims, ledger, quality
@@ -91,14 +92,18 @@ def claim_days(spark: SparkSession, raw: DataFrame, root: str, days: Iterable[da
     """(days, their claims, first claims of other days): the given days and those that have to be loaded with them.
 
     Both frames are tables in the folder `work`. Of the ledger's other days only the parts are
-    read that the days' transactions fall into. It ends, since days only join.
+    read that the days' transactions fall into. It ends, since days only join. Before the first
+    load no other day claims anything: the second frame is empty and known to be.
     """
     days = tuple(sorted(set(days)))
+    started = files.exists(spark, table_path(root, "tx_ledger"))
     known = existing(spark, root, "tx_ledger")
     for turn in range(1 + MOST_TURNS):
         require_days(raw, days)
         keys = [day_key(d) for d in days]
         now = _written(ledger.claims(raw.where(on_days(days))), f"{work}/{turn}/now")
+        if not started:
+            return days, now, ledger.first_elsewhere(known, now)
         before = known.where(F.col("date_id").isin(keys))
         touched = now.select("bucket", "transaction_id").unionByName(before.select("bucket", "transaction_id"))
         parts = [row["bucket"] for row in touched.select("bucket").distinct().collect()]  # at most LEDGER_BUCKETS
@@ -145,7 +150,13 @@ def existing(spark: SparkSession, root: str, table: str) -> DataFrame:
     """The table, or an empty frame of its shape before the first load."""
     if files.exists(spark, table_path(root, table)):
         return read_table(spark, root, table)
-    return spark.createDataFrame([], MART[table].columns)
+    return no_rows(spark, MART[table].columns)
+
+
+def no_rows(spark: SparkSession, ddl: str) -> DataFrame:
+    """An empty frame that the optimizer knows to be empty, so that joins with it fall away."""
+    typed = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in T.StructType.fromDDL(ddl).fields)
+    return spark.sql(f"SELECT {typed} WHERE false")
 
 
 def load_dimensions(spark: SparkSession, root: str, days: Sequence[date], events: DataFrame, build: int, work: str) -> DataFrame:
