@@ -22,7 +22,7 @@ from gantry.schemas import EXTRA  # noqa: E402
 from gantry.session import prepare, scratch_dir  # noqa: E402
 from gantry.sources import colocated, testdata  # noqa: E402
 from gantry.sources.readers import read_raw  # noqa: E402
-from gantry.sources.writers import raw_rows, write_raw, write_table  # noqa: E402
+from gantry.sources.writers import write_raw, write_table  # noqa: E402
 from gantry.streaming import landing, progress  # noqa: E402
 import duckdb_sql  # noqa: E402
 
@@ -174,11 +174,12 @@ def _load_all(spark: SparkSession, sf_dir: str) -> str:
 
 def _fact_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of events that were partly sent again a week later, whichever days are loaded first."""
-    root = f"{scratch_dir(spark, 'unique')}/mart"
-    valid = ev.validate_and_enrich(testdata.sent_again(_raw(spark, sf_dir)))
-    write_table(_all_plazas(spark, valid), root, "dim_plaza")
-    raw = raw_rows(valid, "all")
-    days = sorted(row["date"] for row in _event_days(valid).collect())
+    work = scratch_dir(spark, "unique")
+    root = f"{work}/mart"
+    write_raw(ev.validate_and_enrich(testdata.sent_again(_raw_whole(spark, sf_dir))), f"{work}/raw", "all")
+    raw = read_raw(spark, f"{work}/raw")
+    write_table(_all_plazas(spark, raw), root, "dim_plaza")
+    days = _landed_days(raw)
     load_days(spark, raw, root, days[len(days) // 2:])
     # These take transactions back from days of the other half, which are loaded once more with them.
     load_days(spark, raw, root, days[:len(days) // 2])
