@@ -285,7 +285,7 @@ def _offset_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _landed_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields that the event schema does not know, as the raw zone keeps them."""
     work = scratch_dir(spark, "extra")
-    messages = testdata.with_new_fields(_raw(spark, sf_dir))
+    messages = testdata.with_new_fields(testdata.raw_events(prepare(spark), sf_dir, dealt=True))
     write_raw(ev.validate_and_enrich(ev.parse_events(messages, keep=[EXTRA])), f"{work}/raw", "all")
     return read_raw(spark, f"{work}/raw").where(F.col(EXTRA).isNotNull()).select("transaction_id", "event_ts", "lane", EXTRA)
 
