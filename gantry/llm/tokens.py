@@ -9,6 +9,7 @@ own special tokens occur are encoded as they are.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -18,8 +19,10 @@ import numpy as np
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
 
-#: Distinct parts that a worker keeps, and the longest part that is kept.
-MOST_PARTS = 1_000_000
+#: Distinct parts that a worker keeps, the ids it keeps for them, and the longest part that is kept.
+#: The ids of parts that are not kept, and of whole texts, stay until the next time parts are forgotten.
+MOST_PARTS = 600_000
+MOST_IDS = 4_000_000
 LONGEST_PART = 48
 #: Bytes of text that are encoded at a time: lists of parts take many times the room of their text.
 SLICE = 2 << 20
@@ -62,7 +65,7 @@ class _Parts(dict):
 
 
 class Encoder:
-    def __init__(self, path: str, most_parts: int = MOST_PARTS):
+    def __init__(self, path: str, most_parts: int = MOST_PARTS, most_ids: int = MOST_IDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -71,7 +74,7 @@ class Encoder:
         for token, number in vocabulary.items():
             self.bytes_of[number] = len(token)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.most_parts = most_parts
+        self.most_parts, self.most_ids = most_parts, most_ids
         self.reset()
 
     def reset(self) -> None:
@@ -80,15 +83,17 @@ class Encoder:
         self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
 
     def _forget(self) -> None:
-        """Keeps the parts met most often, at most half of the room."""
+        """Keeps the parts met most often, at most half of the room for parts and for ids."""
         hits, starts, lengths, ids, old = self.hits, self.starts, self.lengths, self.ids, (self.spaced, self.plain)
-        order = np.sort(hits[:self.count])
-        least = max(2, int(order[-(self.most_parts // 2)]) + 1) if self.count > self.most_parts // 2 else 2
+        order = np.argsort(-hits[:self.count], kind="stable")[:self.most_parts // 2]
+        fits = (hits[order] > 1) & (np.cumsum(lengths[order]) <= self.most_ids // 2)
+        stays = np.zeros(self.count, bool)
+        stays[order[fits]] = True
         self.reset()
         kept = []
         for before, now in zip(old, (self.spaced, self.plain)):
             for part, number in before.items():
-                if hits[number] >= least:
+                if stays[number]:
                     now[part] = len(kept)
                     kept.append(number)
         numbers = np.array(kept, np.int64)
@@ -146,7 +151,7 @@ class Encoder:
 
     def encode(self, texts: list[str], end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text's followed by `end`, and the number of ids of each text."""
-        if self.count > self.most_parts:
+        if self.count > self.most_parts or self.used > self.most_ids:
             self._forget()
         tail = []
         if end is not None:
@@ -171,7 +176,12 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's own encoder for a file, kept between tasks."""
+    """The worker's own encoder for a file, kept between tasks.
+
+    A task has one core: the library's threads, one for each core of the machine, would only keep
+    memory of their own in every worker.
+    """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

@@ -2,6 +2,9 @@
 
 import io
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,31 @@ def test_cached_ids_are_the_tokenizers(tokenizer):
     assert encoder.encode(["a b"], end=None)[0].tolist() == ids_of(tokenizer, "a b")[:-1]
 
 
+def test_ids_that_no_part_needs_are_forgotten(tokenizer):
+    # Long parts and texts with special tokens are not kept, so they are few parts with many ids.
+    encoder = tokens.Encoder(tokens.vocabulary_path(), most_ids=2000)
+    texts = ["a b", "日本" * 100, "a <|endoftext|> " + "b" * 300]
+    for k in range(60):
+        ids, sizes = encoder.encode([*texts, str(k)])
+        assert [p.tolist() for p in np.split(ids, np.cumsum(sizes)[:-1])] == [ids_of(tokenizer, t) for t in [*texts, str(k)]]
+        assert encoder.used <= 2000 + len(ids) and len(encoder.ids) <= 1 << 14
+    assert "b" in encoder.spaced
+
+
+def test_a_worker_encodes_on_one_core():
+    code = """if True:
+        import os
+        from gantry.llm import tokens
+        encoder = tokens.encoder(tokens.vocabulary_path())
+        before = len(os.listdir("/proc/self/task"))
+        encoder.encode([" ".join(f"w{i}x{k}" for i in range(9000)) for k in range(4)])
+        print(len(os.listdir("/proc/self/task")) - before, encoder.most_parts)
+    """
+    said = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True, timeout=120)
+    more, parts = map(int, said.stdout.split())
+    assert more == 0 and parts <= 600_000, said.stderr
+
+
 @pytest.mark.parametrize("segment", [7, 512, 513, 1 << 20])
 def test_a_file_gives_back_every_id(monkeypatch, segment):
     monkeypatch.setattr(token_files, "SEGMENT", segment)
